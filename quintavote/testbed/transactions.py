@@ -171,17 +171,15 @@ def payload_document(**overrides: Column) -> Column:
     )
 
 
-def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, payload and the label."""
-    return transactions(spark, sf_dir).select(
-        "query_id", payload_document().alias("payload"), "fraud"
-    )
+def payloads(flat: DataFrame) -> DataFrame:
+    """query_id, payload and the label, from the flat columns."""
+    return flat.select("query_id", payload_document().alias("payload"), "fraud")
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors(flat: DataFrame) -> DataFrame:
     """query_id, fraud, vector and codes, by way of the JSON documents."""
     scored = vectorize_payloads(
-        payloads(spark, sf_dir), default_mcc_table(spark), keep=("query_id", "fraud")
+        payloads(flat), default_mcc_table(flat.sparkSession), keep=("query_id", "fraud")
     )
     return with_query_codes(scored)
 
