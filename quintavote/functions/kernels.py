@@ -146,12 +146,15 @@ def nearest_in_block(
     refs: np.ndarray,
     k: int,
     skip_self: bool,
+    bounds: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` nearest rows of one block per query, by (distance, ref id).
 
-    Codes are integers, so a float64 product is exact.  The distance and the
-    row's position in ref-id order share one exact float64 key, which settles
-    ties without a second pass.  Returns (query row, ref row, distance).
+    One float64 key, ``distance * size + position in ref-id order``, ranks a
+    pair and breaks its ties.  Codes are integers and every partial sum stays
+    below 2**53, so a single product yields exact keys.  ``bounds`` drops pairs
+    farther than a distance already reached.  Returns (query row, ref row,
+    distance).
     """
     by_id = np.argsort(ref_ids, kind="stable")
     ordered_ids, ordered = ref_ids[by_id], refs[by_id]
@@ -163,32 +166,34 @@ def nearest_in_block(
     if (farthest + 1.0) * size >= 2.0**53:
         raise ValueError(f"a block of {size} rows is too large for exact keys")
 
+    left = np.column_stack([-2.0 * size * queries, size * query_norms, np.ones(len(queries))])
+    right = np.column_stack(
+        [ordered, np.ones(size), size * ref_norms + np.arange(size, dtype=np.float64)]
+    ).T
+    limit = np.full(len(queries), np.inf)
+    if bounds is not None:
+        limit = (bounds.astype(np.float64) + 1.0) * size
+
     best = np.full((len(queries), k), np.inf)
-    columns = 4_096
-    for left in range(0, size, columns):
-        right = min(left + columns, size)
-        positions = np.arange(left, right, dtype=np.float64)
-        for rows in _tiles(len(queries), right - left):
-            keys = queries[rows] @ ordered[left:right].T
-            keys *= -2.0
-            keys += query_norms[rows, None]
-            keys += ref_norms[left:right]
-            keys *= size
-            keys += positions
+    columns = 2_048
+    for start in range(0, size, columns):
+        stop = min(start + columns, size)
+        part = np.ascontiguousarray(right[:, start:stop])
+        for rows in _tiles(len(queries), stop - start):
+            keys = left[rows] @ part
             if skip_self:
                 where = np.searchsorted(ordered_ids, query_ids[rows])
-                hit = (where >= left) & (where < right)
+                hit = (where >= start) & (where < stop)
                 hit[hit] = ordered_ids[where[hit]] == query_ids[rows][hit]
-                keys[np.flatnonzero(hit), where[hit] - left] = np.inf
+                keys[np.flatnonzero(hit), where[hit] - start] = np.inf
             held = best[rows]
-            better = np.flatnonzero(keys.min(axis=1) < held.max(axis=1))
+            threshold = np.minimum(held.max(axis=1), limit[rows])
+            better = np.flatnonzero(keys.min(axis=1) < threshold)
             if len(better):
                 both = np.concatenate([held[better], keys[better]], axis=1)
                 held[better] = np.partition(both, k - 1, axis=1)[:, :k]
-    rows, slots = np.nonzero(np.isfinite(best))
+    rows, slots = np.nonzero(np.isfinite(best) & (best < limit[:, None]))
     keys = best[rows, slots]
     distances = np.floor_divide(keys, size)
     positions = (keys - distances * size).astype(np.int64)
     return rows, by_id[positions], distances.astype(np.int64)
-
-

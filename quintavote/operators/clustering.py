@@ -191,7 +191,9 @@ def kmeans_fit(
 def _mllib_centroids(
     sample: DataFrame, k: int, max_iter: int, seed: int, dim: int
 ) -> DataFrame:
-    points = sample.select(array_to_vector("vector").alias("features"))
+    # The sample is a few megabytes and the work per row is large: spread it.
+    parallelism = sample.sparkSession.sparkContext.defaultParallelism
+    points = sample.select(array_to_vector("vector").alias("features")).repartition(parallelism)
     model = KMeans(k=k, maxIter=max_iter, seed=seed, initMode="k-means||").fit(points)
     rows = [
         (cluster, [float(x) for x in center])

@@ -33,10 +33,10 @@ def with_probes(queries: DataFrame, centroids: CentroidTable, n: int) -> DataFra
 
 def probe_rows(ranked: DataFrame, first: int, last: int) -> DataFrame:
     """One row per query and probe, for probe ranks ``first``..``last``."""
+    kept = [name for name in ("query_id", "codes", "bound") if name in ranked.columns]
     wanted = F.slice("probes", first, last - first + 1)
-    return ranked.select("query_id", "codes", F.posexplode(wanted)).select(
-        "query_id",
-        "codes",
+    return ranked.select(*kept, F.posexplode(wanted)).select(
+        *kept,
         (F.col("pos") + first).alias("probe_rank"),
         F.col("col").alias("cluster_id"),
     )

@@ -63,6 +63,7 @@ def _candidates(
         to_matrix(postings["codes"], dim),
         k,
         skip_self,
+        probes["bound"].to_numpy() if "bound" in probes.column_names else None,
     )
     found = probes.select(["query_id", "cluster_id", "probe_rank"]).take(query_rows)
     near = postings.select(["ref_id", "fraud"]).take(ref_rows)
@@ -70,6 +71,12 @@ def _candidates(
     return pa.table(columns, names=_ARROW_SCHEMA.names).cast(_ARROW_SCHEMA)
 
 
+def probe_columns(probes: DataFrame) -> list[str]:
+    """The columns a scan carries; ``bound`` is optional."""
+    columns = ["query_id", "codes", "probe_rank", "cluster_id"]
+    return columns + (["bound"] if "bound" in probes.columns else [])
+
+
 def shuffled_scan(
     probes: DataFrame,
     postings: DataFrame,
@@ -105,7 +112,7 @@ def shuffled_scan(
         probes.join(layout, "cluster_id")
         .withColumn("_query_block", one_of("query_id", "_query_blocks"))
         .withColumn("_ref_block", all_of("_ref_blocks"))
-        .select("query_id", "codes", "probe_rank", "cluster_id", "_query_block", "_ref_block")
+        .select(*probe_columns(probes), "_query_block", "_ref_block")
     )
     right = (
         postings.join(layout, "cluster_id")
@@ -139,8 +146,7 @@ def broadcast_scan(
     partitioned by cluster, only the probed clusters are read.
     """
     ship_package(probes.sparkSession)
-    columns = probes.select("query_id", "codes", "probe_rank", "cluster_id")
-    held = columns.limit(limit + 1).toArrow()
+    held = probes.select(*probe_columns(probes)).limit(limit + 1).toArrow()
     if held.num_rows > limit:
         return None
     held = held.sort_by("cluster_id")
@@ -181,6 +187,9 @@ def scan_probes(
 ) -> DataFrame:
     """Candidates for each probe: ``k`` per block of the probed cluster.
 
+    Where ``probes`` carry a ``bound``, a distance their query has already
+    reached k times, farther candidates are dropped where they are found.
+
     ``small_queries`` asks for the broadcast plan, which is used only while the
     probes stay within its size limit.
     """

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quintavote.config import NEIGHBOURS
 from quintavote.functions import scores
 
+# Beyond any distance between sixteen-bit codes.
+UNBOUNDED = 1 << 50
+
 CANDIDATE_COLUMNS = ("query_id", "ref_id", "dist", "fraud")
 
 
@@ -29,6 +32,14 @@ def topk_merge(carried: DataFrame, extra: DataFrame, k: int = NEIGHBOURS) -> Dat
     return topk_neighbors(both, k)
 
 
+def with_bounds(queries: DataFrame, neighbours: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """Add ``bound``; a query short of ``k`` neighbours is unbounded."""
+    last = neighbours.filter(F.col("rank") == k)
+    bounds = last.select("query_id", F.col("dist").alias("_bound"))
+    bound = F.coalesce("_bound", F.lit(UNBOUNDED)).alias("bound")
+    return queries.join(bounds, "query_id", "left").select(*queries.columns, bound)
+
+
 def fraud_vote(queries: DataFrame, neighbours: DataFrame) -> DataFrame:
     """``votes`` per query; a slot that found no neighbour counts as legitimate."""
     counts = neighbours.groupBy("query_id").agg(F.sum("fraud").alias("_votes"))

@@ -16,7 +16,13 @@ from quintavote.operators.clustering import (
 )
 from quintavote.operators.probing import probe_rows, with_probes
 from quintavote.operators.scan import scan_probes
-from quintavote.operators.topk import borderline, fraud_vote, topk_merge, topk_neighbors
+from quintavote.operators.topk import (
+    borderline,
+    fraud_vote,
+    topk_merge,
+    topk_neighbors,
+    with_bounds,
+)
 from quintavote.operators.vectorize import with_reference_codes
 from quintavote.staging import materialize
 
@@ -111,12 +117,15 @@ def adaptive_votes(
 
     fast = materialize(fast, "votes")
     open_ids = borderline(fast).select("query_id")
-    more = probe_rows(
-        ranked.join(open_ids, "query_id", "left_semi"), params.fast + 1, params.full
-    )
-    merged = topk_merge(
-        carried.join(open_ids, "query_id", "left_semi"), scan(materialize(more, "more"))
+    carried_open = carried.join(open_ids, "query_id", "left_semi")
+    still_open = ranked.join(open_ids, "query_id", "left_semi")
+    more = materialize(
+        probe_rows(
+            with_bounds(still_open, carried_open), params.fast + 1, params.full
+        ),
+        "more",
     )
+    merged = topk_merge(carried_open, scan(more))
     final = fraud_vote(open_ids, merged).withColumnRenamed("votes", "_final")
     return fast.join(final, "query_id", "left").select(
         "query_id",

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
+_local_roots: dict[str, tempfile.TemporaryDirectory] = {}
+_shipped: set[str] = set()
+_scope = threading.local()
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -23,8 +28,15 @@ def staging_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="quintavote-")
-    return _local_roots[app]
+        _local_roots[app] = tempfile.TemporaryDirectory(
+            prefix="quintavote-", ignore_cleanup_errors=True
+        )
+    return _local_roots[app].name
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the staging root."""
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -34,12 +46,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     when it is read, which a recomputed or cached plan is not.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
+    for opened in getattr(_scope, "open", []):
+        opened.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables materialised inside the block when it ends.
+
+    For work whose result is written within the block, such as a micro-batch.
+    """
+    paths: list[str] = []
+    stack = _scope.__dict__.setdefault("open", [])
+    stack.append(paths)
+    try:
+        yield
+    finally:
+        stack.remove(paths)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            target = hadoop.Path(path)
+            target.getFileSystem(conf).delete(target, True)
 
 
 def ship_package(spark: SparkSession) -> None:

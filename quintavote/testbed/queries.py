@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintavote.config import DIM, SCALE, BuildParams, Normalization
-from quintavote.functions import distance, features, parsing, quantize, scores
+from quintavote.config import DIM, BuildParams, Normalization
+from quintavote.functions import distance, features, parsing
 from quintavote.operators import clustering, evaluate, knn, payload, probing, scan, topk
 from quintavote.operators import vectorize as vec
 from quintavote.plans import ivf
 from quintavote.plans.scoring import score_transactions
 from quintavote.sources import decisions as decision_io
 from quintavote.sources import evaluation_set, index_store, tables
-from quintavote.staging import materialize, staging_root
+from quintavote.staging import fresh_path, materialize
 from quintavote.streaming.score_stream import read_payload_stream, score_stream
 from quintavote.testbed import landed
 from quintavote.testbed import transactions as tx
@@ -31,13 +31,6 @@ def query(function: Query) -> Query:
     return function
 
 
-def _fresh(spark: SparkSession, name: str) -> str:
-    """A folder of its own for a query that writes files and reads them back."""
-    import uuid
-
-    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _codes(df: DataFrame, *kept: str) -> DataFrame:
     flat = df.select(*kept, F.transform("codes", lambda c: c.cast("int")).alias("codes"))
     return vec.spread(flat, "codes", "q")
@@ -69,7 +62,7 @@ def _by_id(*choices: Column | None) -> Column:
 
 @query
 def ref_scan(spark, sf_dir):
-    path = _fresh(spark, "references")
+    path = fresh_path(spark, "references")
     label = F.when(F.col("fraud") == 1, "fraud").otherwise("legit")
     landed.references(spark, sf_dir).select("vector", label.alias("label")).write.option(
         "compression", "gzip"
@@ -81,7 +74,7 @@ def ref_scan(spark, sf_dir):
 @query
 def mcc_table(spark, sf_dir):
     """Observed fraud share by code, written as the configuration map and read back."""
-    path = _fresh(spark, "mcc")
+    path = fresh_path(spark, "mcc")
     shares = (
         landed.transactions(spark, sf_dir)
         .groupBy("mcc")
@@ -95,7 +88,7 @@ def mcc_table(spark, sf_dir):
 
 @query
 def txn_scan(spark, sf_dir):
-    path = _fresh(spark, "transactions")
+    path = fresh_path(spark, "transactions")
     _payloads(spark, sf_dir).select("payload").write.text(path)
     read = tables.read_transactions(spark, path).transform(payload.json_extract)
     return read.select(
@@ -109,7 +102,7 @@ def txn_scan(spark, sf_dir):
 
 @query
 def stream_score(spark, sf_dir):
-    source, root = _fresh(spark, "arriving"), _fresh(spark, "scored")
+    source, root = fresh_path(spark, "arriving"), fresh_path(spark, "scored")
     _payloads(spark, sf_dir).select("query_id", "payload").repartition(4).write.json(source)
     stream = read_payload_stream(spark, source, "query_id bigint, payload string", max_files=2)
     writer = score_stream(
@@ -134,7 +127,7 @@ def stream_score(spark, sf_dir):
 
 @query
 def decision_sink(spark, sf_dir):
-    path = _fresh(spark, "decisions")
+    path = fresh_path(spark, "decisions")
     decided = topk.decide(landed.fast(spark, sf_dir))
     decision_io.write_decisions(decided, path)
     read = spark.read.schema("query_id bigint, approved boolean, fraud_score double").json(path)
@@ -144,7 +137,7 @@ def decision_sink(spark, sf_dir):
 @query
 def index_write(spark, sf_dir):
     """Sizes of the written posting lists."""
-    path = _fresh(spark, "index")
+    path = fresh_path(spark, "index")
     index_store.write_index(landed.index(spark, sf_dir), path)
     postings = spark.read.schema(index_store.POSTING_SCHEMA).parquet(f"{path}/postings")
     return postings.groupBy("cluster_id").agg(
@@ -155,7 +148,7 @@ def index_write(spark, sf_dir):
 @query
 def index_read(spark, sf_dir):
     """Round trip of header, centroids and postings."""
-    path = _fresh(spark, "index")
+    path = fresh_path(spark, "index")
     index_store.write_index(landed.index(spark, sf_dir), path)
     read = index_store.read_index(spark, path)
     postings = _codes(read.postings, "cluster_id", "ref_id", "fraud")
@@ -165,7 +158,7 @@ def index_read(spark, sf_dir):
 
 @query
 def eval_scan(spark, sf_dir):
-    path = _fresh(spark, "entries")
+    path = fresh_path(spark, "entries")
     rows = _payloads(spark, sf_dir).select(
         F.col("payload").alias("request"), (F.col("fraud") == 0).alias("expected_approved")
     )
@@ -610,7 +603,7 @@ def eval_report(spark, sf_dir):
     """The nested report, written and flattened again."""
     profile = evaluate.dataset_profile(_expected(spark, sf_dir), landed.fast(spark, sf_dir))
     report = evaluate.evaluation_report(_scores(spark, sf_dir), profile)
-    path = _fresh(spark, "report")
+    path = fresh_path(spark, "report")
     evaluation_set.write_report(report, path)
     return (
         spark.read.schema(report.schema)
