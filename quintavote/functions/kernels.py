@@ -39,6 +39,10 @@ def _in_order_dot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
+def squared_norms(matrix: np.ndarray) -> np.ndarray:
+    return _in_order_dot(matrix, matrix)
+
+
 def _rows_to_ranks(rows: np.ndarray) -> np.ndarray:
     """Position of each entry within its (sorted, contiguous) row."""
     starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
@@ -94,7 +98,7 @@ def nearest_centroid(
     """Position of and squared distance to the nearest centroid; ties go low."""
     position = np.empty(len(vectors), dtype=np.int32)
     distance = np.empty(len(vectors), dtype=np.float64)
-    norms = _in_order_dot(centroids, centroids)
+    norms = squared_norms(centroids)
     slack = 1e-9 * (1.0 + float(norms.max(initial=0.0)))
     for tile in _tiles(len(vectors), len(centroids)):
         block = vectors[tile]
@@ -103,7 +107,7 @@ def nearest_centroid(
         margin = slack + 1e-9 * np.abs(best)
         rows, found = np.nonzero(rough <= (best + margin)[:, None])
         gap = block[rows] - centroids[found]
-        exact = _in_order_dot(gap, gap)
+        exact = squared_norms(gap)
         order = np.lexsort((found, exact, rows))
         first = order[_rows_to_ranks(rows[order]) == 0]
         position[tile] = found[first]
@@ -126,10 +130,10 @@ def reachable_centroids(
     """
     counts = np.zeros(len(codes), dtype=np.int64)
     cells: list[np.ndarray] = []
-    squared = _in_order_dot(centers, centers)
+    squared = squared_norms(centers)
     for tile in _tiles(len(codes), len(centers)):
         block = codes[tile]
-        gaps = _in_order_dot(block, block)[:, None] + squared - 2.0 * (block @ centers.T)
+        gaps = squared_norms(block)[:, None] + squared - 2.0 * (block @ centers.T)
         nearest = np.sqrt(np.maximum(gaps, 0.0)) - radii
         reach = np.sqrt(bounds[tile]) + 1.0
         inside = nearest <= reach[:, None]
@@ -158,8 +162,8 @@ def nearest_in_block(
     """
     by_id = np.argsort(ref_ids, kind="stable")
     ordered_ids, ordered = ref_ids[by_id], refs[by_id]
-    ref_norms = np.einsum("ij,ij->i", ordered, ordered)
-    query_norms = np.einsum("ij,ij->i", queries, queries)
+    ref_norms = squared_norms(ordered)
+    query_norms = squared_norms(queries)
 
     size = len(ref_ids)
     farthest = 2.0 * (query_norms.max(initial=0.0) + ref_norms.max(initial=0.0))

@@ -7,14 +7,14 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quintavote.config import DIM, MAX_CLUSTERS
 from quintavote.functions.distance import dist_f64, norm_sq
 from quintavote.functions.kernels import nearest_centroid as nearest_kernel
-from quintavote.functions.kernels import to_matrix
+from quintavote.functions.kernels import squared_norms, to_matrix
 from quintavote.staging import materialize, ship_package
 
 CENTROID_SCHEMA = T.StructType(
@@ -73,23 +73,53 @@ def sampled_seeds(df: DataFrame, key: str, k: int, seed: int, dim: int = DIM) ->
 
 
 class CentroidTable:
-    """The centroids as one matrix on every executor; bounded by MAX_CLUSTERS."""
-
-    def __init__(self, centroids: DataFrame, dim: int = DIM):
+    """The centroids as one matrix, small enough to broadcast (see MAX_CLUSTERS)."""
+
+    def __init__(self, spark: SparkSession, ids: np.ndarray, matrix: np.ndarray, norms: np.ndarray):
+        if not 1 <= len(ids) <= MAX_CLUSTERS:
+            raise ValueError(f"expected 1..{MAX_CLUSTERS} centroids, found {len(ids)}")
+        self.ids, self.matrix, self.norms = ids, matrix, norms
+        self.size, self.dim = matrix.shape
+        self._spark = spark
+
+    @classmethod
+    def load(cls, centroids: DataFrame, dim: int = DIM) -> CentroidTable:
+        """Fetch a centroid table of at most MAX_CLUSTERS rows."""
         rows = (
             centroids.select("cluster_id", "centroid", "norm_sq")
             .limit(MAX_CLUSTERS + 1)
             .toArrow()
             .sort_by("cluster_id")
         )
-        if not 1 <= len(rows) <= MAX_CLUSTERS:
-            raise ValueError(f"expected 1..{MAX_CLUSTERS} centroids, found {len(rows)}")
-        self.dim = dim
-        self.size = len(rows)
-        self.ids = rows["cluster_id"].to_numpy().astype(np.int32)
-        self.matrix = to_matrix(rows["centroid"], dim)
-        self.norms = rows["norm_sq"].to_numpy().astype(np.float64)
-        self._spark = centroids.sparkSession
+        return cls(
+            centroids.sparkSession,
+            rows["cluster_id"].to_numpy().astype(np.int32),
+            to_matrix(rows["centroid"], dim),
+            rows["norm_sq"].to_numpy().astype(np.float64),
+        )
+
+    def with_means(self, means: DataFrame) -> CentroidTable:
+        """The same clusters at new means; one without a mean becomes the zero vector."""
+        rows = means.toArrow()
+        matrix = np.zeros_like(self.matrix)
+        position = np.searchsorted(self.ids, rows["cluster_id"].to_numpy())
+        matrix[position] = to_matrix(rows["centroid"], self.dim)
+        return CentroidTable(self._spark, self.ids, matrix, squared_norms(matrix))
+
+    def moved_share(self, other: CentroidTable) -> float:
+        """Share of clusters whose centroid differs noticeably from ``other``'s."""
+        gaps = squared_norms(self.matrix - other.matrix)
+        return float((gaps > _MOVED).mean())
+
+    def to_frame(self) -> DataFrame:
+        rows = pa.table(
+            {
+                "cluster_id": pa.array(self.ids),
+                "centroid": pa.array(list(self.matrix)),
+                "norm_sq": pa.array(self.norms),
+            }
+        )
+        return self._spark.createDataFrame(rows, CENTROID_SCHEMA)
 
     def broadcast(self) -> Broadcast:
         ship_package(self._spark)
@@ -123,22 +153,32 @@ def nearest_centroid(df: DataFrame, centroids: CentroidTable) -> DataFrame:
     return assigned.select(*df.columns, "_nearest.cluster_id", "_nearest.centroid_dist")
 
 
+def with_fixed_point(df: DataFrame) -> DataFrame:
+    """Add ``fixed``: the vector in the integer unit that means are summed in."""
+    return df.withColumn(
+        "fixed", F.expr(f"transform(vector, v -> CAST(round(v * {_FIXED_POINT}D) AS BIGINT))")
+    )
+
+
+def cluster_means(assigned: DataFrame, dim: int = DIM) -> DataFrame:
+    """Mean vector of each cluster that has members."""
+    if "fixed" not in assigned.columns:
+        assigned = with_fixed_point(assigned)
+    total = [F.expr(f"sum(fixed[{i}]) AS _s{i}") for i in range(dim)]
+    sums = assigned.groupBy("cluster_id").agg(F.count("*").alias("_n"), *total)
+    means = ", ".join(f"CAST(_s{i} AS DOUBLE) / (_n * {_FIXED_POINT}D)" for i in range(dim))
+    return sums.select("cluster_id", F.expr(f"array({means})").alias("centroid"))
+
+
 def centroid_update(
     assigned: DataFrame, cluster_ids: DataFrame, dim: int = DIM
 ) -> DataFrame:
-    """Mean vector per cluster; a cluster without members becomes the zero vector."""
-    total = [
-        F.expr(f"sum(CAST(round(vector[{i}] * {_FIXED_POINT}D) AS BIGINT)) AS _s{i}")
-        for i in range(dim)
-    ]
-    sums = assigned.groupBy("cluster_id").agg(F.count("*").alias("_n"), *total)
-    means = ", ".join(
-        f"coalesce(CAST(_s{i} AS DOUBLE) / (_n * {_FIXED_POINT}D), 0D)" for i in range(dim)
-    )
+    """New centroid per cluster; a cluster without members becomes the zero vector."""
+    zero = F.array_repeat(F.lit(0.0), dim)
     return (
         cluster_ids.select("cluster_id")
-        .join(sums, "cluster_id", "left")
-        .select("cluster_id", F.expr(f"array({means})").alias("centroid"))
+        .join(cluster_means(assigned, dim), "cluster_id", "left")
+        .select("cluster_id", F.coalesce("centroid", zero).alias("centroid"))
         .withColumn("norm_sq", norm_sq("centroid", dim))
     )
 
@@ -164,37 +204,22 @@ def centroid_movement(old: DataFrame, new: DataFrame, dim: int = DIM) -> DataFra
     ).withColumn("moved_share", F.try_divide(F.col("moved"), F.col("clusters")))
 
 
-def lloyd_step(
-    sample: DataFrame, centroids: DataFrame, dim: int = DIM
-) -> DataFrame:
+def lloyd_step(sample: DataFrame, centroids: DataFrame, dim: int = DIM) -> DataFrame:
     """One assignment plus one mean."""
-    assigned = nearest_centroid(sample.select("vector"), CentroidTable(centroids, dim))
-    return centroid_update(assigned, centroids, dim)
+    table = CentroidTable.load(centroids, dim)
+    return centroid_update(nearest_centroid(sample.select("vector"), table), centroids, dim)
 
 
 def kmeans_seed(sample: DataFrame, k: int, seed: int, dim: int = DIM) -> DataFrame:
-    """Initial centroids by MLlib's distributed k-means|| seeding."""
-    return _mllib_centroids(sample, k, 0, seed, dim)
-
-
-def kmeans_fit(
-    sample: DataFrame, k: int, max_iter: int, seed: int, dim: int = DIM
-) -> DataFrame:
-    """Centroids by MLlib k-means.
+    """Initial centroids by MLlib's distributed k-means|| seeding.
 
-    It may return fewer than ``k`` centroids when there are fewer distinct
-    points, so cluster ids come from the result.
+    There may be fewer than ``k`` when there are fewer distinct points, so
+    cluster ids come from the result.
     """
-    return _mllib_centroids(sample, k, max_iter, seed, dim)
-
-
-def _mllib_centroids(
-    sample: DataFrame, k: int, max_iter: int, seed: int, dim: int
-) -> DataFrame:
     # The sample is a few megabytes and the work per row is large: spread it.
     parallelism = sample.sparkSession.sparkContext.defaultParallelism
     points = sample.select(array_to_vector("vector").alias("features")).repartition(parallelism)
-    model = KMeans(k=k, maxIter=max_iter, seed=seed, initMode="k-means||").fit(points)
+    model = KMeans(k=k, maxIter=0, seed=seed, initMode="k-means||").fit(points)
     rows = [
         (cluster, [float(x) for x in center])
         for cluster, center in enumerate(model.clusterCenters())
@@ -204,19 +229,32 @@ def _mllib_centroids(
 
 
 def lloyd_fit(
-    sample: DataFrame,
-    seeds: DataFrame,
-    max_iter: int,
-    early_stop: float,
-    dim: int = DIM,
+    sample: DataFrame, seeds: DataFrame, max_iter: int, early_stop: float, dim: int = DIM
 ) -> DataFrame:
-    """Repeat ``lloyd_step`` until fewer than ``early_stop`` of the centroids move."""
-    points = materialize(sample.select("vector"), "train")
-    centroids = materialize(seeds, "centroids")
+    """Repeat assignment and mean until fewer than ``early_stop`` centroids move.
+
+    Each round is one job over the sample; only the K means reach the driver.
+    """
+    parallelism = sample.sparkSession.sparkContext.defaultParallelism
+    spread = with_fixed_point(sample.select("vector")).repartition(parallelism)
+    points = materialize(spread, "points")
+    table = CentroidTable.load(seeds, dim)
     for _ in range(max_iter):
-        updated = materialize(lloyd_step(points, centroids, dim), "centroids")
-        share = centroid_movement(centroids, updated, dim).first()["moved_share"]
-        centroids = updated
+        updated = table.with_means(cluster_means(nearest_centroid(points, table), dim))
+        share = updated.moved_share(table)
+        table = updated
         if share < early_stop:
             break
-    return centroids
+    return table.to_frame()
+
+
+def kmeans_fit(
+    sample: DataFrame,
+    k: int,
+    max_iter: int,
+    seed: int,
+    early_stop: float = 0.001,
+    dim: int = DIM,
+) -> DataFrame:
+    """Seeding followed by Lloyd rounds."""
+    return lloyd_fit(sample, kmeans_seed(sample, k, seed, dim), max_iter, early_stop, dim)

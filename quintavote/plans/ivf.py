@@ -42,7 +42,7 @@ def assign_postings(
 ) -> DataFrame:
     """Posting rows of all references under the given centroids."""
     coded = with_reference_codes(references)
-    assigned = nearest_centroid(coded, CentroidTable(centroids, dim))
+    assigned = nearest_centroid(coded, CentroidTable.load(centroids, dim))
     return assigned.select("cluster_id", "ref_id", "codes", "fraud")
 
 
@@ -54,7 +54,10 @@ def build_index(
         train_sample(references, "ref_id", params.train_rows, params.seed), "train"
     )
     centroids = materialize(
-        kmeans_fit(sample, params.clusters, params.max_iter, params.seed, dim), "centroids"
+        kmeans_fit(
+            sample, params.clusters, params.max_iter, params.seed, params.early_stop, dim
+        ),
+        "centroids",
     )
     postings = materialize(assign_postings(references, centroids, dim), "postings")
     return IvfIndex(centroids, postings, dim)
@@ -73,7 +76,7 @@ def fast_neighbors(
     small_queries: bool = False,
 ) -> DataFrame:
     """Top five of each query (query_id, vector, codes) in its nearest clusters."""
-    table = CentroidTable(index.centroids, index.dim)
+    table = CentroidTable.load(index.centroids, index.dim)
     fast = params.clamped(table.size).fast
     probes = probe_rows(_ranked(queries, index, table, fast), 1, fast)
     found = scan_probes(
@@ -97,7 +100,7 @@ def adaptive_votes(
 
     Returns query_id, votes, fast_votes and expanded.
     """
-    table = CentroidTable(index.centroids, index.dim)
+    table = CentroidTable.load(index.centroids, index.dim)
     params = params.clamped(table.size)
     ranked = _ranked(queries, index, table, params.full)
 
