@@ -81,6 +81,7 @@ class CentroidTable:
         self.ids, self.matrix, self.norms = ids, matrix, norms
         self.size, self.dim = matrix.shape
         self._spark = spark
+        self._broadcast: Broadcast | None = None
 
     @classmethod
     def load(cls, centroids: DataFrame, dim: int = DIM) -> CentroidTable:
@@ -122,8 +123,11 @@ class CentroidTable:
         return self._spark.createDataFrame(rows, CENTROID_SCHEMA)
 
     def broadcast(self) -> Broadcast:
-        ship_package(self._spark)
-        return self._spark.sparkContext.broadcast((self.ids, self.matrix, self.norms))
+        if self._broadcast is None:
+            ship_package(self._spark)
+            held = (self.ids, self.matrix, self.norms)
+            self._broadcast = self._spark.sparkContext.broadcast(held)
+        return self._broadcast
 
 
 def nearest_centroid(df: DataFrame, centroids: CentroidTable) -> DataFrame:

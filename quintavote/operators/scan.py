@@ -51,16 +51,21 @@ _ARROW_SCHEMA = pa.schema(
 
 
 def _candidates(
-    probes: pa.Table, postings: pa.Table, dim: int, k: int, skip_self: bool
+    probes: pa.Table,
+    probe_codes: np.ndarray,
+    postings: pa.Table,
+    posting_codes: np.ndarray,
+    k: int,
+    skip_self: bool,
 ) -> pa.Table:
     """Top ``k`` of one block of postings for each probe row."""
     if not probes.num_rows or not postings.num_rows:
         return _ARROW_SCHEMA.empty_table()
     query_rows, ref_rows, dist = nearest_in_block(
         probes["query_id"].to_numpy(),
-        to_matrix(probes["codes"], dim),
+        probe_codes,
         postings["ref_id"].to_numpy(),
-        to_matrix(postings["codes"], dim),
+        posting_codes,
         k,
         skip_self,
         probes["bound"].to_numpy() if "bound" in probes.column_names else None,
@@ -122,7 +127,9 @@ def shuffled_scan(
     )
 
     def scan(queries: pa.Table, references: pa.Table) -> pa.Table:
-        return _candidates(queries, references, dim, k, skip_self)
+        query_codes = to_matrix(queries["codes"], dim)
+        reference_codes = to_matrix(references["codes"], dim)
+        return _candidates(queries, query_codes, references, reference_codes, k, skip_self)
 
     keys = ["cluster_id", "_query_block", "_ref_block"]
     return (
@@ -139,39 +146,46 @@ def broadcast_scan(
     k: int = NEIGHBOURS,
     skip_self: bool = False,
     limit: int = BROADCAST_PROBES,
+    shelf_clusters: int | None = None,
 ) -> DataFrame | None:
     """Stream postings past a small set of probes, without shuffling postings.
 
-    None when there are more than ``limit`` probe rows.  With postings
-    partitioned by cluster, only the probed clusters are read.
+    None when there are more than ``limit`` probe rows.  Stored postings are
+    read by shelf: only folders that hold a probed cluster.
     """
     ship_package(probes.sparkSession)
     held = probes.select(*probe_columns(probes)).limit(limit + 1).toArrow()
     if held.num_rows > limit:
         return None
-    held = held.sort_by("cluster_id")
+    held = held.sort_by("cluster_id").combine_chunks()
     clusters = pc.unique(held["cluster_id"]).to_pylist()
     table = probes.sparkSession.sparkContext.broadcast(held)
 
     def scan(batches):
         wanted = table.value
         probed = wanted["cluster_id"].to_numpy()
+        wanted_codes = to_matrix(wanted["codes"], dim)
         for batch in batches:
             postings_table = pa.Table.from_batches([batch]).sort_by("cluster_id")
+            codes = to_matrix(postings_table["codes"], dim)
             ids = postings_table["cluster_id"].to_numpy()
             for cluster in np.unique(ids):
                 lo, hi = np.searchsorted(ids, [cluster, cluster + 1])
                 first, last = np.searchsorted(probed, [cluster, cluster + 1])
                 found = _candidates(
                     wanted.slice(first, last - first),
+                    wanted_codes[first:last],
                     postings_table.slice(lo, hi - lo),
-                    dim,
+                    codes[lo:hi],
                     k,
                     skip_self,
                 )
                 yield from found.to_batches()
 
     touched = postings.filter(F.col("cluster_id").isin(clusters))
+    if shelf_clusters:
+        shelves = sorted({cluster // shelf_clusters for cluster in clusters})
+        touched = touched.filter(F.col("shelf").isin(shelves))
     return touched.select("cluster_id", "ref_id", "codes", "fraud").mapInArrow(
         scan, CANDIDATE_SCHEMA
     )
@@ -184,6 +198,7 @@ def scan_probes(
     k: int = NEIGHBOURS,
     skip_self: bool = False,
     small_queries: bool = False,
+    shelf_clusters: int | None = None,
 ) -> DataFrame:
     """Candidates for each probe: ``k`` per block of the probed cluster.
 
@@ -194,7 +209,9 @@ def scan_probes(
     probes stay within its size limit.
     """
     if small_queries:
-        found = broadcast_scan(probes, postings, dim, k, skip_self)
+        found = broadcast_scan(
+            probes, postings, dim, k, skip_self, shelf_clusters=shelf_clusters
+        )
         if found is not None:
             return found
     return shuffled_scan(probes, postings, dim, k, skip_self)

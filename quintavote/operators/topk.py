@@ -32,12 +32,31 @@ def topk_merge(carried: DataFrame, extra: DataFrame, k: int = NEIGHBOURS) -> Dat
     return topk_neighbors(both, k)
 
 
-def with_bounds(queries: DataFrame, neighbours: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """Add ``bound``; a query short of ``k`` neighbours is unbounded."""
-    last = neighbours.filter(F.col("rank") == k)
-    bounds = last.select("query_id", F.col("dist").alias("_bound"))
-    bound = F.coalesce("_bound", F.lit(UNBOUNDED)).alias("bound")
-    return queries.join(bounds, "query_id", "left").select(*queries.columns, bound)
+def with_neighbours(
+    queries: DataFrame, neighbours: DataFrame, k: int = NEIGHBOURS
+) -> DataFrame:
+    """Add each query's neighbours as one array, with its votes and its bound.
+
+    ``near`` holds at most ``k`` (dist, ref_id, fraud).  A slot that found no
+    neighbour counts as legitimate.  ``bound`` is the distance of the k-th
+    neighbour; a query short of ``k`` is unbounded.
+    """
+    grouped = neighbours.groupBy("query_id").agg(
+        F.collect_list(F.struct("dist", "ref_id", "fraud")).alias("near"),
+        F.sum("fraud").alias("_votes"),
+        F.when(F.count("*") >= k, F.max("dist")).alias("_bound"),
+    )
+    return queries.join(grouped, "query_id", "left").select(
+        *queries.columns,
+        "near",
+        F.coalesce("_votes", F.lit(0)).cast("int").alias("votes"),
+        F.coalesce("_bound", F.lit(UNBOUNDED)).alias("bound"),
+    )
+
+
+def carried_candidates(queries: DataFrame) -> DataFrame:
+    """The ``near`` arrays as candidate rows again."""
+    return queries.select("query_id", F.inline("near")).select(*CANDIDATE_COLUMNS)
 
 
 def fraud_vote(queries: DataFrame, neighbours: DataFrame) -> DataFrame:

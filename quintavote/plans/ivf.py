@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +19,11 @@ from quintavote.operators.probing import probe_rows, with_probes
 from quintavote.operators.scan import scan_probes
 from quintavote.operators.topk import (
     borderline,
+    carried_candidates,
     fraud_vote,
     topk_merge,
     topk_neighbors,
-    with_bounds,
+    with_neighbours,
 )
 from quintavote.operators.vectorize import with_reference_codes
 from quintavote.staging import materialize
@@ -35,6 +37,13 @@ class IvfIndex:
     postings: DataFrame
     dim: int = DIM
     scale: int = SCALE
+    # Clusters per partition folder of stored postings; None when not stored so.
+    shelf_clusters: int | None = None
+
+    @cached_property
+    def table(self) -> CentroidTable:
+        """The centroid matrix, fetched once per opened index."""
+        return CentroidTable.load(self.centroids, self.dim)
 
 
 def assign_postings(
@@ -63,11 +72,23 @@ def build_index(
     return IvfIndex(centroids, postings, dim)
 
 
-def _ranked(queries: DataFrame, index: IvfIndex, table: CentroidTable, n: int) -> DataFrame:
-    probed = with_probes(queries, table, n)
+def _ranked(queries: DataFrame, index: IvfIndex, n: int) -> DataFrame:
+    probed = with_probes(queries, index.table, n)
     return materialize(probed.select("query_id", "codes", "probes"), "ranked")
 
 
+def _scan(probes: DataFrame, index: IvfIndex, skip_self: bool, small: bool) -> DataFrame:
+    return scan_probes(
+        probes,
+        index.postings,
+        index.dim,
+        NEIGHBOURS,
+        skip_self,
+        small_queries=small,
+        shelf_clusters=index.shelf_clusters,
+    )
+
+
 def fast_neighbors(
     queries: DataFrame,
     index: IvfIndex,
@@ -76,13 +97,9 @@ def fast_neighbors(
     small_queries: bool = False,
 ) -> DataFrame:
     """Top five of each query (query_id, vector, codes) in its nearest clusters."""
-    table = CentroidTable.load(index.centroids, index.dim)
-    fast = params.clamped(table.size).fast
-    probes = probe_rows(_ranked(queries, index, table, fast), 1, fast)
-    found = scan_probes(
-        probes, index.postings, index.dim, NEIGHBOURS, skip_self, small_queries
-    )
-    return topk_neighbors(found)
+    fast = params.clamped(index.table.size).fast
+    probes = probe_rows(_ranked(queries, index, fast), 1, fast)
+    return topk_neighbors(_scan(probes, index, skip_self, small_queries))
 
 
 def fast_votes(queries: DataFrame, index: IvfIndex, **options) -> DataFrame:
@@ -98,41 +115,27 @@ def adaptive_votes(
 ) -> DataFrame:
     """Fast vote, extended to more clusters where it came out at 2 or 3.
 
-    Returns query_id, votes, fast_votes and expanded.
+    Returns query_id, votes, fast_votes and expanded.  The first pass is landed
+    with its neighbours, so the second only reads the clusters that are new.
     """
-    table = CentroidTable.load(index.centroids, index.dim)
-    params = params.clamped(table.size)
-    ranked = _ranked(queries, index, table, params.full)
-
-    def scan(probes: DataFrame) -> DataFrame:
-        return scan_probes(
-            probes, index.postings, index.dim, NEIGHBOURS, skip_self, small_queries
-        )
-
-    carried = materialize(
-        topk_neighbors(scan(probe_rows(ranked, 1, params.fast))), "carried"
-    )
-    fast = fraud_vote(ranked, carried)
+    params = params.clamped(index.table.size)
+    ranked = _ranked(queries, index, params.full)
+    first = _scan(probe_rows(ranked, 1, params.fast), index, skip_self, small_queries)
+    fast = materialize(with_neighbours(ranked, topk_neighbors(first)), "fast")
+    fast_votes_only = fast.select("query_id", F.col("votes").alias("fast_votes"))
     if params.full <= params.fast:
-        return fast.select(
-            "query_id", "votes", F.col("votes").alias("fast_votes"), F.lit(False).alias("expanded")
+        return fast_votes_only.select(
+            "query_id", F.col("fast_votes").alias("votes"), "fast_votes", F.lit(False).alias("expanded")
         )
 
-    fast = materialize(fast, "votes")
-    open_ids = borderline(fast).select("query_id")
-    carried_open = carried.join(open_ids, "query_id", "left_semi")
-    still_open = ranked.join(open_ids, "query_id", "left_semi")
-    more = materialize(
-        probe_rows(
-            with_bounds(still_open, carried_open), params.fast + 1, params.full
-        ),
-        "more",
-    )
-    merged = topk_merge(carried_open, scan(more))
-    final = fraud_vote(open_ids, merged).withColumnRenamed("votes", "_final")
-    return fast.join(final, "query_id", "left").select(
+    unsettled = borderline(fast)
+    more = probe_rows(unsettled, params.fast + 1, params.full)
+    extra = _scan(more, index, skip_self, small_queries)
+    merged = topk_merge(carried_candidates(unsettled), extra)
+    final = fraud_vote(unsettled, merged).withColumnRenamed("votes", "_final")
+    return fast_votes_only.join(final, "query_id", "left").select(
         "query_id",
-        F.coalesce("_final", "votes").alias("votes"),
-        F.col("votes").alias("fast_votes"),
+        F.coalesce("_final", "fast_votes").alias("votes"),
+        "fast_votes",
         F.col("_final").isNotNull().alias("expanded"),
     )

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quintavote.config import DIM, MAX_CLUSTERS, SCALE
-from quintavote.operators.clustering import CENTROID_SCHEMA
-from quintavote.operators.scan import REFERENCE_BLOCK
+from quintavote.operators.clustering import CENTROID_SCHEMA, cluster_profile
 from quintavote.plans.ivf import IvfIndex
 
 FORMAT = "quintavote-ivf"
 VERSION = 1
 
+# Rows a shelf should hold on average, and the most one file takes.
+SHELF_ROWS = 1_000_000
+# Smaller files would cost more to open than to read.
+MIN_FILE_ROWS = 8_192
+
 HEADER_SCHEMA = T.StructType(
     [
         T.StructField("format", T.StringType()),
@@ -22,6 +26,7 @@ HEADER_SCHEMA = T.StructType(
         T.StructField("dim", T.IntegerType()),
         T.StructField("k", T.IntegerType()),
         T.StructField("scale", T.IntegerType()),
+        T.StructField("shelf_clusters", T.IntegerType()),
     ]
 )
 POSTING_SCHEMA = T.StructType(
@@ -30,6 +35,7 @@ POSTING_SCHEMA = T.StructType(
         T.StructField("codes", T.ArrayType(T.ShortType())),
         T.StructField("fraud", T.IntegerType()),
         T.StructField("cluster_id", T.IntegerType()),
+        T.StructField("shelf", T.IntegerType()),
     ]
 )
 
@@ -38,35 +44,54 @@ class IndexFormatError(ValueError):
     """The files are not an index this version can search."""
 
 
+def clusters_per_shelf(rows: int, clusters: int) -> int:
+    """Clusters per shelf, so that a shelf of average clusters has SHELF_ROWS."""
+    return max(1, min(clusters, clusters * SHELF_ROWS // max(rows, 1)))
+
+
 def write_index(index: IvfIndex, path: str) -> None:
     """Write centroids, postings and header under ``path``.
 
-    Postings are partitioned by cluster, so a search of few clusters reads only
-    their files.  A large cluster is written by several tasks, one per block.
-    The header goes last: a build that was cut short has none and will not open.
+    Postings go into folders ("shelves") of neighbouring cluster ids and are
+    sorted by cluster inside a file, so a search of few clusters reads few
+    folders and few row groups, while a small index stays in few files.  A hot
+    cluster is written by many tasks.  The header goes last: a build that was cut
+    short has none and will not open.
     """
     index.centroids.select(*CENTROID_SCHEMA.names).write.mode("overwrite").parquet(
         f"{path}/centroids"
     )
-    sizes = index.postings.groupBy("cluster_id").agg(
-        F.ceil(F.count("*") / F.lit(REFERENCE_BLOCK)).cast("int").alias("_blocks")
+    spark = index.postings.sparkSession
+    rows, clusters = index.postings.count(), index.centroids.count()
+    per_shelf = clusters_per_shelf(rows, clusters)
+    file_rows = max(MIN_FILE_ROWS, min(SHELF_ROWS, rows // spark.sparkContext.defaultParallelism))
+
+    # One row per cluster.  Files follow cluster order; a cluster larger than a
+    # file is dealt over several.
+    profile = cluster_profile(index.postings, index.centroids).select(
+        "cluster_id",
+        F.expr(f"cluster_id div {per_shelf}").cast("int").alias("shelf"),
+        F.expr(f"start_offset div {file_rows}").alias("_first"),
+        F.ceil(F.col("members") / F.lit(file_rows)).alias("_spread"),
     )
-    blocked = index.postings.join(F.broadcast(sizes), "cluster_id").withColumn(
-        "_block", F.pmod(F.xxhash64("ref_id"), F.col("_blocks"))
+    dealt = F.pmod(F.xxhash64("ref_id"), F.col("_spread"))
+    cut = index.postings.join(F.broadcast(profile), "cluster_id").withColumn(
+        "_file", F.col("_first") + dealt
     )
+    # A small index still takes one task per file; a large one leaves the number
+    # of tasks to the session.
+    files = -(-rows // file_rows)
+    keys = ["shelf", "_file"]
+    few = 0 < files <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut.repartition(files, *keys) if few else cut.repartition(*keys)
     (
-        blocked.repartition("cluster_id", "_block")
+        placed.sortWithinPartitions("shelf", "_file", "cluster_id", "ref_id")
         .select(*POSTING_SCHEMA.names)
-        .sortWithinPartitions("cluster_id", "ref_id")
         .write.mode("overwrite")
-        .partitionBy("cluster_id")
+        .partitionBy("shelf")
         .parquet(f"{path}/postings")
     )
-    spark = index.postings.sparkSession
-    written = spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/postings")
-    header = [
-        (FORMAT, VERSION, written.count(), index.dim, index.centroids.count(), index.scale)
-    ]
+    header = [(FORMAT, VERSION, rows, index.dim, clusters, index.scale, per_shelf)]
     spark.createDataFrame(header, HEADER_SCHEMA).coalesce(1).write.mode("overwrite").json(
         f"{path}/header"
     )
@@ -92,4 +117,5 @@ def read_index(spark: SparkSession, path: str, dim: int = DIM) -> IvfIndex:
         spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/postings"),
         header["dim"],
         header["scale"],
+        header["shelf_clusters"],
     )

@@ -26,6 +26,7 @@ SEED = 7
 PROBES = ProbeParams(fast=8, full=28)
 
 _tables: dict[tuple, DataFrame] = {}
+_indexes: dict[int, IvfIndex] = {}
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, table: str) -> tuple:
@@ -52,6 +53,7 @@ def _landed(
 def forget() -> None:
     """Let the next query land everything anew."""
     _tables.clear()
+    _indexes.clear()
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +105,8 @@ def index(spark: SparkSession, sf_dir: str) -> IvfIndex:
         "events",
         lambda: assign_postings(references(spark, sf_dir), center),
     )
-    return IvfIndex(center, postings)
+    # One opened index per postings table keeps its centroid matrix.
+    return _indexes.setdefault(id(postings), IvfIndex(center, postings))
 
 
 def fast(spark: SparkSession, sf_dir: str) -> DataFrame:

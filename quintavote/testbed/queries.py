@@ -441,12 +441,12 @@ def vectorize(spark, sf_dir):
 
 @query
 def query_centroid_cross(spark, sf_dir):
-    table = clustering.CentroidTable.load(landed.centroids(spark, sf_dir))
+    table = landed.index(spark, sf_dir).table
     return probing.centroid_coverage(landed.queries(spark, sf_dir), table)
 
 
 def _probes(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
-    table = clustering.CentroidTable.load(landed.centroids(spark, sf_dir))
+    table = landed.index(spark, sf_dir).table
     ranked = probing.with_probes(landed.queries(spark, sf_dir), table, last)
     return materialize(probing.probe_rows(ranked, first, last), "probes")
 
@@ -650,7 +650,7 @@ def output_checks(spark, sf_dir):
 def nearest_centroid(spark, sf_dir):
     assigned = clustering.nearest_centroid(
         landed.references(spark, sf_dir),
-        clustering.CentroidTable.load(landed.centroids(spark, sf_dir)),
+        landed.index(spark, sf_dir).table,
     )
     return assigned.select("ref_id", "cluster_id", "centroid_dist")
 
@@ -668,7 +668,7 @@ def topk_neighbors(spark, sf_dir):
 
 @query
 def probe_select(spark, sf_dir):
-    table = clustering.CentroidTable.load(landed.centroids(spark, sf_dir))
+    table = landed.index(spark, sf_dir).table
     ranked = probing.with_probes(landed.queries(spark, sf_dir), table, landed.PROBES.full)
     return probing.probe_rows(ranked, 1, landed.PROBES.full).drop("codes")
 

@@ -4,6 +4,7 @@ import json
 import pytest
 
 from quintavote.config import Normalization
+from quintavote.operators import scan
 from quintavote.operators.clustering import sampled_seeds
 from quintavote.plans.ivf import IvfIndex, assign_postings
 from quintavote.sources import decisions, evaluation_set, index_store, tables
@@ -120,12 +121,30 @@ def test_index_round_trip(spark, index):
     assert (header["n"], header["k"], header["dim"], header["scale"]) == (80, 5, 14, 10_000)
 
 
-def test_one_cluster_reads_only_its_files(spark, index):
+def test_few_clusters_read_few_files(spark, index, monkeypatch):
+    monkeypatch.setattr(index_store, "SHELF_ROWS", 16)
+    monkeypatch.setattr(index_store, "MIN_FILE_ROWS", 4)
     path = fresh_path(spark, "index")
     index_store.write_index(index, path)
-    read = index_store.read_index(spark, path).postings.filter("cluster_id = 1")
-    plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(cluster_id" in plan
+    read = index_store.read_index(spark, path)
+    assert read.shelf_clusters == 1
+    files = read.postings.inputFiles()
+    assert len(files) > 5  # a shelf is cut by rows as well
+    probes = spark.createDataFrame(
+        [(1, [0] * 14, 1, 2)], "query_id long, codes array<smallint>, probe_rank int, cluster_id int"
+    )
+    found = scan.scan_probes(probes, read.postings, small_queries=True, shelf_clusters=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shelf" in plan and "Exchange" not in plan
+    assert found.count() >= 1
+
+
+@pytest.mark.parametrize(
+    "rows, clusters, shelf",
+    [(100, 5, 5), (0, 5, 5), (3_000_000, 4_096, 1_365), (10**12, 65_535, 1)],
+)
+def test_shelf_sizes(rows, clusters, shelf):
+    assert index_store.clusters_per_shelf(rows, clusters) == shelf
 
 
 def test_index_mismatch_is_refused(spark, index):
@@ -134,7 +153,7 @@ def test_index_mismatch_is_refused(spark, index):
     with pytest.raises(index_store.IndexFormatError, match="dim"):
         index_store.read_index(spark, path, dim=64)
     other = fresh_path(spark, "index")
-    spark.createDataFrame([("other", 1, 1, 14, 1, 10_000)], index_store.HEADER_SCHEMA).write.json(
+    spark.createDataFrame([("other", 1, 1, 14, 1, 10_000, 1)], index_store.HEADER_SCHEMA).write.json(
         f"{other}/header"
     )
     with pytest.raises(index_store.IndexFormatError, match="header"):
