@@ -26,6 +26,18 @@ def topk_neighbors(candidates: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
+def nearest_copies(references: DataFrame, copies: int, *within: str) -> DataFrame:
+    """Of references with equal codes (and ``within``), the ``copies`` of lowest id.
+
+    Copies are equally far from every query and ties go to the lower id, so no
+    other copy can be among that many neighbours.  A vector that fills a third
+    of the table shrinks to a handful of rows in each task before the exchange.
+    """
+    order = Window.partitionBy(*within, "codes").orderBy("ref_id")
+    ranked = references.withColumn("_copy", F.row_number().over(order))
+    return ranked.filter(F.col("_copy") <= copies).drop("_copy")
+
+
 def topk_merge(carried: DataFrame, extra: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """Continue a carried top-k with more candidates."""
     both = carried.select(*CANDIDATE_COLUMNS).unionByName(extra.select(*CANDIDATE_COLUMNS))

@@ -21,6 +21,7 @@ from quintavote.operators.topk import (
     borderline,
     carried_candidates,
     fraud_vote,
+    nearest_copies,
     topk_merge,
     topk_neighbors,
     with_neighbours,
@@ -56,9 +57,17 @@ def assign_postings(
 
 
 def build_index(
-    references: DataFrame, params: BuildParams = BuildParams(), dim: int = DIM
+    references: DataFrame,
+    params: BuildParams = BuildParams(),
+    dim: int = DIM,
+    collapse_copies: bool = False,
 ) -> IvfIndex:
-    """Sample, train, assign and quantise ``references`` (ref_id, vector, fraud)."""
+    """Sample, train, assign and quantise ``references`` (ref_id, vector, fraud).
+
+    ``collapse_copies`` leaves out references that equal others of lower id in
+    their cluster and so can never be chosen; results stay the same, hot vectors
+    stop costing.
+    """
     sample = materialize(
         train_sample(references, "ref_id", params.train_rows, params.seed), "train"
     )
@@ -68,8 +77,10 @@ def build_index(
         ),
         "centroids",
     )
-    postings = materialize(assign_postings(references, centroids, dim), "postings")
-    return IvfIndex(centroids, postings, dim)
+    postings = assign_postings(references, centroids, dim)
+    if collapse_copies:
+        postings = nearest_copies(postings, NEIGHBOURS + 1, "cluster_id")
+    return IvfIndex(centroids, materialize(postings, "postings"), dim)
 
 
 def _ranked(queries: DataFrame, index: IvfIndex, n: int) -> DataFrame:

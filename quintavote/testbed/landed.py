@@ -26,7 +26,7 @@ SEED = 7
 PROBES = ProbeParams(fast=8, full=28)
 
 _tables: dict[tuple, DataFrame] = {}
-_indexes: dict[int, IvfIndex] = {}
+_indexes: dict[str, IvfIndex] = {}
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, table: str) -> tuple:
@@ -105,8 +105,9 @@ def index(spark: SparkSession, sf_dir: str) -> IvfIndex:
         "events",
         lambda: assign_postings(references(spark, sf_dir), center),
     )
-    # One opened index per postings table keeps its centroid matrix.
-    return _indexes.setdefault(id(postings), IvfIndex(center, postings))
+    # One opened index per landed table, as it keeps the centroid matrix.
+    location = min(postings.inputFiles())
+    return _indexes.setdefault(location, IvfIndex(center, postings))
 
 
 def fast(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,17 @@ def test_borderline_is_two_or_three(spark):
     assert sorted(r["votes"] for r in borderline(votes).collect()) == [2, 3]
 
 
+def test_collapsed_copies_do_not_change_votes(hot):
+    queries, refs, _ = hot
+    source = refs.select("ref_id", "vector", "fraud")
+    params = BuildParams(clusters=10, train_rows=200)
+    full = ivf.build_index(source, params)
+    short = ivf.build_index(source, params, collapse_copies=True)
+    assert full.postings.count() == 400 and short.postings.count() <= 400 - 140 + 6
+    wanted = collected(ivf.fast_neighbors(queries, full, ProbeParams(3, 3)))
+    assert collected(ivf.fast_neighbors(queries, short, ProbeParams(3, 3))) == wanted
+
+
 def test_built_index_holds_every_reference_once(spark, hot):
     _, refs, _ = hot
     index = ivf.build_index(
