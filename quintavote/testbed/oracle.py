@@ -318,6 +318,11 @@ def statements() -> dict[str, str]:
     codes = _list("CAST(q{i} AS INTEGER) AS q{i}")
     sql = {
         "ref_scan": _with(f"SELECT fraud, {codes} FROM r", "r"),
+        "norm_params": _with(
+            f"""SELECT k AS query_id, {_clamp("amount / 5000e0")} AS d0,
+            {_clamp("installments / 6e0")} AS d1, {_clamp("km_from_home / 400e0")} AS d7 FROM t""",
+            "t",
+        ),
         "mcc_table": _with(
             """SELECT lpad(mcc, 4, '0') AS mcc, CAST(sum(fraud) AS DOUBLE) / count(*) AS risk
             FROM t GROUP BY 1""",
@@ -541,6 +546,11 @@ def statements() -> dict[str, str]:
             FROM probes""",
             "probes",
         ),
+        "probe_params": _with(
+            """SELECT k AS query_id, CAST(probe_rank AS INTEGER) AS probe_rank, cluster_id,
+            probe_rank = 1 AS is_fast FROM probes WHERE probe_rank <= 3""",
+            "probes",
+        ),
         "topk_merge": _with(_ranked("fast5"), "fast5"),
         "train_sample": _with(
             f"""SELECT event_id AS ref_id,

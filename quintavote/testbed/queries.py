@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintavote.config import DIM, BuildParams, Normalization
+from quintavote.config import DIM, BuildParams, Normalization, ProbeParams
 from quintavote.functions import distance, features, parsing
 from quintavote.operators import clustering, evaluate, knn, payload, probing, scan, topk
 from quintavote.operators import vectorize as vec
@@ -71,6 +73,21 @@ def ref_scan(spark, sf_dir):
     return _codes(vec.with_reference_codes(read), "fraud")
 
 
+@query
+def norm_params(spark, sf_dir):
+    """Divisors from a configuration file, applied to every transaction."""
+    path = fresh_path(spark, "norm")
+    divisors = {**asdict(NORM), "max_amount": 5_000, "max_km": 400, "max_installments": 6}
+    spark.createDataFrame([(json.dumps(divisors),)], "value string").write.text(path)
+    norm = tables.read_normalization(spark, path)
+    return landed.transactions(spark, sf_dir).select(
+        "query_id",
+        features.ratio_dim(F.col("amount"), norm.max_amount).alias("d0"),
+        features.ratio_dim(F.col("installments"), norm.max_installments).alias("d1"),
+        features.ratio_dim(F.col("km_from_home"), norm.max_km).alias("d7"),
+    )
+
+
 @query
 def mcc_table(spark, sf_dir):
     """Observed fraud share by code, written as the configuration map and read back."""
@@ -673,6 +690,19 @@ def probe_select(spark, sf_dir):
     return probing.probe_rows(ranked, 1, landed.PROBES.full).drop("codes")
 
 
+@query
+def probe_params(spark, sf_dir):
+    """Out-of-range probe counts, brought into range and applied."""
+    table = landed.index(spark, sf_dir).table
+    params = ProbeParams(fast=0, full=3).clamped(table.size)
+    rows = probing.probe_rows(
+        probing.with_probes(landed.queries(spark, sf_dir), table, params.full), 1, params.full
+    )
+    return rows.select(
+        "query_id", "probe_rank", "cluster_id", (F.col("probe_rank") <= params.fast).alias("is_fast")
+    )
+
+
 @query
 def topk_merge(spark, sf_dir):
     """Probe ranks 1-4 carried, ranks 5-8 added."""

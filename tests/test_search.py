@@ -219,3 +219,24 @@ def test_built_index_holds_every_reference_once(spark, hot):
         refs.select("ref_id", "vector"), CentroidTable.load(index.centroids)
     ).select("ref_id", "cluster_id")
     assert postings.select("ref_id", "cluster_id").exceptAll(again).count() == 0
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_limit_before_the_exchange_and_never_cross(hot, hot_index):
+    queries, refs, _ = hot
+    fast = physical(ivf.fast_neighbors(queries, hot_index, ProbeParams(3, 3)))
+    adaptive = physical(ivf.adaptive_votes(queries, hot_index, ProbeParams(3, 6)))
+    exact = physical(knn_exact(queries, refs, cells=8))
+    for plan in (fast, adaptive, exact):
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+        assert "FlatMapCoGroupsInArrow" in plan
+        assert plan.count("WindowGroupLimit") >= 2  # partial and final
+
+
+def test_ranking_needs_no_exchange(hot, hot_index):
+    queries, _, _ = hot
+    plan = physical(with_probes(queries, hot_index.table, 4))
+    assert "Exchange" not in plan and "ArrowEvalPython" in plan
