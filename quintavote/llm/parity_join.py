@@ -249,13 +249,20 @@ def links(docs: DataFrame, info: DataFrame) -> DataFrame:
     """a, b of similar documents, enough of them to connect every class of similar documents."""
     rows = info.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id")
     within = Window.partitionBy("key")
+    # Keys with the same documents count once: they are named by the XOR of their
+    # documents' hashes (a chance agreement only makes one group of two).
     members = materialize(
-        rows.select("key", "doc_id", F.min("doc_id").over(within).alias("lo"), F.max("doc_id").over(within).alias("hi"))
+        rows.select(
+            "doc_id",
+            F.min("doc_id").over(within).alias("lo"),
+            F.max("doc_id").over(within).alias("hi"),
+            F.expr("bit_xor(xxhash64(doc_id))").over(within).alias("key"),
+        )
         .where("lo < hi")
         .select("key", "doc_id")
         .distinct(),
         "members",
-    )
+    )
     small = info.select("doc_id", "n_shingles", "finger", "bits")
     verified: DataFrame | None = None
     n_leaders = LEADERS
