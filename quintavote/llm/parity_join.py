@@ -43,8 +43,8 @@ from quintavote.staging import materialize, ship_package
 
 WORDS = 5
 SMALL = 64
-SKETCH_BITS = 1_024
-LEADERS = 4
+SKETCH_BITS = 4  # a shingle, at least
+LEADERS = 1
 # Documents sampled for frequent shingles, and how many of those are kept: both bounds.
 HOT_SAMPLE = 20_000
 HOT_SHINGLES = 1 << 16
@@ -128,11 +128,27 @@ def block_keys(u: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def parity_bits(u: np.ndarray) -> np.ndarray:
-    """The parity of the number of shingles at each of SKETCH_BITS places, as 64-bit words."""
-    odd = np.bincount((_mix(u) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    """Whether each place has an odd number of shingles, as 64-bit words; a power of two of them."""
+    size = 64 << max(0, int(np.ceil(np.log2(max(1, SKETCH_BITS * len(u) / 64)))))
+    odd = np.bincount((_mix(u) % np.uint64(size)).astype(np.int64), minlength=size)
     return np.packbits((odd & 1).astype(np.uint8)).view(">i8").astype(np.int64)
 
 
+def _hamming(a: str, b: str) -> str:
+    """SQL of the distance of two sketches; 0 where their sizes are too far apart to fold."""
+    half = lambda x: (
+        f"zip_with(slice({x}, 1, size({x}) DIV 2), slice({x}, size({x}) DIV 2 + 1, size({x}) DIV 2), (x, y) -> x ^ y)"
+    )
+    count = lambda x, y: (
+        f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    )
+    return (
+        f"CASE WHEN size({a}) = size({b}) THEN {count(a, b)}"
+        f" WHEN size({a}) = 2 * size({b}) THEN {count(half(a), b)}"
+        f" WHEN size({b}) = 2 * size({a}) THEN {count(a, half(b))} ELSE 0 END"
+    )
+
+
 def _hot_shingles(docs: DataFrame) -> np.ndarray:
     n = docs.count()
     share = min(1.0, HOT_SAMPLE / max(1, n))
@@ -181,9 +197,7 @@ def sketches(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, linked, apart (a lower bound of their distance) for each pair of ids."""
     side = lambda s: info.select(*(F.col(c).alias(f"{c}_{s}") for c in info.columns))
-    differ = F.expr(
-        "aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    )
+    differ = F.expr(_hamming("bits_a", "bits_b"))
     both = F.col("n_shingles_a") + F.col("n_shingles_b")
     known = (
         pairs.join(side("a"), F.col("a") == F.col("doc_id_a"))
@@ -197,7 +211,7 @@ def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     known = materialize(
         known.withColumn("apart", 2 * F.col("delta") / (F.col("both") + F.col("delta"))), "known"
     )
-    settled = F.col("equal") | (F.col("apart") > 0.5)
+    settled = F.col("equal") | (7 * F.col("delta") > F.col("both"))
     open_pairs = known.where(~settled)
     ids = materialize(
         open_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "verify-ids"
@@ -320,7 +334,10 @@ def _settle(
 ) -> DataFrame:
     """``verified`` and what is new in ``pairs``."""
     new = pairs if verified is None else pairs.join(verified, ["a", "b"], "left_anti")
-    new = materialize(_verify(materialize(new, "pairs"), info, docs), "verified")
+    new = materialize(new, "pairs")
+    if verified is not None and new.isEmpty():
+        return verified
+    new = materialize(_verify(new, info, docs), "verified")
     return new if verified is None else verified.unionByName(new)
 
 
