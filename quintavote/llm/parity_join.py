@@ -46,10 +46,10 @@ SMALL = 64
 SKETCH_BITS = 4  # a shingle, at least
 LEADERS = 1
 # Documents sampled for frequent shingles, and how many of those are kept: both bounds.
-HOT_SAMPLE = 20_000
+HOT_SAMPLE = 10_000
 HOT_SHINGLES = 1 << 16
-# Ids of documents to verify are broadcast up to this number, joined by shuffle beyond it.
-BROADCAST_IDS = 2_000_000
+# Ids and pairs of ids are broadcast up to this number, joined by shuffle beyond it.
+BROADCAST_IDS = 1_000_000
 _VOCABULARY = 200_000
 
 
@@ -81,8 +81,9 @@ def shingles(text: str | None, hashes: dict, size: int = WORDS) -> np.ndarray:
     width = min(size, len(w))
     made = np.full(len(w) - width + 1, width, np.uint64)
     for i in range(width):
-        made = _mix(made * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - width + 1 + i])
-    return np.unique(made)
+        made *= np.uint64(0x9E3779B97F4A7C15)
+        made += w[i : len(w) - width + 1 + i]
+    return np.unique(_mix(made))
 
 
 def _band(n: int) -> int:
@@ -122,7 +123,10 @@ def block_keys(u: np.ndarray, hot: np.ndarray) -> np.ndarray:
             common = np.logical_and.reduceat(frequent, start)
         keys = _mix(values + np.uint64(0xD1B54A32D192ED03 * (band + 1) % 2**64))
         if len(keys) > need:
-            keys = keys[np.lexsort((keys, -load, common))[:need]]
+            # One number orders them: common last, then fuller first, then by hash.
+            order = (common.astype(np.uint64) << np.uint64(63)) | (keys >> np.uint64(9))
+            order |= (np.uint64(255) - np.minimum(load, 255).astype(np.uint64)) << np.uint64(55)
+            keys = keys[np.argpartition(order, need - 1)[:need]]
         out.append(keys.view(np.int64))
     return np.concatenate(out)
 
@@ -156,8 +160,8 @@ def _hot_shingles(docs: DataFrame) -> np.ndarray:
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
-            for text in batch["text"]:
-                yield pd.DataFrame({"s": shingles(text, hashes).view(np.int64)})
+            found = [shingles(text, hashes) for text in batch["text"]]
+            yield pd.DataFrame({"s": np.concatenate(found).view(np.int64)})
 
     rows = (
         docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
@@ -199,8 +203,10 @@ def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     side = lambda s: info.select(*(F.col(c).alias(f"{c}_{s}") for c in info.columns))
     differ = F.expr(_hamming("bits_a", "bits_b"))
     both = F.col("n_shingles_a") + F.col("n_shingles_b")
+    if pairs.count() <= BROADCAST_IDS:
+        pairs = F.broadcast(pairs)
     known = (
-        pairs.join(side("a"), F.col("a") == F.col("doc_id_a"))
+        side("a").join(pairs, F.col("a") == F.col("doc_id_a"))
         .join(side("b"), F.col("b") == F.col("doc_id_b"))
         .select(
             "a", "b", both.alias("both"),
@@ -277,7 +283,14 @@ def links(docs: DataFrame, info: DataFrame) -> DataFrame:
         .distinct(),
         "members",
     )
-    small = info.select("doc_id", "n_shingles", "finger", "bits")
+    # Only documents that share a key are looked at again.
+    ids = members.select("doc_id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    small = materialize(
+        info.select("doc_id", "n_shingles", "finger", "bits").join(ids, "doc_id", "left_semi"),
+        "members-info",
+    )
     verified: DataFrame | None = None
     n_leaders = LEADERS
     while not members.isEmpty():
@@ -298,20 +311,7 @@ def links(docs: DataFrame, info: DataFrame) -> DataFrame:
             ),
             "judged",
         )
-        # Pairs that no leader settles: one near a leader, the other at a middle distance from it.
-        near = judged.where("linked").select(
-            "key", "leader", F.col("doc_id").alias("x"), F.col("apart").alias("x_apart")
-        )
-        middle = judged.where("NOT linked AND apart <= 0.5").select(
-            "key", "leader", F.col("doc_id").alias("y"), F.col("apart").alias("y_apart")
-        )
-        between = (
-            middle.join(near, ["key", "leader"])
-            .where("y_apart - x_apart <= 0.25")
-            .select(*_ordered("x", "y"))
-            .distinct()
-        )
-        verified = _settle(between, verified, small, docs)
+        verified = _between(judged, verified, small, docs)
         # Documents that no leader of their key took are compared among themselves.
         taken = judged.groupBy("key", "doc_id").agg(
             F.max("linked").alias("taken"), F.max("place").alias("place")
@@ -329,6 +329,49 @@ def links(docs: DataFrame, info: DataFrame) -> DataFrame:
     return verified.where("linked").select("a", "b")
 
 
+def _between(
+    judged: DataFrame, verified: DataFrame, info: DataFrame, docs: DataFrame
+) -> DataFrame:
+    """Settle pairs of which one is near a leader and the other at a middle distance from it.
+
+    Whatever is near a leader is connected with it, so one link settles all pairs of the
+    other.  It meets the near ones a few at a time, in an order of chance, until it is
+    linked or has met all.
+    """
+    order = Window.partitionBy("key", "leader").orderBy(F.xxhash64("doc_id"), "doc_id")
+    near = judged.where("linked").select(
+        "key",
+        "leader",
+        F.col("doc_id").alias("x"),
+        F.col("apart").alias("x_apart"),
+        F.row_number().over(order).alias("turn"),
+    )
+    pending = judged.where("NOT linked AND apart <= 0.5").select(
+        "key", "leader", F.col("doc_id").alias("y"), F.col("apart").alias("y_apart")
+    )
+    pending = materialize(pending, "middle")
+    met = 0
+    while not pending.isEmpty():
+        # Four times as many as before, beginning with four.
+        now = 4 if not met else 4 * met
+        some = near.where(f"turn > {met} AND turn <= {now}")
+        facing = materialize(pending.join(some, ["key", "leader"]), "facing")
+        open_pairs = facing.where("y_apart - x_apart <= 0.25")
+        pairs = open_pairs.select(*_ordered("x", "y")).distinct()
+        verified = _settle(pairs, verified, info, docs)
+        linked = verified.where("linked")
+        joined = open_pairs.select("leader", "y", *_ordered("x", "y")).join(linked, ["a", "b"])
+        met = now
+        more = near.where(f"turn > {met}").select("key", "leader").distinct()
+        pending = materialize(
+            pending.join(joined.select("leader", "y").distinct(), ["leader", "y"], "left_anti")
+            .join(more, ["key", "leader"], "left_semi")
+            .select("key", "leader", "y", "y_apart"),
+            "middle",
+        )
+    return verified
+
+
 def _settle(
     pairs: DataFrame, verified: DataFrame | None, info: DataFrame, docs: DataFrame
 ) -> DataFrame:
