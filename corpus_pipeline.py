@@ -62,8 +62,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = public_tokenizers.PATTERN
-    coded = byte_bpe.encode(docs.select("doc_id", "text"), ranks, pattern)
-    return byte_bpe.decode(coded, ranks, pattern).select(
+    texts = docs.select("doc_id", "text")
+    return byte_bpe.encode(texts, ranks, pattern, decoded="decoded").select(
         "doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

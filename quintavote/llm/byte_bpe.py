@@ -17,13 +17,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quintavote.staging import ship_package
 
 # Characters that are handed to the library at once.
 PIECE_CHARS = 1 << 16
+# Rows that are encoded before their results are handed on.
+ROWS = 256
 
 
 @lru_cache(maxsize=4)
@@ -81,20 +85,47 @@ def decode_ids(packed: bytes | None, rank_file: str, pattern: str) -> bytes:
 
 
 def encode(
-    df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids"
+    df: DataFrame,
+    rank_file: str,
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str | None = None,
 ) -> DataFrame:
-    """Add the packed ids of ``text`` and their number ``n_tokens``."""
-    ship_package(df.sparkSession)
+    """Add the packed ids of ``text`` and their number ``n_tokens``.
 
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    With ``decoded``, the ids are decoded in the same pass into a column of that name.
+    """
+    ship_package(df.sparkSession)
+    made = [ids, "n_tokens", *([decoded] if decoded else [])]
+    own = [c for c in df.columns if c.lower() not in {m.lower() for m in made}]
+    valid = "valid"
+    while valid in own:
+        valid += "_"
+    clean = F.make_valid_utf8(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    given = df.select(*(F.col(c) for c in own), clean.alias(valid))
+    schema = T.StructType(
+        [*given.schema.fields[:-1], T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+        + [T.StructField(decoded, T.BinaryType())] * bool(decoded)
+    )
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.Series([encode_text(t, rank_file, pattern) for t in batch], dtype=object)
-
-    clean = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.withColumn(ids, packed(F.make_valid_utf8(clean))).withColumn(
-        "n_tokens", (F.octet_length(ids) / 4).cast("long")
-    )
+            # A few rows at a time: what is held besides the input stays small.
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                packed = [encode_text(x, rank_file, pattern) for x in part.columns[-1].to_pylist()]
+                columns = [
+                    *part.columns[:-1],
+                    pa.array(packed, pa.binary()),
+                    pa.array([len(x) // 4 for x in packed], pa.int64()),
+                ]
+                if decoded:
+                    raw = [decode_ids(x, rank_file, pattern) for x in packed]
+                    columns.append(pa.array(raw, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*own, *made])
+
+    return given.mapInArrow(coded, schema)
 
 
 def decode(

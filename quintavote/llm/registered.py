@@ -81,8 +81,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern), ranks, pattern)
-    return coded.select(
+    return byte_bpe.encode(docs, ranks, pattern, decoded="decoded").select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
