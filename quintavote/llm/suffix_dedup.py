@@ -42,11 +42,11 @@ from quintavote.llm.suffix_arrays import NONE, least_owner, merge_least
 from quintavote.staging import fresh_path, ship_package
 
 SIZE = 50
-SHARD_BYTES = 4 << 20
-RANGE_BYTES = 24 << 20
-CHUNK_BYTES = 2 << 20
+SHARD_BYTES = 2 << 20
+RANGE_BYTES = 6 << 20
+CHUNK_BYTES = 1 << 19
 _GRAM = 25
-_TILE = 1 << 19
+_TILE = 1 << 18
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -94,7 +94,10 @@ def runs(data: np.ndarray, lengths: np.ndarray, size: int = SIZE):
         )
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(place)) - 1
-        found.append((least[first], place[first], place[last], owner[place[first]]))
+        # Least values are small ones; mixed again, they spread evenly over the ranges.
+        anchor = least[first] * np.uint64(0x9E3779B97F4A7C15)
+        anchor = (anchor ^ (anchor >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        found.append((anchor, place[first], place[last], owner[place[first]]))
     if not found:
         return (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
