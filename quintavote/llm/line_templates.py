@@ -35,26 +35,32 @@ MIN_DOCS = 5
 # Leaves of several documents are broadcast up to this number, joined by shuffle beyond it.
 BROADCAST_LEAVES = 2_000_000
 _LAST = (1 << 63) - 1
-_FIELD_PATTERN = r"[^ ]*(?:[0-9@]|://)[^ ]*"
+# A whole token with a digit, an at sign or ://, read once from its start.
+_FIELD_PATTERN = r"(?<![^ ])(?:[^ 0-9@:]|:(?!//))*+(?:[0-9@]|://)[^ ]*"
 
 
 def masked(line: str) -> str:
     """SQL of a line whose tokens are set apart by one space and whose plain fields are masked."""
-    even = rf"trim(regexp_replace(translate({line}, '\t\u000B\f\r', '    '), ' {{2,}}', ' '))"
-    return let(
-        "m", even, f"if(m RLIKE '[0-9@]|://', regexp_replace(m, '{_FIELD_PATTERN}', '{FIELD}'), m)"
+    spaced = rf"{line} RLIKE '[\t\\x0B\f\r]' OR instr({line}, '  ') > 0"
+    spread = rf"trim(regexp_replace(translate({line}, '\t\u000B\f\r', '    '), ' {{2,}}', ' '))"
+    even = f"if({spaced}, {spread}, trim({line}))"
+    return (
+        f"if({line} RLIKE '[0-9@:]', regexp_replace({even}, '{_FIELD_PATTERN}', '{FIELD}'), {even})"
     )
 
 
 def _lines(rows: DataFrame) -> DataFrame:
     """One row per line that is not blank: document, place, leaf of the tree, masked line."""
     return (
-        rows.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc", "row", "pos", F.expr(masked("line")).alias("line"))
+        # Masked within the array and exploded by the outer form: an expression over exploded
+        # lines would be worked out again by each filter and column that uses it, and the
+        # inner form adds such a filter by itself.
+        rows.withColumn("lines", F.expr(rf"transform(split(text, '\n'), x -> {masked('x')})"))
+        .select("doc", "row", F.posexplode_outer("lines").alias("pos", "line"))
         .where("line <> ''")
         .select(
             "*",
-            F.expr("length(line) - length(translate(line, ' ', '')) + 1").alias("n_tokens"),
+            F.expr("length(line) - length(replace(line, ' ', '')) + 1").alias("n_tokens"),
         )
         .withColumn(
             "leaf", F.xxhash64("n_tokens", F.substring_index("line", " ", DEPTH))
