@@ -126,9 +126,10 @@ def find(
     small = windows.count() <= BROADCAST_ROWS
     hashes = windows.select("hash").distinct()
 
+    # The outer form: the inner one would work the windows out a second time, to filter.
     # Every window of every document meets the items' hashes; what does not match goes no further.
     seen = rows.select(
-        "doc", F.explode(F.expr(_window_hashes("text", sizes))).alias("hashes")
+        "doc", F.explode_outer(F.expr(_window_hashes("text", sizes))).alias("hashes")
     ).select("doc", F.posexplode("hashes").alias("at", "hash"))
     hits = materialize(
         seen.join(F.broadcast(hashes) if small else hashes, "hash", "left_semi").distinct(),
