@@ -332,44 +332,20 @@ def links(docs: DataFrame, info: DataFrame) -> DataFrame:
 def _between(
     judged: DataFrame, verified: DataFrame, info: DataFrame, docs: DataFrame
 ) -> DataFrame:
-    """Settle pairs of which one is near a leader and the other at a middle distance from it.
-
-    Whatever is near a leader is connected with it, so one link settles all pairs of the
-    other.  It meets the near ones a few at a time, in an order of chance, until it is
-    linked or has met all.
-    """
-    order = Window.partitionBy("key", "leader").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """Settle pairs of which one is near a leader and the other at a middle distance from it."""
     near = judged.where("linked").select(
-        "key",
-        "leader",
-        F.col("doc_id").alias("x"),
-        F.col("apart").alias("x_apart"),
-        F.row_number().over(order).alias("turn"),
+        "key", "leader", F.col("doc_id").alias("x"), F.col("apart").alias("x_apart")
     )
-    pending = judged.where("NOT linked AND apart <= 0.5").select(
+    middle = judged.where("NOT linked AND apart <= 0.5").select(
         "key", "leader", F.col("doc_id").alias("y"), F.col("apart").alias("y_apart")
     )
-    pending = materialize(pending, "middle")
-    met = 0
-    while not pending.isEmpty():
-        # Four times as many as before, beginning with four.
-        now = 4 if not met else 4 * met
-        some = near.where(f"turn > {met} AND turn <= {now}")
-        facing = materialize(pending.join(some, ["key", "leader"]), "facing")
-        open_pairs = facing.where("y_apart - x_apart <= 0.25")
-        pairs = open_pairs.select(*_ordered("x", "y")).distinct()
-        verified = _settle(pairs, verified, info, docs)
-        linked = verified.where("linked")
-        joined = open_pairs.select("leader", "y", *_ordered("x", "y")).join(linked, ["a", "b"])
-        met = now
-        more = near.where(f"turn > {met}").select("key", "leader").distinct()
-        pending = materialize(
-            pending.join(joined.select("leader", "y").distinct(), ["leader", "y"], "left_anti")
-            .join(more, ["key", "leader"], "left_semi")
-            .select("key", "leader", "y", "y_apart"),
-            "middle",
-        )
-    return verified
+    pairs = (
+        middle.join(near, ["key", "leader"])
+        .where("y_apart - x_apart <= 0.25")
+        .select(*_ordered("x", "y"))
+        .distinct()
+    )
+    return _settle(pairs, verified, info, docs)
 
 
 def _settle(
