@@ -38,7 +38,8 @@ def is_borderline(votes: Column) -> Column:
 def latency_score(p99: Column) -> Column:
     floor = F.greatest(p99, F.lit(P99_FULL_MARKS_MS))
     return (
-        F.when(p99 <= 0, F.lit(0.0))
+        # Nothing measured scores nothing.
+        F.when(p99.isNull() | (p99 <= 0), F.lit(0.0))
         .when(p99 > P99_CUT_MS, F.lit(P99_CUT_SCORE))
         .otherwise(F.lit(SCORE_UNIT) * F.log10(F.lit(P99_REFERENCE_MS) / floor))
     )

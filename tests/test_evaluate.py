@@ -106,7 +106,7 @@ def test_report_is_nested(spark):
     assert row["p99"] == "99.01ms"
     assert row["expected"]["total"] == 20 and row["expected"]["edge_case_rate"] == 25.0
     assert row["scoring"]["breakdown"]["true_positive_detections"] == 5
-    assert row["scoring"]["failure_rate"] == "0.0%"
+    assert row["scoring"]["failure_rate"] == "0%"
     assert row["scoring"]["detection_score"]["value"] == 3_000.0
     assert row["scoring"]["final_score"] == round(3_000 + 1_000 * math.log10(1_000 / 99.01), 2)
 
@@ -136,3 +136,9 @@ def test_build_params_are_validated():
     for bad in (dict(clusters=0), dict(clusters=70_000), dict(train_rows=0), dict(max_iter=0)):
         with pytest.raises(ValueError):
             BuildParams(**bad)
+
+
+def test_a_run_without_latencies_scores_nothing(spark):
+    none = spark.createDataFrame([], "latency_ms double")
+    row = evaluate.latency_score(evaluate.latency_p99(none)).first()
+    assert row["p99_score"] == 0.0 and row["p99_cut"] is False

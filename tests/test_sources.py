@@ -168,3 +168,11 @@ def test_scoped_tables_are_deleted(spark):
         folder = Path(held.inputFiles()[0].removeprefix("file://")).parent
         assert folder.exists()
     assert not folder.exists()
+
+
+@pytest.mark.parametrize("text", ['{"5411":0.15,"5812":"abc"}', '{"5411":0.15', "[1]", "7"])
+def test_malformed_risk_file_is_refused(spark, tmp_path, text):
+    path = tmp_path / "risk.json"
+    path.write_text(text)
+    with pytest.raises(Exception):
+        tables.read_mcc_table(spark, str(path)).collect()
