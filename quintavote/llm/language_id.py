@@ -67,7 +67,7 @@ class _Vectors:
     """Vectors of the n-grams met so far; forgotten when there are too many."""
 
     def __init__(self, dim: int):
-        self.dim, self.rows, self.matrix = dim, {}, np.empty((0, dim), np.float32)
+        self.dim, self.rows, self.matrix = dim, {}, np.empty((0, dim), np.int8)
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         if len(grams) > _CACHE_ROWS:
@@ -78,15 +78,15 @@ class _Vectors:
             self.__init__(self.dim)
             known, new = self.rows, grams
         if len(new):
-            made = ngram_vectors(new, self.dim).astype(np.float32)
+            made = ngram_vectors(new, self.dim)
             known.update(zip(new.tolist(), range(len(known), len(known) + len(new)), strict=True))
             need = len(known)
             if need > len(self.matrix):
-                grown = np.empty((min(_CACHE_ROWS, max(1024, 2 * need)), self.dim), np.float32)
+                grown = np.empty((min(_CACHE_ROWS, max(1024, 2 * need)), self.dim), np.int8)
                 grown[: len(self.matrix)] = self.matrix
                 self.matrix = grown
             self.matrix[need - len(new) : need] = made
-        return self.matrix[[known[g] for g in grams.tolist()]]
+        return self.matrix[[known[g] for g in grams.tolist()]].astype(np.float32)
 
 
 def _grams(text: str) -> np.ndarray:
