@@ -106,7 +106,7 @@ def encode(
     given = df.select(*(F.col(c) for c in own), clean.alias(valid))
     schema = T.StructType(
         [*given.schema.fields[:-1], T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-        + [T.StructField(decoded, T.BinaryType())] * bool(decoded)
+        + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
     )
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
