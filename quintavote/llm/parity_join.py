@@ -15,13 +15,14 @@ All documents order their blocks alike: blocks of shingles that are frequent in
 sample come last, fuller blocks first, then by hash.  The sample steers only which
 blocks become keys, never which pairs are found.
 
-Within a key, documents are compared with a few leaders, not with each other: what is
-similar to a leader is connected, and what is farther than 1/2 from a leader cannot be
-similar to anything that is similar to it (Jaccard distance is a metric).  Pairs that
-this leaves open are compared, and documents not connected to a leader meet new
-leaders in the next round, twice as many, until none is left.  Candidates are dismissed
-by a second sketch of 1,024 parity bits, whose Hamming distance bounds the symmetric
-difference from below, and the rest are verified on whole texts.
+Within a key, documents first meet a leader, the one that shares most keys, and those
+that it does not take meet two more.  What this connects is one class from then on.
+Documents of one key that are in different classes still are compared block by block:
+a task holds the sketches of two bounded blocks and returns only the pairs that pass.
+Documents with the same set are one of them throughout, and the others are tied to it.
+Candidates are dismissed by a second sketch of at least four parity bits a shingle, whose
+Hamming distance bounds the symmetric difference from below, and the rest are verified
+on whole texts.
 
 Null and empty texts and texts without words have no shingles and no links.  Fewer
 words than a shingle form one shingle.  Repeated rows of a doc_id are one document for
@@ -44,7 +45,11 @@ from quintavote.staging import materialize, ship_package
 WORDS = 5
 SMALL = 64
 SKETCH_BITS = 4  # a shingle, at least
-LEADERS = 1
+# Leaders a key has in each round, and documents that a task compares with as many.
+ROUNDS = (1, 2)
+BLOCK = 512
+# Sketch words that one numpy step compares.
+CELLS = 1 << 18
 # Documents sampled for frequent shingles, and how many of those are kept: both bounds.
 HOT_SAMPLE = 10_000
 HOT_SHINGLES = 1 << 16
@@ -199,7 +204,7 @@ def sketches(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, linked, apart (a lower bound of their distance) for each pair of ids."""
+    """a, b, linked for each pair of ids."""
     side = lambda s: info.select(*(F.col(c).alias(f"{c}_{s}") for c in info.columns))
     differ = F.expr(_hamming("bits_a", "bits_b"))
     both = F.col("n_shingles_a") + F.col("n_shingles_b")
@@ -214,9 +219,7 @@ def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
             (F.col("finger_a") == F.col("finger_b")).alias("equal"),
         )
     )
-    known = materialize(
-        known.withColumn("apart", 2 * F.col("delta") / (F.col("both") + F.col("delta"))), "known"
-    )
+    known = materialize(known, "known")
     settled = F.col("equal") | (7 * F.col("delta") > F.col("both"))
     open_pairs = known.where(~settled)
     ids = materialize(
@@ -246,33 +249,43 @@ def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
         .select(
             "a", "b",
             (100 * F.col("shared") >= 75 * (F.col("both") - F.col("shared"))).alias("linked"),
-            (1 - F.col("shared") / (F.col("both") - F.col("shared"))).alias("apart"),
         )
     )
-    done = known.where(settled).select(
-        "a", "b", F.col("equal").alias("linked"),
-        F.when(F.col("equal"), 0.0).otherwise(F.col("apart")).alias("apart"),
-    )
+    done = known.where(settled).select("a", "b", F.col("equal").alias("linked"))
     # A doc_id that has several rows is linked if any of them is.
-    return (
-        done.unionByName(exact)
-        .groupBy("a", "b")
-        .agg(F.max("linked").alias("linked"), F.min("apart").alias("apart"))
-    )
+    return done.unionByName(exact).groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of one document per set, and a, b that tie its other documents to it."""
+    first = materialize(
+        rows.groupBy("finger")
+        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        .where("first < last")
+        .select("finger", "first"),
+        "copied-sets",
+    )
+    if first.count() <= BROADCAST_IDS:
+        first = F.broadcast(first)
+    marked = rows.join(first, "finger", "left")
+    twins = marked.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    return marked.where("first IS NULL OR first = doc_id").drop("first"), twins.distinct()
+
+
 def links(docs: DataFrame, info: DataFrame) -> DataFrame:
     """a, b of similar documents, enough of them to connect every class of similar documents."""
-    rows = info.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id")
+    info = info.where("doc_id IS NOT NULL AND n_shingles > 0")
+    info, twins = _copies(info)
     within = Window.partitionBy("key")
     # Keys with the same documents count once: they are named by the XOR of their
     # documents' hashes (a chance agreement only makes one group of two).
     members = materialize(
-        rows.select(
+        info.select(F.explode("keys").alias("key"), "doc_id")
+        .select(
             "doc_id",
             F.min("doc_id").over(within).alias("lo"),
             F.max("doc_id").over(within).alias("hi"),
@@ -283,69 +296,119 @@ def links(docs: DataFrame, info: DataFrame) -> DataFrame:
         .distinct(),
         "members",
     )
-    # Only documents that share a key are looked at again.
-    ids = members.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    # Only documents that share a key are looked at again; those that share many lead.
+    shared = materialize(members.groupBy("doc_id").agg(F.count("*").alias("shared")), "shared")
+    if shared.count() <= BROADCAST_IDS:
+        shared = F.broadcast(shared)
     small = materialize(
-        info.select("doc_id", "n_shingles", "finger", "bits").join(ids, "doc_id", "left_semi"),
+        info.select("doc_id", "n_shingles", "finger", "bits").join(shared, "doc_id", "left_semi"),
         "members-info",
     )
+    groups = members = materialize(members.join(shared, "doc_id"), "members-ranked")
     verified: DataFrame | None = None
-    n_leaders = LEADERS
-    while not members.isEmpty():
-        ranked = members.withColumn(
-            "place", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-        )
+    for n_leaders in ROUNDS:
+        if members.isEmpty():
+            break
+        first = Window.partitionBy("key").orderBy(F.desc("shared"), "doc_id")
+        ranked = members.withColumn("place", F.row_number().over(first))
         leaders = ranked.where(F.col("place") <= n_leaders).select(
             "key", F.col("doc_id").alias("leader"), F.col("place").alias("at")
         )
-        compared = ranked.join(leaders, "key").where(F.col("place") > F.col("at"))
-        compared = materialize(compared, "compared")
-        pairs = compared.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-        verified = _settle(pairs, verified, small, docs)
-        judged = materialize(
-            compared.join(
-                verified.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "linked", "apart"),
-                ["leader", "doc_id"],
-            ),
-            "judged",
-        )
-        verified = _between(judged, verified, small, docs)
-        # Documents that no leader of their key took are compared among themselves.
-        taken = judged.groupBy("key", "doc_id").agg(
-            F.max("linked").alias("taken"), F.max("place").alias("place")
+        compared = materialize(
+            ranked.join(leaders, "key")
+            .where(F.col("place") > F.col("at"))
+            .select("key", "place", "shared", "doc_id", *_ordered("leader", "doc_id")),
+            "compared",
+        )
+        verified = _settle(compared.select("a", "b").distinct(), verified, small, docs)
+        # Documents that no leader of their key took meet new leaders.
+        taken = (
+            compared.join(verified.select("a", "b", "linked"), ["a", "b"])
+            .groupBy("key", "doc_id", "shared")
+            .agg(F.max("linked").alias("taken"), F.max("place").alias("place"))
         )
         left = taken.where(~F.col("taken") & (F.col("place") > n_leaders))
         members = materialize(
             left.withColumn("n", F.count("*").over(Window.partitionBy("key")))
             .where("n > 1")
-            .select("key", "doc_id"),
+            .select("key", "doc_id", "shared"),
             "members",
         )
-        n_leaders *= 2
     if verified is None:
-        return docs.sparkSession.createDataFrame([], "a long, b long")
-    return verified.where("linked").select("a", "b")
-
-
-def _between(
-    judged: DataFrame, verified: DataFrame, info: DataFrame, docs: DataFrame
-) -> DataFrame:
-    """Settle pairs of which one is near a leader and the other at a middle distance from it."""
-    near = judged.where("linked").select(
-        "key", "leader", F.col("doc_id").alias("x"), F.col("apart").alias("x_apart")
+        return twins
+    pairs = _across(groups, components(verified.where("linked").select("a", "b")), small)
+    verified = _settle(pairs, verified, small, docs)
+    return verified.where("linked").select("a", "b").unionByName(twins)
+
+
+def _pairs_within_bound(block: pd.DataFrame) -> pd.DataFrame:
+    """a, b of two blocks (one, if equal) that differ in label and that no bound dismisses."""
+    i, j = block["i"].iloc[0], block["j"].iloc[0]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    ids, labels, at, n = (block[c].to_numpy() for c in ("doc_id", "label", "at", "n_shingles"))
+    wide = block["bits"].map(len).to_numpy()
+    stacked = {
+        w: np.stack(block["bits"].to_numpy()[wide == w]).view(np.uint64) for w in np.unique(wide)
+    }
+    for width, words in stacked.items():
+        # Half as wide sketches are compared after folding; the sizes dismiss others.
+        for narrow in {width, width // 2} & stacked.keys():
+            mine = words if narrow == width else words[:, :narrow] ^ words[:, narrow:]
+            x, y = np.flatnonzero(wide == width), np.flatnonzero(wide == narrow)
+            step = max(1, CELLS // (len(y) * narrow))
+            for lo in range(0, len(x), step):
+                p, q = x[lo : lo + step, None], y[None]
+                apart = np.bitwise_count(mine[lo : lo + step, None] ^ stacked[narrow][None])
+                apart = np.maximum(apart.sum(-1, dtype=np.int64), np.abs(n[p] - n[q]))
+                fit = (7 * apart <= n[p] + n[q]) & (labels[p] != labels[q])
+                if narrow == width:
+                    fit &= p < q
+                if i != j:
+                    fit &= at[p] != at[q]
+                left, right = np.nonzero(fit)
+                left, right = ids[x[lo + left]], ids[y[right]]
+                a.append(np.minimum(left, right))
+                b.append(np.maximum(left, right))
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _across(groups: DataFrame, labels: DataFrame, info: DataFrame) -> DataFrame:
+    """Distinct a, b that share a key, are not connected yet and whose sketches are near.
+
+    Groups are cut into blocks of BLOCK documents in the order of their labels; a task
+    compares two blocks and returns only what the bounds leave.
+    """
+    within = Window.partitionBy("key")
+    rows = (
+        groups.join(labels.withColumnRenamed("component_id", "label"), "doc_id", "left")
+        .withColumn("label", F.coalesce("label", "doc_id"))
+        .withColumn("low", F.min("label").over(within))
+        .withColumn("high", F.max("label").over(within))
+        .withColumn("n", F.count("*").over(within))
+        # The leader of two has met the other already.
+        .where("low < high AND n > 2")
+        .withColumn("at", F.expr(f"(row_number() OVER (PARTITION BY key ORDER BY label, doc_id) - 1) DIV {BLOCK}"))
+        .select("key", "doc_id", "label", "at")
+    )
+    rows = materialize(rows, "across")
+    blocks = materialize(
+        rows.groupBy("key", "at").agg(F.min("label").alias("low"), F.max("label").alias("high")), "blocks"
     )
-    middle = judged.where("NOT linked AND apart <= 0.5").select(
-        "key", "leader", F.col("doc_id").alias("y"), F.col("apart").alias("y_apart")
+    left = blocks.select("key", F.col("at").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
+    right = blocks.select("key", F.col("at").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    # Blocks of one and the same label have nothing left to settle.
+    meet = (
+        left.join(right, "key")
+        .where("i <= j AND NOT (low_i = high_j)")
+        .select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("at"))
     )
-    pairs = (
-        middle.join(near, ["key", "leader"])
-        .where("y_apart - x_apart <= 0.25")
-        .select(*_ordered("x", "y"))
+    return (
+        rows.join(meet, ["key", "at"])
+        .join(info.select("doc_id", "n_shingles", "bits"), "doc_id")
+        .groupBy("key", "i", "j")
+        .applyInPandas(_pairs_within_bound, "a long, b long")
         .distinct()
     )
-    return _settle(pairs, verified, info, docs)
 
 
 def _settle(
