@@ -365,6 +365,23 @@ def test_similarity_corner_cases(spark):
     assert not similar(documents(spark, []))
 
 
+def test_groups_of_middle_distance_are_cut_into_blocks(spark, monkeypatch):
+    """Edited copies of one text, most of them nearer to it than to each other."""
+    monkeypatch.setattr(parity_join, "BLOCK", 7)
+    monkeypatch.setattr(parity_join, "CELLS", 64)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 9)), replace=False):
+            words[at] = f"x{rng.integers(1 << 40)}"
+        rows.append((i, " ".join(words[: 150 - int(rng.integers(0, 20))])))
+    expected = components_by_force(rows)
+    assert similar(documents(spark, rows)) == expected
+    assert 1 < len({c for _, _, c in expected}) < 120
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 70), (70, 90), (5, 5)]
     got = dict(parity_join.components(spark.createDataFrame(chain, "a long, b long")).collect())
