@@ -48,6 +48,7 @@ SKETCH_BITS = 4  # a shingle, at least
 # Leaders a key has in each round, and documents that a task compares with as many.
 ROUNDS = (1, 2)
 BLOCK = 512
+BUNDLE = 2_048
 # Sketch words that one numpy step compares.
 CELLS = 1 << 18
 # Documents sampled for frequent shingles, and how many of those are kept: both bounds.
@@ -341,14 +342,25 @@ def links(docs: DataFrame, info: DataFrame) -> DataFrame:
     return verified.where("linked").select("a", "b").unionByName(twins)
 
 
-def _pairs_within_bound(block: pd.DataFrame) -> pd.DataFrame:
-    """a, b of two blocks (one, if equal) that differ in label and that no bound dismisses."""
-    i, j = block["i"].iloc[0], block["j"].iloc[0]
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    ids, labels, at, n = (block[c].to_numpy() for c in ("doc_id", "label", "at", "n_shingles"))
-    wide = block["bits"].map(len).to_numpy()
+def _bundled_pairs(bundle: pd.DataFrame) -> pd.DataFrame:
+    """a, b of the block pairs of one bundle that are in different classes and may be similar."""
+    bundle = bundle.sort_values(["key", "i", "j"])
+    place = bundle[["key", "i", "j"]].to_numpy()
+    new = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+    whole = [bundle[c].to_numpy() for c in ("doc_id", "label", "at", "n_shingles", "bits")]
+    found = [np.empty((0, 2), np.int64)]
+    for lo, hi in zip(np.r_[0, new], np.r_[new, len(bundle)], strict=True):
+        found += _pairs_within_bound(*(x[lo:hi] for x in whole), crossing=place[lo, 1] != place[lo, 2])
+    return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+
+def _pairs_within_bound(
+    ids: np.ndarray, labels: np.ndarray, at: np.ndarray, n: np.ndarray, bits: np.ndarray, crossing: bool
+) -> Iterator[np.ndarray]:
+    """Pairs of ids that differ in label (``crossing``: in block, too) and that no bound dismisses."""
+    wide = np.fromiter(map(len, bits), np.int64, len(bits))
     stacked = {
-        w: np.stack(block["bits"].to_numpy()[wide == w]).view(np.uint64) for w in np.unique(wide)
+        w: np.stack(bits[wide == w]).view(np.uint64) for w in set(wide.tolist())
     }
     for width, words in stacked.items():
         # Half as wide sketches are compared after folding; the sizes dismiss others.
@@ -363,13 +375,10 @@ def _pairs_within_bound(block: pd.DataFrame) -> pd.DataFrame:
                 fit = (7 * apart <= n[p] + n[q]) & (labels[p] != labels[q])
                 if narrow == width:
                     fit &= p < q
-                if i != j:
+                if crossing:
                     fit &= at[p] != at[q]
                 left, right = np.nonzero(fit)
-                left, right = ids[x[lo + left]], ids[y[right]]
-                a.append(np.minimum(left, right))
-                b.append(np.maximum(left, right))
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+                yield np.sort(np.stack([ids[x[lo + left]], ids[y[right]]], axis=1), axis=1)
 
 
 def _across(groups: DataFrame, labels: DataFrame, info: DataFrame) -> DataFrame:
@@ -392,8 +401,14 @@ def _across(groups: DataFrame, labels: DataFrame, info: DataFrame) -> DataFrame:
     )
     rows = materialize(rows, "across")
     blocks = materialize(
-        rows.groupBy("key", "at").agg(F.min("label").alias("low"), F.max("label").alias("high")), "blocks"
+        rows.groupBy("key", "at").agg(
+            F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
+        ),
+        "blocks",
     )
+    # A task of Python holds several block pairs, BUNDLE rows on average.
+    met = blocks.groupBy("key").agg((F.sum("n") * F.count("*")).alias("n")).agg(F.sum("n")).first()[0]
+    bundle = F.pmod(F.xxhash64("key", "i", "j"), F.lit(1 + (met or 0) // BUNDLE))
     left = blocks.select("key", F.col("at").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
     right = blocks.select("key", F.col("at").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
     # Blocks of one and the same label have nothing left to settle.
@@ -405,8 +420,8 @@ def _across(groups: DataFrame, labels: DataFrame, info: DataFrame) -> DataFrame:
     return (
         rows.join(meet, ["key", "at"])
         .join(info.select("doc_id", "n_shingles", "bits"), "doc_id")
-        .groupBy("key", "i", "j")
-        .applyInPandas(_pairs_within_bound, "a long, b long")
+        .groupBy(bundle.alias("bundle"))
+        .applyInPandas(_bundled_pairs, "a long, b long")
         .distinct()
     )
 
