@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 
 from quintavote.config import DIM, NEIGHBOURS
 from quintavote.functions.kernels import nearest_in_block, to_matrix
-from quintavote.staging import ship_package
+from quintavote.staging import share, ship_package
 
-# Upper sizes of one block; a task holds one block pair at a time.
+# Average sizes of a full block, as rows are dealt by hash; a task holds one block pair
+# at a time.
 REFERENCE_BLOCK = 131_072
 QUERY_BLOCK = 32_768
 
@@ -159,7 +160,7 @@ def broadcast_scan(
         return None
     held = held.sort_by("cluster_id").combine_chunks()
     clusters = pc.unique(held["cluster_id"]).to_pylist()
-    table = probes.sparkSession.sparkContext.broadcast(held)
+    table = share(probes.sparkSession, held)
 
     def scan(batches):
         wanted = table.value

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,9 +12,10 @@ from pyspark.sql import types as T
 from quintavote.config import DIM, MAX_CLUSTERS, SCALE
 from quintavote.operators.clustering import CENTROID_SCHEMA, cluster_profile
 from quintavote.plans.ivf import IvfIndex
+from quintavote.staging import delete_folder
 
 FORMAT = "quintavote-ivf"
-VERSION = 1
+VERSION = 2
 
 # Rows a shelf should hold on average, and the most one file takes.
 SHELF_ROWS = 1_000_000
@@ -27,6 +31,7 @@ HEADER_SCHEMA = T.StructType(
         T.StructField("k", T.IntegerType()),
         T.StructField("scale", T.IntegerType()),
         T.StructField("shelf_clusters", T.IntegerType()),
+        T.StructField("build", T.StringType()),
     ]
 )
 POSTING_SCHEMA = T.StructType(
@@ -55,11 +60,14 @@ def write_index(index: IvfIndex, path: str) -> None:
     Postings go into folders ("shelves") of neighbouring cluster ids and are
     sorted by cluster inside a file, so a search of few clusters reads few
     folders and few row groups, while a small index stays in few files.  A hot
-    cluster is written by many tasks.  The header goes last: a build that was cut
-    short has none and will not open.
+    cluster is written by many tasks.  A build has its own folder and the header,
+    written last, names it: one that was cut short leaves the index that was there
+    as it is.  The build it replaces is deleted.
     """
+    replaced = _headers(index.postings.sparkSession, path)
+    build = f"build-{uuid.uuid4().hex}"
     index.centroids.select(*CENTROID_SCHEMA.names).write.mode("overwrite").parquet(
-        f"{path}/centroids"
+        f"{path}/{build}/centroids"
     )
     spark = index.postings.sparkSession
     rows, clusters = index.postings.count(), index.centroids.count()
@@ -89,16 +97,29 @@ def write_index(index: IvfIndex, path: str) -> None:
         .select(*POSTING_SCHEMA.names)
         .write.mode("overwrite")
         .partitionBy("shelf")
-        .parquet(f"{path}/postings")
+        .parquet(f"{path}/{build}/postings")
     )
-    header = [(FORMAT, VERSION, rows, index.dim, clusters, index.scale, per_shelf)]
+    header = [(FORMAT, VERSION, rows, index.dim, clusters, index.scale, per_shelf, build)]
     spark.createDataFrame(header, HEADER_SCHEMA).coalesce(1).write.mode("overwrite").json(
         f"{path}/header"
     )
+    for old in replaced:
+        if old["format"] == FORMAT and old["build"]:
+            delete_folder(spark, f"{path}/{old['build']}")
+
+
+def _headers(spark: SparkSession, path: str) -> list:
+    """The header rows under ``path``; none where nothing was written."""
+    try:
+        return spark.read.schema(HEADER_SCHEMA).json(f"{path}/header").take(2)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
 
 
 def read_header(spark: SparkSession, path: str):
-    rows = spark.read.schema(HEADER_SCHEMA).json(f"{path}/header").take(2)
+    rows = _headers(spark, path)
     if len(rows) != 1 or rows[0]["format"] != FORMAT:
         raise IndexFormatError(f"no {FORMAT} header under {path}")
     return rows[0]
@@ -113,8 +134,8 @@ def read_index(spark: SparkSession, path: str, dim: int = DIM) -> IvfIndex:
     if not 1 <= header["k"] <= MAX_CLUSTERS:
         raise IndexFormatError(f"cluster count {header['k']} out of range")
     return IvfIndex(
-        spark.read.schema(CENTROID_SCHEMA).parquet(f"{path}/centroids"),
-        spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/postings"),
+        spark.read.schema(CENTROID_SCHEMA).parquet(f"{path}/{header['build']}/centroids"),
+        spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/{header['build']}/postings"),
         header["dim"],
         header["scale"],
         header["shelf_clusters"],

@@ -6,12 +6,15 @@ import tempfile
 import threading
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from typing import TypeVar
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _local_roots: dict[str, tempfile.TemporaryDirectory] = {}
 _shipped: set[str] = set()
 _scope = threading.local()
@@ -48,29 +51,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    for opened in getattr(_scope, "open", []):
-        opened.append(path)
+    _at_end_of_scopes(lambda: delete_folder(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def share(spark: SparkSession, value: T) -> Broadcast[T]:
+    """Broadcast ``value``; inside a staging scope it is destroyed when that ends."""
+    shared = spark.sparkContext.broadcast(value)
+    _at_end_of_scopes(shared.destroy)
+    return shared
+
+
+def _at_end_of_scopes(act: Callable[[], None]) -> None:
+    stack = getattr(_scope, "open", [])
+    if stack:
+        stack[-1].append(act)
+
+
 @contextmanager
 def staging_scope(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables materialised inside the block when it ends.
+    """Delete the tables and broadcasts made inside the block when it ends.
 
     For work whose result is written within the block, such as a micro-batch.
     """
-    paths: list[str] = []
+    acts: list[Callable[[], None]] = []
     stack = _scope.__dict__.setdefault("open", [])
-    stack.append(paths)
+    stack.append(acts)
     try:
         yield
     finally:
-        stack.remove(paths)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in paths:
-            target = hadoop.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+        stack.pop()
+        for act in acts:
+            act()
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -156,8 +156,7 @@ def index_write(spark, sf_dir):
     """Sizes of the written posting lists."""
     path = fresh_path(spark, "index")
     index_store.write_index(landed.index(spark, sf_dir), path)
-    postings = spark.read.schema(index_store.POSTING_SCHEMA).parquet(f"{path}/postings")
-    return postings.groupBy("cluster_id").agg(
+    return index_store.read_index(spark, path).postings.groupBy("cluster_id").agg(
         F.count("*").alias("members"), F.sum("fraud").alias("frauds")
     )
 

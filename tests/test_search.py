@@ -59,6 +59,11 @@ def test_exact_search_on_hot_data(hot):
     assert collected(knn_exact(queries, refs, cells=16)) == wanted
 
 
+def test_no_references_no_neighbours(hot):
+    queries, refs, _ = hot
+    assert knn_exact(queries, refs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("cells", [1, 3, 60])
 def test_exact_search_does_not_depend_on_cells(hot, cells):
     queries, refs, wanted = hot

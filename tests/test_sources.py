@@ -2,6 +2,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quintavote.config import Normalization
 from quintavote.operators import scan
@@ -153,13 +154,28 @@ def test_index_mismatch_is_refused(spark, index):
     with pytest.raises(index_store.IndexFormatError, match="dim"):
         index_store.read_index(spark, path, dim=64)
     other = fresh_path(spark, "index")
-    spark.createDataFrame([("other", 1, 1, 14, 1, 10_000, 1)], index_store.HEADER_SCHEMA).write.json(
+    spark.createDataFrame([("other", 1, 1, 14, 1, 10_000, 1, "b")], index_store.HEADER_SCHEMA).write.json(
         f"{other}/header"
     )
     with pytest.raises(index_store.IndexFormatError, match="header"):
         index_store.read_index(spark, other)
 
 
+def test_broken_build_leaves_the_index_that_was_there(spark, index):
+    path = fresh_path(spark, "index")
+    index_store.write_index(index, path)
+    moved = index.centroids.withColumn("norm_sq", F.col("norm_sq") + 1)
+    bad = index.postings.withColumn("fraud", F.expr("cast(raise_error('cut') as int)"))
+    with pytest.raises(Exception, match="cut"):
+        index_store.write_index(IvfIndex(moved, bad), path)
+    read = index_store.read_index(spark, path)
+    assert read.centroids.exceptAll(index.centroids).count() == 0
+    assert read.postings.count() == 80
+    index_store.write_index(IvfIndex(moved, read.postings.drop("shelf")), path)
+    read = index_store.read_index(spark, path)
+    assert read.centroids.exceptAll(moved).count() == 0 and read.postings.count() == 80
+
+
 def test_scoped_tables_are_deleted(spark):
     from pathlib import Path
 
