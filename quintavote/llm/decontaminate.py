@@ -8,6 +8,10 @@ values behind their placeholders have to correspond one to one, so that a questi
 new numbers is found and a chance resemblance with mixed values is not.  A document holds
 an item if consistent diagonals cover at least ``MIN_SHARE`` of the item's windows.
 
+A copy in other case has other names, or none.  So the items' windows are looked up a second
+time in folded form, where case does not count and names are words like others; what only
+these windows find is added.
+
 Windows with fewer than ``MIN_WORDS`` ordinary words are no evidence and are left out of
 the items; an item without any other window cannot be found.  An item shorter than a
 window has one window of its own length.
@@ -50,52 +54,70 @@ def _tokens(text: str) -> str:
     return f"regexp_extract_all({text}, '{_TOKEN}', 0)"
 
 
-def _kinds(tokens: str) -> str:
+def _folded(token: str) -> str:
+    """SQL of a token without its case; the capitals of sharp s are ss, final sigma has none."""
+    return f"replace(replace(lower({token}), 'ß', 'ss'), 'ς', 'σ')"
+
+
+def _kinds(tokens: str, named: bool = True) -> str:
     """SQL of the canonical form of each token of the array ``tokens``."""
     units = ", ".join(f"'{u}'" for u in UNITS)
     number = "rlike({}, '^\\\\p{{N}}')"
+    name = " WHEN left(x, 1) <> lower(left(x, 1)) THEN '<name>'" if named else ""
     return (
-        f"transform({tokens}, (x, i) -> CASE WHEN {number.format('x')} THEN '<num>'"
-        f" WHEN left(x, 1) <> lower(left(x, 1)) THEN '<name>'"
+        f"transform({tokens}, (x, i) -> CASE WHEN {number.format('x')} THEN '<num>'{name}"
         f" WHEN x IN ({units}) AND {number.format(f'get({tokens}, i - 1)')} THEN '<unit>'"
         " ELSE lower(x) END)"
     )
 
 
-def _windows(size: int, codes: str = "c") -> str:
+def _windows(size: int, codes: str = "c", folded: bool = False) -> str:
     """SQL of the hashes of all windows of ``size`` tokens over token hashes ``codes``."""
     parts = ", ".join(f"{codes}[i + {k}]" for k in range(size))
     return (
         f"if(size({codes}) < {size}, array(), transform(sequence(0, size({codes}) - {size}),"
-        f" i -> xxhash64({size}, {parts})))"
+        f" i -> xxhash64({-size if folded else size}, {parts})))"
     )
 
 
 def _window_hashes(text: str, sizes: list[int]) -> str:
-    """SQL: an array with one array of window hashes for each size."""
-    every = ", ".join(_windows(n) for n in sizes)
-    codes = let("t", _tokens(text), f"transform({_kinds('t')}, x -> xxhash64(x))")
-    return let("c", codes, f"array({every})")
+    """SQL: an array with one array of window hashes for each size, typed and then folded."""
+
+    def every(kinds: str, folded: bool) -> str:
+        hashes = ", ".join(_windows(n, folded=folded) for n in sizes)
+        return let("c", f"transform({kinds}, x -> xxhash64(x))", f"array({hashes})")
+
+    folded = let("f", f"transform(t, x -> {_folded('x')})", every(_kinds("f", named=False), True))
+    return let("t", _tokens(text), f"concat({every(_kinds('t'), False)}, {folded})")
+
+
+def _forms(items: DataFrame) -> DataFrame:
+    """The items' columns and tokens, kinds, folded: every item in typed and in folded form."""
+    tokens = items.withColumn("tokens", F.expr(_tokens("text")))
+    typed = tokens.withColumn("kinds", F.expr(_kinds("tokens")))
+    folded = tokens.withColumn("tokens", F.expr(f"transform(tokens, x -> {_folded('x')})"))
+    folded = folded.withColumn("kinds", F.expr(_kinds("tokens", named=False)))
+    return typed.withColumn("folded", F.lit(False)).union(folded.withColumn("folded", F.lit(True)))
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
-    """item, item_id, kinds, tokens, size, windows (place, hash) of usable windows, n_windows."""
-    tokens = items.select(
-        "item_id", "item", F.expr(_tokens("text")).alias("tokens")
-    ).where("size(tokens) > 0")
-    kinds = tokens.withColumn("kinds", F.expr(_kinds("tokens"))).withColumn(
+    """item, item_id, folded, size, place and hash of the usable windows."""
+    kinds = _forms(items).where("size(tokens) > 0").withColumn(
         "size", F.least(F.lit(WINDOW), F.size("tokens"))
     )
     codes = kinds.withColumn("c", F.expr("transform(kinds, x -> xxhash64(x))"))
     ordinary = "size(filter(slice(kinds, place + 1, size), x -> x NOT LIKE '<%>'))"
-    sizes = range(1, WINDOW + 1)
-    hashes = " ".join(f"WHEN {n} THEN {_windows(n)}" for n in sizes)
+    hashes = " ".join(
+        f"WHEN {n} THEN if(folded, {_windows(n, folded=True)}, {_windows(n)})"
+        for n in range(1, WINDOW + 1)
+    )
     return (
         codes.select(
-            "item_id", "item", "size", "kinds", F.posexplode(F.expr(f"CASE size {hashes} END")).alias("place", "hash")
+            "item_id", "item", "folded", "size", "kinds",
+            F.posexplode(F.expr(f"CASE size {hashes} END")).alias("place", "hash"),
         )
         .where(f"{ordinary} >= least({MIN_WORDS}, size)")
-        .select("item_id", "item", "size", "place", "hash")
+        .select("item_id", "item", "folded", "size", "place", "hash")
     )
 
 
@@ -136,7 +158,7 @@ def find(
         "window-hits",
     )
     aligned = hits.join(windows, "hash").select(
-        "doc", "item", "item_id", "size", "place", "at", (F.col("at") - F.col("place")).alias("diagonal")
+        "doc", "item", "item_id", "folded", "size", "place", "at", (F.col("at") - F.col("place")).alias("diagonal")
     )
 
     # Values behind the placeholders, for the documents with a hit alone.
@@ -149,10 +171,8 @@ def find(
         .select("doc", "doc_id", F.expr(_tokens("text")).alias("doc_tokens")),
         "hit-tokens",
     )
-    asked = items.select("item", F.expr(_tokens("text")).alias("tokens")).withColumn(
-        "kinds", F.expr(_kinds("tokens"))
-    )
-    spans = aligned.groupBy("doc", "item", "diagonal").agg(
+    asked = _forms(items).select("item", "folded", "tokens", "kinds")
+    spans = aligned.groupBy("doc", "item", "folded", "diagonal").agg(
         F.first("item_id").alias("item_id"),
         F.first("size").alias("size"),
         F.collect_set("place").alias("places"),
@@ -162,31 +182,34 @@ def find(
         "filter(array_distinct(flatten(transform(places, p -> sequence(p, p + size - 1)))),"
         " p -> kinds[p] LIKE '<%>')"
     )
-    pairs = f"array_distinct(transform({slots}, p -> struct(tokens[p] AS mine, doc_tokens[p + diagonal] AS theirs)))"
+    theirs = "doc_tokens[p + diagonal]"
+    theirs = f"if(folded, {_folded(theirs)}, {theirs})"
+    pairs = f"array_distinct(transform({slots}, p -> struct(tokens[p] AS mine, {theirs} AS theirs)))"
     judged = (
-        spans.join(asked, "item")
+        spans.join(asked, ["item", "folded"])
         .join(said, "doc")
-        .select("doc", "doc_id", "item", "item_id", "places", F.expr(pairs).alias("pairs"))
+        .select("doc", "doc_id", "item", "item_id", "folded", "places", F.expr(pairs).alias("pairs"))
         .where(
             "size(array_distinct(pairs.mine)) = size(pairs)"
             " AND size(array_distinct(pairs.theirs)) = size(pairs)"
         )
         .withColumn("other", F.expr("exists(pairs, p -> p.mine <> p.theirs)"))
     )
-    total = windows.groupBy("item").agg(F.count("*").alias("n_windows"))
+    total = windows.groupBy("item", "folded").agg(F.count("*").alias("n_windows"))
     per_text = (
-        judged.groupBy("doc", "item")
+        judged.groupBy("doc", "item", "folded")
         .agg(
             F.first("doc_id").alias("doc_id"),
             F.first("item_id").alias("item_id"),
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"),
             F.max("other").alias("other"),
         )
-        .join(total, "item")
+        .join(total, ["item", "folded"])
         .where(F.col("n_hit") >= MIN_SHARE * F.col("n_windows"))
     )
+    # Typed windows go before folded ones, so that these only add.
     return per_text.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("n_hit", "n_windows", "other")).alias("best")
+        F.max(F.struct(~F.col("folded"), "n_hit", "n_windows", "other")).alias("best")
     ).select(
         "doc_id", "item_id", "best.n_windows", "best.n_hit",
         F.col("best.other").alias("reparameterised"),

@@ -244,6 +244,16 @@ def test_reparameterised_items_are_found(spark):
     assert decontaminate.find(documents(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("case", [str.upper, str.lower, str.title, str.swapcase])
+def test_items_are_found_in_any_case(spark, case):
+    german = "Wie viele Kinder aus der kleinen Straße essen 12 große Äpfel"
+    bench = spark.createDataFrame([(10, ITEM), (11, german)], "item_id long, text string")
+    rows = [(1, case(f"Intro words here. {ITEM}. More.")), (2, case(german)), (3, case(ITEM.replace("12", "31")))]
+    rows += [(4, case("some other words that no item of this benchmark has in it"))]
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.find(documents(spark, rows), bench).collect()}
+    assert got == {(1, 10): False, (2, 11): False, (3, 10): True}
+
+
 def test_short_items_have_one_window(spark):
     bench = spark.createDataFrame([(1, "how are you today")], "item_id long, text string")
     got = decontaminate.find(documents(spark, [(1, "well, how are you today?"), (2, "how are you")]), bench)
