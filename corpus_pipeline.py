@@ -18,6 +18,8 @@ from quintavote.staging import materialize
 # A text that is less like every learned language than this is rejected: the cosine of
 # unrelated vectors of 1,024 signs is about 1/32 in size.
 MIN_SCORE = 0.02
+# A line of some words is dropped from its second document on, before similar documents go.
+LINE_DOCS = 2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; n_chars follows."""
     own = docs.select(F.struct("*").alias("own"), "doc_id", "text")
-    left = line_templates.drop_recurring(own).where(
+    left = line_templates.drop_recurring(own, line_docs=LINE_DOCS).where(
         "n_dropped = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'"
     )
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}

@@ -9,7 +9,8 @@ more fields than that stays a template of its own.
 
 A template that occurs in at least ``MIN_DOCS`` documents recurs: its lines are dropped
 everywhere but in the document with the smallest doc_id, so that nothing is lost
-altogether.  Blank lines are never counted and never dropped.
+altogether.  With ``line_docs`` a line, masked, of at least ``LINE_WORDS`` words besides
+fields recurs by itself from that many documents on.  Blank lines are never counted and never dropped.
 
 Null text has no lines; its result is null text with 0 lines, and empty text has one
 blank line.  Rows of one doc_id are one document for counting, rows with a null doc_id
@@ -32,6 +33,8 @@ MAX_VALUES = 8
 MIN_FIXED = 4
 MIN_SHARE = 0.7
 MIN_DOCS = 5
+# Words of a line that can recur in fewer documents than a template.
+LINE_WORDS = 8
 # Leaves of several documents are broadcast up to this number, joined by shuffle beyond it.
 BROADCAST_LEAVES = 2_000_000
 _LAST = (1 << 63) - 1
@@ -100,7 +103,22 @@ def _templates(distinct: DataFrame) -> DataFrame:
     )
 
 
-def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _recurring(placed: DataFrame, by: str, least: int) -> DataFrame:
+    """doc, row, pos of what recurs in at least ``least`` documents, but for the first of them."""
+    found = (
+        placed.select(by, "doc")
+        .distinct()
+        .groupBy(by)
+        .agg(F.count("*").alias("n_docs"), F.min("doc").alias("first"))
+        .where(F.col("n_docs") >= least)
+        .select(by, "first")
+    )
+    return placed.join(found, by).where("doc <> first").select("doc", "row", "pos")
+
+
+def drop_recurring(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", line_docs: int = MIN_DOCS
+) -> DataFrame:
     """Every row with what is left of its text, n_lines and n_dropped."""
     # The row's own columns travel in one struct, where no working column can clash with them.
     rows = docs.select(
@@ -115,7 +133,7 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .distinct()
         .groupBy("leaf")
         .count()
-        .where(F.col("count") >= MIN_DOCS)
+        .where(F.col("count") >= min(MIN_DOCS, line_docs))
         .select("leaf"),
         "leaves",
     )
@@ -130,20 +148,12 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     placed = found.select("leaf", "h", "doc", "row", "pos").join(_templates(distinct), ["leaf", "h"])
     placed = materialize(placed.select("template", "doc", "row", "pos"), "placed-lines")
-    recurring = (
-        placed.select("template", "doc")
-        .distinct()
-        .groupBy("template")
-        .agg(F.count("*").alias("n_docs"), F.min("doc").alias("first"))
-        .where(F.col("n_docs") >= MIN_DOCS)
-        .select("template", "first")
-    )
-    dropped = (
-        placed.join(recurring, "template")
-        .where("doc <> first")
-        .groupBy("doc", "row")
-        .agg(F.collect_set("pos").alias("dropped"))
-    )
+    gone = _recurring(placed, "template", MIN_DOCS)
+    if line_docs < MIN_DOCS:
+        words = f"size(filter(split(line, ' '), x -> x <> '{FIELD}'))"
+        long = found.where(f"{words} >= {LINE_WORDS}").select("h", "doc", "row", "pos")
+        gone = gone.union(_recurring(long, "h", line_docs))
+    dropped = gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("dropped"))
     left = let(
         "l",
         r"split(text, '\n')",

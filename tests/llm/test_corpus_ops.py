@@ -148,6 +148,14 @@ def test_places_with_many_values_are_fields(spark):
     assert all(r.n_dropped == 0 for r in line_templates.drop_recurring(documents(spark, prose)).collect())
 
 
+def test_long_lines_recur_from_two_documents_on(spark):
+    line = "this one passage of some words stands in {} and in another document too"
+    rows = [(1, "own a\n" + line.format("1")), (2, line.format("2") + "\nshort line\nown b"), (3, "short line\nown c")]
+    rows += [(4, "one more passage of many words that only its own document has")]
+    found = line_templates.drop_recurring(documents(spark, rows), line_docs=2).collect()
+    assert {r.doc_id: r.text for r in found} == {**dict(rows), 2: "short line\nown b"}
+
+
 # 4 -- languages
 
 

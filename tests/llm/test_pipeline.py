@@ -38,6 +38,13 @@ def test_stages_equal_brute_force(spark):
         assert coded[i].n_tokens * 4 == len(coded[i].ids)
 
 
+def test_line_dedup_drops_passages_of_two_documents(spark):
+    passage = " ".join(f"{chr(97 + i % 26)}word" for i in range(60))
+    rows = [(1, f"own text one\n{passage}"), (2, f"{passage}\nother text two"), (3, "third text")]
+    found = texts_of(corpus_pipeline.dedup_lines(spark, documents(spark, rows), SMALL))
+    assert found == [rows[0], (2, "other text two"), rows[2]]
+
+
 def test_stages_take_odd_documents(spark):
     rows = [(1, None), (2, ""), (None, "some words here"), (3, "x y z " * 9), (3, "x y z " * 9), (4, "12 34")]
     for source in (documents(spark, rows), documents(spark, [])):
