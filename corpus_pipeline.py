@@ -7,6 +7,7 @@ documents; line dedup shortens texts and removes a document of which no line is
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +16,32 @@ from quintavote.llm import byte_bpe, decontaminate, language_id, line_templates,
 from quintavote.llm.common import table
 from quintavote.staging import materialize
 
-# A text that is less like every learned language than this is rejected: the cosine of
-# unrelated vectors of 1,024 signs is about 1/32 in size.
+# A text that is less like every learned language than this is rejected, however short.
 MIN_SCORE = 0.02
+# The cosine of unrelated vectors of DIM signs is normal with deviation DIM ** -0.5, and the
+# score is the best of all languages.  From so many letters on, an unlearned text passes with
+# these odds at most; fewer letters are too little to tell, as labelled texts score like noise.
+ODDS = ((32, 0.001), (16, 0.1))
 # A line of some words is dropped from its second document on, before similar documents go.
 LINE_DOCS = 2
 
 
+def least_score(odds: float, languages: int) -> float:
+    """The score that the best of so many unrelated vectors exceeds with these odds at most."""
+    return NormalDist().inv_cdf(1 - odds / max(1, languages)) * language_id.DIM**-0.5
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter and some likeness to a language; learned from the labelled ones."""
     known = language_id.learn(docs.where(~language_id.held_out()))
     found = language_id.identify(docs.select(F.struct("*").alias("own"), "text"), known)
-    good = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)
+    n_letters = F.length(F.regexp_replace("text", "[^\\p{L}]+", ""))
+    gates = [(letters, least_score(odds, len(known))) for letters, odds in ODDS]
+    # Letters are counted only where the score leaves it open.
+    gate = F.when(F.col("score") >= max(g for _, g in gates), MIN_SCORE)
+    for letters, least in gates:
+        gate = gate.when(n_letters >= letters, max(MIN_SCORE, least))
+    good = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= gate.otherwise(MIN_SCORE))
     return found.where(good).select("own.*")
 
 

@@ -38,6 +38,22 @@ def test_stages_equal_brute_force(spark):
         assert coded[i].n_tokens * 4 == len(coded[i].ids)
 
 
+def test_unlearned_scripts_go_and_labelled_documents_stay(spark):
+    folder = "/root/testdata/sf0.01"
+    odd = [
+        "Съешь же ещё этих мягких французских булок, да выпей чаю",
+        "Ο γρήγορος λύκος πηδάει πάνω από το τεμπέλικο σκυλί του χωριού",
+        "我们今天在北京的图书馆里读了很多关于历史和科学的书籍然后一起去公园散步聊天直到晚上才回家吃饭",
+        "".join(chr(0x430 + i * 7 % 32) + " " * (i % 5 == 0) for i in range(300)),
+    ]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    blank = docs.limit(1).drop("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(more.crossJoin(blank)), folder)
+    want = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert {r.doc_id for r in kept.collect()} == want
+
+
 def test_line_dedup_drops_passages_of_two_documents(spark):
     passage = " ".join(f"{chr(97 + i % 26)}word" for i in range(60))
     rows = [(1, f"own text one\n{passage}"), (2, f"{passage}\nother text two"), (3, "third text")]
