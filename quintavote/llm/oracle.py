@@ -7,7 +7,7 @@ accuracy), HTML extraction, chat repair and BPE (exact round trip).
 
 from __future__ import annotations
 
-from quintavote.llm import decontaminate, line_templates, quality_ledger
+from quintavote.llm import decontaminate, line_templates, quality_ledger, scaled_sketch
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -190,6 +190,52 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r"""
 
 
+def _op13() -> str:
+    k = scaled_sketch
+
+    def reach(s: str) -> str:
+        return f"CASE WHEN len({s}) < {k.LEAST} THEN 'g' ELSE greatest('{k.HIGHEST}', {s}[-1]) END"
+
+    def near(a: str, b: str) -> str:
+        top = f"least({reach(a)}, {reach(b)})"
+        x, y = (f"list_filter({s}, lambda h: h <= {top})" for s in (a, b))
+        both = f"len(list_intersect({x}, {y}))"
+        return (
+            f"CASE WHEN {a} = {b} THEN 1.0 ELSE"
+            f" CAST({both} AS DOUBLE) / greatest(len({x}) + len({y}) - {both}, 1) END"
+        )
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+ids AS (
+  SELECT doc_id, coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS next_id
+  FROM (SELECT DISTINCT doc_id FROM d WHERE doc_id IS NOT NULL)
+), n AS (SELECT doc_id, arg_min(t, md5(t)) AS t FROM d WHERE doc_id IS NOT NULL GROUP BY doc_id),
+e AS (
+  SELECT d.doc_id, d.t, coalesce(n.t, '') AS nt,
+         left(d.t, length(d.t) - length(d.t) // 4) || left(coalesce(n.t, ''), length(d.t) // 4) AS edited
+  FROM d LEFT JOIN ids USING (doc_id) LEFT JOIN n ON n.doc_id = next_id
+), w AS (
+  SELECT t, {_WORDS.format("t")} AS w FROM (SELECT t FROM e UNION SELECT nt FROM e UNION SELECT edited FROM e)
+), g AS (
+  SELECT t, left(md5(array_to_string(w[i:i + {k.SHINGLE - 1}], ' ')), 16) AS h
+  FROM (SELECT t, w, unnest(generate_series(1, greatest(1, len(w) - {k.SHINGLE - 1}))) AS i
+        FROM w WHERE len(w) > 0)
+), h AS (SELECT t, list_sort(list(DISTINCT h)) AS h FROM g GROUP BY t),
+s AS (
+  SELECT t, CASE WHEN h IS NULL THEN [] WHEN len(list_filter(h, lambda x: x <= '{k.HIGHEST}')) >= {k.LEAST}
+                 THEN list_filter(h, lambda x: x <= '{k.HIGHEST}') ELSE h[1:{k.LEAST}] END AS s
+  FROM w LEFT JOIN h USING (t)
+), c AS (
+  SELECT doc_id, e.t, edited, x.s AS a, y.s AS b, z.s AS c
+  FROM e JOIN s x ON x.t = e.t JOIN s y ON y.t = edited JOIN s z ON z.t = nt
+)
+SELECT doc_id, length(t) AS n_chars, sha256(edited) AS edited_sha256,
+       array_to_string(a, ',') AS fingerprint, array_to_string(b, ',') AS edited_fingerprint,
+       {near("a", "b")} AS near_edited, {near("a", "c")} AS near_next
+FROM c"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op2_quality_rules": _op2(),
@@ -197,4 +243,5 @@ def statements() -> dict[str, str]:
         "op6_decontamination": _op6(),
         "op8_ngram_jaccard": _OP8,
         "op10_warc": _OP10,
+        "op13_scaled_sketch": _op13(),
     }

@@ -16,6 +16,7 @@ from quintavote.llm import (
     line_templates,
     parity_join,
     quality_ledger,
+    scaled_sketch,
     suffix_dedup,
     warc,
 )
@@ -98,6 +99,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.compare_with_edited(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("sketch", ",").alias("fingerprint"),
+        F.array_join("edited_sketch", ",").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+# Queries without a plain SQL twin: tested against brute force, an exact round trip or
+# held-out accuracy.
+NO_SQL = {
+    "op1_suffix_dedup",
+    "op4_language_id",
+    "op5_html_extraction",
+    "op7_chat_repair",
+    "op9_byte_bpe",
+    "pipeline",
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -111,5 +135,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard,
         op9_byte_bpe,
         op10_warc,
+        op13_scaled_sketch,
     )
 }
