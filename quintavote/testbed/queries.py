@@ -798,3 +798,7 @@ def knn_embeddings(spark, sf_dir):
     queries = coded.withColumnRenamed("ref_id", "query_id")
     found = knn.knn_exact(queries, coded, dim=EMBEDDING_DIM, skip_self=True)
     return found.select("query_id", "rank", "ref_id", "dist", "fraud")
+
+
+# Queries without a plain SQL twin: their seeds are drawn at random.
+NO_SQL = {"kmeans_seed", "kmeans_fit"}
