@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quintavote.llm.common import keyed_text, let
 from quintavote.staging import materialize
@@ -140,14 +141,19 @@ def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     Returns doc_id, n_chars, edited, sketch, edited_sketch, near_edited and near_next.
     """
-    rows = keyed_text(docs, key, text).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    # An id that needs no renaming keeps its column: an alias that Spark drops in one join only
+    # would keep both from sharing the exchange.
+    same = key == "doc_id" and docs.schema[key].dataType == T.LongType()
+    id_ = F.col("doc_id") if same else F.col(key).cast("long").alias("doc_id")
+    rows = docs.select(id_, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     quarter = F.expr("CAST(length(t) DIV 4 AS int)")
-    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(quarter).alias("wanted"))
+    known = rows.where("doc_id IS NOT NULL")
+    ids = known.groupBy("doc_id").agg(F.max(quarter).alias("wanted"))
     before = _successors(ids).select(
         F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prior_id"), "wanted"
     )
     # Both joins read one exchange of texts and sketches; only the wanted heads move again.
-    coded = rows.select("doc_id", "t", sketch("t").alias("sketch"))
+    coded = known.select("doc_id", "t", sketch("t").alias("sketch"))
     heads = (
         coded.join(before.hint("merge"), "doc_id")
         .select(
@@ -157,8 +163,10 @@ def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text"
         .groupBy("doc_id")
         .agg(F.min("n").alias("n"))
     )
-    own = coded.where("doc_id IS NOT NULL").join(heads.hint("merge"), "doc_id", "left")
-    alone = coded.where("doc_id IS NULL").withColumn("n", F.lit(None).cast(heads.schema["n"].dataType))
+    own = coded.join(heads.hint("merge"), "doc_id", "left")
+    alone = rows.where("doc_id IS NULL").select(
+        "doc_id", "t", sketch("t").alias("sketch"), F.lit(None).cast(heads.schema["n"].dataType).alias("n")
+    )
     q = "CAST(length(t) DIV 4 AS int)"
     edited = own.unionByName(alone).select(
         "doc_id",

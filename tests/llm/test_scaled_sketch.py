@@ -5,7 +5,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from quintavote.llm import scaled_sketch
 from tests.llm.test_corpus_ops import SMALL, documents, texts_of
@@ -137,10 +136,8 @@ def test_groups_of_documents_merge_into_rows(spark):
 
 def test_texts_cross_one_exchange_once(spark):
     """Both joins read the same exchange of texts and sketches."""
-    many = spark.range(2_000).select(
-        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text"), "id", F.col("id") + 1).alias("text")
-    )
-    frame = scaled_sketch.compare_with_edited(many)
+    frame = scaled_sketch.compare_with_edited(spark.read.parquet(f"{SMALL}/documents.parquet"))
     frame.collect()
-    plan = frame._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan and "Python" not in plan and "CartesianProduct" not in plan
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("IsNotNull(doc_id)") == 1
+    assert "Python" not in plan and "CartesianProduct" not in plan
