@@ -152,10 +152,11 @@ def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text"
     before = _successors(ids).select(
         F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prior_id"), "wanted"
     )
-    # Both joins read one exchange of texts and sketches; only the wanted heads move again.
+    # Both joins read one exchange of texts and sketches; only the wanted heads move again.  The
+    # first looks ids up by hash (a few bytes each), so that texts are sorted for the second alone.
     coded = known.select("doc_id", "t", sketch("t").alias("sketch"))
     heads = (
-        coded.join(before.hint("merge"), "doc_id")
+        coded.join(before.hint("shuffle_hash"), "doc_id")
         .select(
             F.col("prior_id").alias("doc_id"),
             F.struct(F.md5("t").alias("m"), F.expr("left(t, wanted)").alias("head"), "sketch").alias("n"),
