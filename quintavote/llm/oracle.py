@@ -7,7 +7,7 @@ accuracy), HTML extraction, chat repair and BPE (exact round trip).
 
 from __future__ import annotations
 
-from quintavote.llm import decontaminate, line_templates, quality_ledger, scaled_sketch
+from quintavote.llm import decontaminate, line_templates, part_codes, quality_ledger, scaled_sketch
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -190,6 +190,57 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r"""
 
 
+def _op12() -> str:
+    k = part_codes
+
+    def assigned(t: int) -> str:
+        gap = "list_sum(list_transform(list_zip(p.c, e.c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+        return f"""a{t} AS MATERIALIZED (
+  SELECT r, part, min({{'d': d, 'e': entry}}) AS x
+  FROM (SELECT p.r, p.part, e.entry, CAST({gap} AS BIGINT) AS d FROM p JOIN e{t} e USING (part))
+  GROUP BY r, part
+)"""
+
+    def updated(t: int) -> str:
+        return f"""e{t + 1} AS MATERIALIZED (
+  SELECT e.part, e.entry, coalesce(m.c, e.c) AS c FROM e{t} e LEFT JOIN (
+    SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+    FROM (SELECT p.part, a.x.e AS entry, i, sum(c[i]) AS s, count(*) AS n
+          FROM a{t} a JOIN p USING (r, part), (SELECT unnest(generate_series(1, (SELECT w FROM width) // {k.PARTS})) AS i)
+          GROUP BY 1, 2, 3)
+    GROUP BY part, entry
+  ) m USING (part, entry)
+)"""
+
+    rounds = ", ".join(x for t in range(k.ROUNDS) for x in (assigned(t), updated(t)))
+    return f"""
+WITH q AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor({k.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), width AS (
+  SELECT len(v) AS w FROM q WHERE vec_id IS NOT NULL AND len(v) % {k.PARTS} = 0 ORDER BY vec_id, len(v) LIMIT 1
+), kept AS MATERIALIZED (SELECT q.* FROM q, width WHERE len(v) = w),
+p AS MATERIALIZED (
+  SELECT r, part, v[part * (w // {k.PARTS}) + 1:(part + 1) * (w // {k.PARTS})] AS c
+  FROM kept, width, (SELECT unnest(generate_series(0, {k.PARTS - 1})) AS part)
+), seeds AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS entry, arg_min(r, v) AS r
+  FROM kept WHERE vec_id IS NOT NULL GROUP BY vec_id ORDER BY vec_id LIMIT {k.ENTRIES}
+), e0 AS MATERIALIZED (SELECT part, entry, c FROM seeds JOIN p USING (r)),
+{rounds}, {assigned(k.ROUNDS)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', x.e), '' ORDER BY part) AS code, CAST(sum(x.d) AS BIGINT) AS error
+  FROM a{k.ROUNDS} GROUP BY r
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS h FROM e{k.ROUNDS}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       h AS codebooks_sha256
+FROM coded JOIN kept USING (r), digest"""
+
+
 def _op13() -> str:
     k = scaled_sketch
 
@@ -243,5 +294,6 @@ def statements() -> dict[str, str]:
         "op6_decontamination": _op6(),
         "op8_ngram_jaccard": _OP8,
         "op10_warc": _OP10,
+        "op12_part_codes": _op12(),
         "op13_scaled_sketch": _op13(),
     }

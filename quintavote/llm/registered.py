@@ -15,6 +15,7 @@ from quintavote.llm import (
     language_id,
     line_templates,
     parity_join,
+    part_codes,
     quality_ledger,
     scaled_sketch,
     suffix_dedup,
@@ -99,6 +100,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = part_codes.train(table(spark, sf_dir, "embeddings"))
+    schema = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
+    if coded is None:
+        return spark.createDataFrame([], schema)
+    return part_codes.with_label_errors(coded.rows).select(
+        F.col("id").alias("vec_id"),
+        F.lower(F.hex("codes")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(part_codes.digest(coded.books)).alias("codebooks_sha256"),
+    )
+
+
 def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.compare_with_edited(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -135,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard,
         op9_byte_bpe,
         op10_warc,
+        op12_part_codes,
         op13_scaled_sketch,
     )
 }
