@@ -7,7 +7,7 @@ accuracy), HTML extraction, chat repair and BPE (exact round trip).
 
 from __future__ import annotations
 
-from quintavote.llm import decontaminate, line_templates, part_codes, quality_ledger, scaled_sketch
+from quintavote.llm import decontaminate, line_templates, part_codes, prefix_trie, quality_ledger, scaled_sketch
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -190,6 +190,62 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r"""
 
 
+def _crc32(digits: str) -> str:
+    """SQL of the CRC-32 of a text of ASCII characters, four bits a step."""
+
+    def entry(x: int) -> int:
+        for _ in range(4):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        return x
+
+    table = [entry(x) for x in range(16)]
+    halves = f"flatten(list_transform(string_split({digits}, ''), lambda ch: [ord(ch) & 15, ord(ch) >> 4]))"
+    start = f"list_concat([CAST(4294967295 AS BIGINT)], list_transform({halves}, lambda x: CAST(x AS BIGINT)))"
+    step = f"list_reduce({start}, lambda a, x: xor(CAST({table} AS BIGINT[])[(xor(a, x) & 15) + 1], a >> 4))"
+    return f"xor({step}, 4294967295)"
+
+
+def _op11() -> str:
+    k = prefix_trie
+    return f"""
+WITH t AS (
+  SELECT conv_id, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, conv_id - conv_id % {k.GROUP} AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % {k.HEADS} AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), s AS (
+  SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = base AND pos <= h
+  UNION ALL SELECT conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h
+), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS d FROM s),
+p AS (
+  SELECT conv_id, d, text, list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY d) AS prefix FROM r
+), path AS MATERIALIZED (
+  SELECT conv_id AS c, d, len({_WORDS.format("text")}) AS words, min(conv_id) OVER (PARTITION BY d, prefix) AS node FROM p
+  UNION ALL SELECT conv_id, 0, 0, min(conv_id) OVER () FROM c
+), n AS (
+  SELECT node, d, count(*) AS n_convs, any_value(words) AS words FROM path GROUP BY node, d
+), up AS (
+  SELECT n.*, path.node AS parent FROM n LEFT JOIN path ON path.c = n.node AND path.d = n.d - 1
+), kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL),
+own AS (
+  SELECT up.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * words AS saved
+  FROM up LEFT JOIN kids USING (node, d)
+), total AS (
+  SELECT path.node, path.d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM own JOIN path ON path.c = own.node AND path.d <= own.d GROUP BY path.node, path.d
+), ends AS (
+  SELECT node, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+  FROM path JOIN (SELECT c, max(d) AS d FROM path GROUP BY c) USING (c, d) GROUP BY node, d
+)
+SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(total.saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN total USING (node, d) LEFT JOIN ends USING (node, d)"""
+
+
 def _op12() -> str:
     k = part_codes
 
@@ -294,6 +350,7 @@ def statements() -> dict[str, str]:
         "op6_decontamination": _op6(),
         "op8_ngram_jaccard": _OP8,
         "op10_warc": _OP10,
+        "op11_prefix_trie": _op11(),
         "op12_part_codes": _op12(),
         "op13_scaled_sketch": _op13(),
     }

@@ -16,6 +16,7 @@ from quintavote.llm import (
     line_templates,
     parity_join,
     part_codes,
+    prefix_trie,
     quality_ledger,
     scaled_sketch,
     suffix_dedup,
@@ -100,6 +101,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = part_codes.train(table(spark, sf_dir, "embeddings"))
     schema = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
@@ -150,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard,
         op9_byte_bpe,
         op10_warc,
+        op11_prefix_trie,
         op12_part_codes,
         op13_scaled_sketch,
     )
