@@ -9,6 +9,9 @@ grows with the hottest cluster.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quintavote.config import DIM, NEIGHBOURS
+from quintavote.config import DIM, MAX_PROBES, NEIGHBOURS
 from quintavote.functions.kernels import nearest_in_block, to_matrix
 from quintavote.staging import share, ship_package
 
@@ -25,9 +28,15 @@ from quintavote.staging import share, ship_package
 REFERENCE_BLOCK = 131_072
 QUERY_BLOCK = 32_768
 
-# Probe rows up to this number are broadcast instead of shuffled; above it the
-# shuffled plan takes over.
-BROADCAST_PROBES = 100_000
+# Probes up to this size are broadcast instead of moved to the postings' buckets.
+MEMORY_BYTES = 64 << 20
+# Query blocks of one cluster that one bucket takes; clusters asked for more often are dealt
+# out, postings and all.
+HELD_BLOCKS = 8
+# Clusters up to this number are named in a filter; above it, shelves alone are.
+NAMED_CLUSTERS = 1_000
+# Candidates held in a task before they are cut to the nearest.
+HELD_CANDIDATES = 1 << 20
 
 CANDIDATE_SCHEMA = T.StructType(
     [
@@ -51,6 +60,28 @@ _ARROW_SCHEMA = pa.schema(
 )
 
 
+@dataclass(frozen=True)
+class StoredBlocks:
+    """Postings as they lie in storage.
+
+    ``blocks`` holds one row a block: cluster_id, block, members (ref_id, codes, fraud) and
+    shelf.  It is a table bucketed by (cluster_id, block), so a join on both finds it in place,
+    and partitioned by shelf, a run of clusters.  ``layout`` holds the number of blocks of each
+    cluster that has members (at most MAX_CLUSTERS rows).
+    """
+
+    blocks: DataFrame
+    layout: DataFrame
+    buckets: int
+    shelf_clusters: int
+
+    def of_clusters(self, clusters: list[int]) -> DataFrame:
+        """The blocks of the shelves that hold ``clusters``, and of those alone if they are few."""
+        shelves = sorted({cluster // self.shelf_clusters for cluster in clusters})
+        touched = self.blocks.filter(F.col("shelf").isin(shelves))
+        return touched.filter(F.col("cluster_id").isin(clusters)) if len(clusters) <= NAMED_CLUSTERS else touched
+
+
 def _candidates(
     probes: pa.Table,
     probe_codes: np.ndarray,
@@ -140,56 +171,211 @@ def shuffled_scan(
     )
 
 
-def broadcast_scan(
+def _members(column: pa.Array, dim: int) -> tuple[pa.Table, np.ndarray]:
+    """Posting rows of one block (a list of structs) and their codes as a matrix."""
+    rows = column.flatten()
+    table = pa.table([rows.field("ref_id"), rows.field("fraud")], names=["ref_id", "fraud"])
+    return table, to_matrix(rows.field("codes"), dim)
+
+
+def stored_scan(
     probes: DataFrame,
-    postings: DataFrame,
+    stored: StoredBlocks,
     dim: int = DIM,
     k: int = NEIGHBOURS,
     skip_self: bool = False,
-    limit: int = BROADCAST_PROBES,
-    shelf_clusters: int | None = None,
-) -> DataFrame | None:
-    """Stream postings past a small set of probes, without shuffling postings.
+    query_block: int = QUERY_BLOCK,
+    held_blocks: int = HELD_BLOCKS,
+) -> DataFrame:
+    """Move probes to the buckets of the stored postings, which stay where they are.
 
-    None when there are more than ``limit`` probe rows.  Stored postings are
-    read by shelf: only folders that hold a probed cluster.
+    Probes of a cluster are dealt into query blocks, each of which meets every block of the
+    cluster's postings.  A cluster asked for by more than ``held_blocks`` query blocks would
+    keep one bucket busy, so its postings are copied once for every so many of them and those
+    copies moved; they are less than the probes that ask for them.
     """
     ship_package(probes.sparkSession)
-    held = probes.select(*probe_columns(probes)).limit(limit + 1).toArrow()
-    if held.num_rows > limit:
-        return None
-    held = held.sort_by("cluster_id").combine_chunks()
-    clusters = pc.unique(held["cluster_id"]).to_pylist()
-    table = share(probes.sparkSession, held)
-
-    def scan(batches):
-        wanted = table.value
-        probed = wanted["cluster_id"].to_numpy()
-        wanted_codes = to_matrix(wanted["codes"], dim)
+    columns = probe_columns(probes)
+    asked = probes.groupBy("cluster_id").agg(
+        F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("_query_blocks")
+    )
+    # One row a cluster, bounded by MAX_CLUSTERS.
+    layout = stored.layout.join(asked, "cluster_id").toArrow()
+    held = probes.sparkSession.createDataFrame(layout, "cluster_id int, blocks int, _query_blocks int")
+    dealt = (
+        probes.join(F.broadcast(held), "cluster_id")
+        .withColumn("_query_block", F.pmod(F.xxhash64("query_id"), F.col("_query_blocks")).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    keys = ["cluster_id", "block"]
+    packed = F.collect_list(F.struct(*[c for c in columns if c != "cluster_id"])).alias("asked")
+
+    clusters = layout["cluster_id"].to_pylist()
+    blocks = stored.of_clusters(clusters).select(*keys, "members")
+    some = dealt.where(F.col("_query_blocks") <= held_blocks)
+    pairs = (
+        some.repartition(stored.buckets, *keys)
+        .groupBy(*keys, "_query_block")
+        .agg(packed)
+        .hint("merge")
+        .join(blocks, keys)
+    )
+    crowds = pc.sum(pc.greater(layout["_query_blocks"], held_blocks)).as_py() or 0
+    if crowds:
+        copy = (F.col("_query_block") / held_blocks).cast("int")
+        crowd = held.where(F.col("_query_blocks") > held_blocks).select(
+            "cluster_id",
+            F.explode(F.sequence(F.lit(0), ((F.col("_query_blocks") - 1) / held_blocks).cast("int"))).alias("_copy"),
+        )
+        many = dealt.where(F.col("_query_blocks") > held_blocks).withColumn("_copy", copy)
+        # Copies are few by construction: one for every so many full query blocks.
+        moved = blocks.join(F.broadcast(crowd), "cluster_id")
+        pairs = pairs.unionByName(
+            many.repartition(*keys, "_copy")
+            .groupBy(*keys, "_copy", "_query_block")
+            .agg(packed)
+            .hint("merge")
+            .join(moved, [*keys, "_copy"])
+            .drop("_copy")
+        )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            postings_table = pa.Table.from_batches([batch]).sort_by("cluster_id")
-            codes = to_matrix(postings_table["codes"], dim)
-            ids = postings_table["cluster_id"].to_numpy()
-            for cluster in np.unique(ids):
-                lo, hi = np.searchsorted(ids, [cluster, cluster + 1])
-                first, last = np.searchsorted(probed, [cluster, cluster + 1])
-                found = _candidates(
-                    wanted.slice(first, last - first),
-                    wanted_codes[first:last],
-                    postings_table.slice(lo, hi - lo),
-                    codes[lo:hi],
-                    k,
-                    skip_self,
-                )
-                yield from found.to_batches()
-
-    touched = postings.filter(F.col("cluster_id").isin(clusters))
-    if shelf_clusters:
-        shelves = sorted({cluster // shelf_clusters for cluster in clusters})
-        touched = touched.filter(F.col("shelf").isin(shelves))
-    return touched.select("cluster_id", "ref_id", "codes", "fraud").mapInArrow(
-        scan, CANDIDATE_SCHEMA
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                postings, codes = _members(one["members"], dim)
+                rows = one["asked"].flatten()
+                names = [c for c in columns if c != "cluster_id"]
+                queries = pa.table([rows.field(c) for c in names], names=names)
+                cluster = pa.array(np.full(len(rows), one["cluster_id"][0].as_py(), dtype=np.int32))
+                queries = queries.append_column("cluster_id", cluster)
+                query_codes = to_matrix(queries["codes"], dim)
+                yield from _candidates(queries, query_codes, postings, codes, k, skip_self).to_batches()
+
+    return pairs.select("cluster_id", "asked", "members").mapInArrow(scan, CANDIDATE_SCHEMA)
+
+
+def fits_in_memory(
+    asked: DataFrame, dim: int, probes: int, limit: int | None = None
+) -> pa.Table | None:
+    """``asked`` (query_id, codes, probes) as one table; None if larger than ``limit`` bytes.
+
+    No row is wider than its ids, codes and probes, so no more rows are fetched than fit.
+    """
+    limit = MEMORY_BYTES if limit is None else limit
+    rows = limit // (8 + 2 * dim + 4 * probes)
+    held = asked.limit(rows + 1).toArrow()
+    return held if held.num_rows <= rows else None
+
+
+def _nearest_rows(query: np.ndarray, other: np.ndarray, dist: np.ndarray, ref: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` least (dist, ref) of each query, of its fast clusters and others apart."""
+    order = np.lexsort((ref, dist, other, query))
+    group = query[order] * 2 + other[order]
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    rank = np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
+    return order[rank < k]
+
+
+def one_pass_scan(
+    held: pa.Table,
+    stored: StoredBlocks,
+    dim: int = DIM,
+    fast: int = 0,
+    k: int = NEIGHBOURS,
+    skip_self: bool = False,
+) -> DataFrame:
+    """Stream the blocks of all probed clusters past a small set of queries, once.
+
+    ``held`` holds query_id, codes and probes, best first.  A task keeps the ``k`` nearest of
+    each query in its first ``fast`` clusters and in its others apart, and leaves them as one
+    row a query: query_id, near (dist, ref_id, fraud, probe_rank).  What a query has reached
+    bounds what later blocks are searched for.
+    """
+    spark = stored.blocks.sparkSession
+    ship_package(spark)
+    clusters = pc.unique(pc.list_flatten(held["probes"])).to_pylist()
+    table = share(spark, held.combine_chunks())
+    near = T.ArrayType(
+        T.StructType(
+            [
+                T.StructField("dist", T.LongType()),
+                T.StructField("ref_id", T.LongType()),
+                T.StructField("fraud", T.IntegerType()),
+                T.StructField("probe_rank", T.IntegerType()),
+            ]
+        )
     )
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("near", near)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = table.value
+        ids = wanted["query_id"].to_numpy()
+        codes = to_matrix(wanted["codes"], dim)
+        lists = wanted["probes"].combine_chunks()
+        probed = lists.flatten().to_numpy()
+        lengths = np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(ids)), lengths)
+        rank = np.arange(len(probed)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+        by_cluster = np.argsort(probed, kind="stable")
+        probed, owner, rank = probed[by_cluster], owner[by_cluster], rank[by_cluster]
+        # query, other (a later cluster), dist, ref_id, fraud, probe_rank
+        kept = [np.empty(0, dtype=np.int64) for _ in range(6)]
+        fresh: list[tuple[np.ndarray, ...]] = []
+        bounds = np.full((len(ids), 2), np.iinfo(np.int64).max >> 8)
+
+        def cut() -> None:
+            nonlocal kept
+            kept = [np.concatenate(columns) for columns in zip(kept, *fresh, strict=True)]
+            fresh.clear()
+            nearest = _nearest_rows(*kept[:4], k)
+            kept = [column[nearest] for column in kept]
+            query, other, dist = kept[:3]
+            slot = query * 2 + other
+            full = np.flatnonzero(np.bincount(slot, minlength=2 * len(ids)) == k)
+            last = np.zeros(2 * len(ids), dtype=np.int64)
+            np.maximum.at(last, slot, dist)
+            bounds.reshape(-1)[full] = last[full]
+            # Both sets count for the full vote, so what the fast one reached bounds the other.
+            bounds[:, 1] = bounds.min(axis=1)
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cluster = batch["cluster_id"][row].as_py()
+                lo, hi = np.searchsorted(probed, [cluster, cluster + 1])
+                if lo == hi:
+                    continue
+                postings, posting_codes = _members(batch["members"].slice(row, 1), dim)
+                mine, other = owner[lo:hi], (rank[lo:hi] > fast).astype(np.int64)
+                found, refs, dist = nearest_in_block(
+                    ids[mine], codes[mine], postings["ref_id"].to_numpy(), posting_codes, k,
+                    skip_self, bounds[mine, other],
+                )
+                fresh.append(
+                    (
+                        mine[found], other[found], dist, postings["ref_id"].to_numpy()[refs],
+                        postings["fraud"].to_numpy()[refs].astype(np.int64), rank[lo:hi][found],
+                    )
+                )
+            if sum(len(columns[0]) for columns in fresh) > HELD_CANDIDATES:
+                cut()
+        if fresh:
+            cut()
+        query, _, dist, ref, fraud, place = kept
+        if not len(query):
+            return
+        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        structs = pa.StructArray.from_arrays(
+            [pa.array(dist), pa.array(ref), pa.array(fraud.astype(np.int32)), pa.array(place.astype(np.int32))],
+            names=["dist", "ref_id", "fraud", "probe_rank"],
+        )
+        offsets = pa.array(np.r_[starts, len(query)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[query[starts]]), pa.ListArray.from_arrays(offsets, structs)],
+            names=["query_id", "near"],
+        )
+
+    return stored.of_clusters(clusters).select("cluster_id", "members").mapInArrow(scan, schema)
 
 
 def scan_probes(
@@ -199,20 +385,26 @@ def scan_probes(
     k: int = NEIGHBOURS,
     skip_self: bool = False,
     small_queries: bool = False,
-    shelf_clusters: int | None = None,
+    stored: StoredBlocks | None = None,
 ) -> DataFrame:
     """Candidates for each probe: ``k`` per block of the probed cluster.
 
     Where ``probes`` carry a ``bound``, a distance their query has already
     reached k times, farther candidates are dropped where they are found.
 
-    ``small_queries`` asks for the broadcast plan, which is used only while the
-    probes stay within its size limit.
+    Stored postings stay in their buckets and probes move; postings that are not
+    stored are moved along.  ``small_queries`` asks to broadcast the probes to stored
+    postings, which is done only while they fit in memory.
     """
+    if stored is None:
+        return shuffled_scan(probes, postings, dim, k, skip_self)
     if small_queries:
-        found = broadcast_scan(
-            probes, postings, dim, k, skip_self, shelf_clusters=shelf_clusters
+        lists = probes.groupBy("query_id", "codes").agg(
+            F.sort_array(F.collect_list(F.struct("probe_rank", "cluster_id"))).alias("_p")
         )
-        if found is not None:
-            return found
-    return shuffled_scan(probes, postings, dim, k, skip_self)
+        asked = lists.select("query_id", "codes", F.col("_p.cluster_id").alias("probes"))
+        held = fits_in_memory(asked, dim, MAX_PROBES)
+        if held is not None:
+            found = one_pass_scan(held, stored, dim, MAX_PROBES, k, skip_self)
+            return found.select("query_id", F.inline("near"))
+    return stored_scan(probes, stored, dim, k, skip_self)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quintavote.config import DIM, NEIGHBOURS, SCALE, BuildParams, ProbeParams
+from quintavote.functions.scores import is_borderline
 from quintavote.operators.clustering import (
     CentroidTable,
     kmeans_fit,
@@ -16,7 +17,7 @@ from quintavote.operators.clustering import (
     train_sample,
 )
 from quintavote.operators.probing import probe_rows, with_probes
-from quintavote.operators.scan import scan_probes
+from quintavote.operators.scan import StoredBlocks, fits_in_memory, one_pass_scan, scan_probes
 from quintavote.operators.topk import (
     borderline,
     carried_candidates,
@@ -38,8 +39,8 @@ class IvfIndex:
     postings: DataFrame
     dim: int = DIM
     scale: int = SCALE
-    # Clusters per partition folder of stored postings; None when not stored so.
-    shelf_clusters: int | None = None
+    # Of a stored index: postings in blocks and how they lie in storage.
+    stored: StoredBlocks | None = None
 
     @cached_property
     def table(self) -> CentroidTable:
@@ -90,13 +91,7 @@ def _ranked(queries: DataFrame, index: IvfIndex, n: int) -> DataFrame:
 
 def _scan(probes: DataFrame, index: IvfIndex, skip_self: bool, small: bool) -> DataFrame:
     return scan_probes(
-        probes,
-        index.postings,
-        index.dim,
-        NEIGHBOURS,
-        skip_self,
-        small_queries=small,
-        shelf_clusters=index.shelf_clusters,
+        probes, index.postings, index.dim, NEIGHBOURS, skip_self, small, index.stored
     )
 
 
@@ -128,8 +123,15 @@ def adaptive_votes(
 
     Returns query_id, votes, fast_votes and expanded.  The first pass is landed
     with its neighbours, so the second only reads the clusters that are new.
+
+    With ``small_queries`` and a stored index, a set of queries that fits in memory
+    is scored in one read of the postings instead (``one_pass_votes``).
     """
     params = params.clamped(index.table.size)
+    if small_queries and index.stored:
+        found = one_pass_votes(queries, index, params, skip_self)
+        if found is not None:
+            return found
     ranked = _ranked(queries, index, params.full)
     first = _scan(probe_rows(ranked, 1, params.fast), index, skip_self, small_queries)
     fast = materialize(with_neighbours(ranked, topk_neighbors(first)), "fast")
@@ -150,3 +152,43 @@ def adaptive_votes(
         "fast_votes",
         F.col("_final").isNotNull().alias("expanded"),
     )
+
+
+def one_pass_votes(
+    queries: DataFrame,
+    index: IvfIndex,
+    params: ProbeParams = ProbeParams(),
+    skip_self: bool = False,
+) -> DataFrame | None:
+    """``adaptive_votes`` of a small set of queries from one read of a stored index.
+
+    Every task scans all probes of a query and keeps the nearest of its fast clusters and of
+    its others apart, so both votes come from what it leaves.  ``queries`` is read twice.
+    None when the queries with their probes do not fit in memory; that is decided by bytes.
+    """
+    params = params.clamped(index.table.size)
+    asked = with_probes(queries, index.table, params.full).select("query_id", "codes", "probes")
+    held = fits_in_memory(asked, index.dim, params.full)
+    if held is None:
+        return None
+    found = one_pass_scan(held, index.stored, index.dim, params.fast, NEIGHBOURS, skip_self)
+    # A row without candidate, so that queries that found nothing are there as well.
+    nothing = found.schema["near"].dataType
+    every = found.unionByName(queries.select("query_id", F.lit(None).cast(nothing).alias("near")))
+    grouped = every.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+
+    def votes(kept: str) -> str:
+        return f"aggregate(slice({kept}, 1, {NEIGHBOURS}), 0, (n, x) -> n + x.fraud)"
+
+    counted = grouped.select(
+        "query_id",
+        F.expr(votes(f"filter(near, x -> x.probe_rank <= {params.fast})")).alias("fast_votes"),
+        F.expr(votes("near")).alias("_all"),
+    )
+    again = is_borderline(F.col("fast_votes")) & F.lit(params.full > params.fast)
+    return counted.select(
+        "query_id",
+        F.when(again, F.col("_all")).otherwise(F.col("fast_votes")).alias("votes"),
+        "fast_votes",
+        again.alias("expanded"),
+    )

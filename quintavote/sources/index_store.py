@@ -1,26 +1,29 @@
-"""Persisting the index as parquet tables with a header row."""
+"""Persisting the index as a bucketed table of blocks with a header row."""
 
 from __future__ import annotations
 
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quintavote.config import DIM, MAX_CLUSTERS, SCALE
 from quintavote.operators.clustering import CENTROID_SCHEMA, cluster_profile
+from quintavote.operators.scan import StoredBlocks
 from quintavote.plans.ivf import IvfIndex
 from quintavote.staging import delete_folder
 
 FORMAT = "quintavote-ivf"
-VERSION = 2
+VERSION = 3
 
-# Rows a shelf should hold on average, and the most one file takes.
-SHELF_ROWS = 1_000_000
-# Smaller files would cost more to open than to read.
-MIN_FILE_ROWS = 8_192
+# Rows a shelf should hold on average, a block at most on average, and a bucket.
+SHELF_ROWS = 64_000_000
+BLOCK_ROWS = 32_768
+BUCKET_ROWS = 1_000_000
+MAX_BUCKETS = 4_096
 
 HEADER_SCHEMA = T.StructType(
     [
@@ -31,18 +34,16 @@ HEADER_SCHEMA = T.StructType(
         T.StructField("k", T.IntegerType()),
         T.StructField("scale", T.IntegerType()),
         T.StructField("shelf_clusters", T.IntegerType()),
+        T.StructField("buckets", T.IntegerType()),
+        T.StructField("generation", T.LongType()),
         T.StructField("build", T.StringType()),
     ]
 )
-POSTING_SCHEMA = T.StructType(
-    [
-        T.StructField("ref_id", T.LongType()),
-        T.StructField("codes", T.ArrayType(T.ShortType())),
-        T.StructField("fraud", T.IntegerType()),
-        T.StructField("cluster_id", T.IntegerType()),
-        T.StructField("shelf", T.IntegerType()),
-    ]
+BLOCK_SCHEMA = (
+    "cluster_id INT, block INT,"
+    " members ARRAY<STRUCT<ref_id: BIGINT, codes: ARRAY<SMALLINT>, fraud: INT>>, shelf INT"
 )
+LAYOUT_SCHEMA = "cluster_id INT, blocks INT"
 
 
 class IndexFormatError(ValueError):
@@ -55,63 +56,72 @@ def clusters_per_shelf(rows: int, clusters: int) -> int:
 
 
 def write_index(index: IvfIndex, path: str) -> None:
-    """Write centroids, postings and header under ``path``.
-
-    Postings go into folders ("shelves") of neighbouring cluster ids and are
-    sorted by cluster inside a file, so a search of few clusters reads few
-    folders and few row groups, while a small index stays in few files.  A hot
-    cluster is written by many tasks.  A build has its own folder and the header,
-    written last, names it: one that was cut short leaves the index that was there
-    as it is.  The build it replaces is deleted.
+    """Write centroids, blocks of postings and header under ``path``.
+
+    A block holds the postings of one cluster, or a share of those of a large one, as one row.
+    Blocks lie in buckets by (cluster_id, block), where a join finds them without moving them,
+    and in folders ("shelves") of neighbouring cluster ids, of which a search of few clusters
+    reads few.
+
+    A build has its own folder, and a header row appended last names it with the next
+    generation: one that was cut short leaves the index that was there as it is.  The build it
+    replaces stays for those who have it open; the ones before that are deleted.
     """
-    replaced = _headers(index.postings.sparkSession, path)
+    spark = index.postings.sparkSession
+    earlier = _headers(spark, path)
     build = f"build-{uuid.uuid4().hex}"
-    index.centroids.select(*CENTROID_SCHEMA.names).write.mode("overwrite").parquet(
-        f"{path}/{build}/centroids"
+    index.centroids.select(*CENTROID_SCHEMA.names).write.parquet(f"{path}/{build}/centroids")
+    profile = cluster_profile(index.postings, index.centroids).select(
+        "cluster_id", "members", F.ceil(F.col("members") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")
     )
-    spark = index.postings.sparkSession
-    rows, clusters = index.postings.count(), index.centroids.count()
+    # One row a cluster, bounded by MAX_CLUSTERS.
+    sizes = profile.toArrow()
+    rows, clusters = pc.sum(sizes["members"]).as_py() or 0, sizes.num_rows
     per_shelf = clusters_per_shelf(rows, clusters)
-    file_rows = max(MIN_FILE_ROWS, min(SHELF_ROWS, rows // spark.sparkContext.defaultParallelism))
+    buckets = buckets_for(rows, spark.sparkContext.defaultParallelism)
+    layout = spark.createDataFrame(sizes.select(["cluster_id", "blocks"]), LAYOUT_SCHEMA).where("blocks > 0")
+    layout.coalesce(1).write.parquet(f"{path}/{build}/layout")
 
-    # One row per cluster.  Files follow cluster order; a cluster larger than a
-    # file is dealt over several.
-    profile = cluster_profile(index.postings, index.centroids).select(
-        "cluster_id",
-        F.expr(f"cluster_id div {per_shelf}").cast("int").alias("shelf"),
-        F.expr(f"start_offset div {file_rows}").alias("_first"),
-        F.ceil(F.col("members") / F.lit(file_rows)).alias("_spread"),
-    )
-    dealt = F.pmod(F.xxhash64("ref_id"), F.col("_spread"))
-    cut = index.postings.join(F.broadcast(profile), "cluster_id").withColumn(
-        "_file", F.col("_first") + dealt
+    keys = ["cluster_id", "block"]
+    dealt = index.postings.join(F.broadcast(layout), "cluster_id").withColumn(
+        "block", F.pmod(F.xxhash64("ref_id"), F.col("blocks")).cast("int")
     )
-    # A small index still takes one task per file; a large one leaves the number
-    # of tasks to the session.
-    files = -(-rows // file_rows)
-    keys = ["shelf", "_file"]
-    few = 0 < files <= int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut.repartition(files, *keys) if few else cut.repartition(*keys)
+    member = F.struct("ref_id", F.col("codes").cast("array<smallint>").alias("codes"), "fraud")
     (
-        placed.sortWithinPartitions("shelf", "_file", "cluster_id", "ref_id")
-        .select(*POSTING_SCHEMA.names)
-        .write.mode("overwrite")
-        .partitionBy("shelf")
-        .parquet(f"{path}/{build}/postings")
+        dealt.repartition(buckets, *keys)
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(member)).alias("members"))
+        .withColumn("shelf", F.expr(f"cluster_id div {per_shelf}").cast("int"))
+        .write.partitionBy("shelf")
+        .bucketBy(buckets, *keys)
+        .option("path", f"{path}/{build}/blocks")
+        .saveAsTable(_table_name(build))
     )
-    header = [(FORMAT, VERSION, rows, index.dim, clusters, index.scale, per_shelf, build)]
-    spark.createDataFrame(header, HEADER_SCHEMA).coalesce(1).write.mode("overwrite").json(
-        f"{path}/header"
-    )
-    for old in replaced:
+    generation = max((old["generation"] or 0 for old in earlier), default=0) + 1
+    header = [
+        (FORMAT, VERSION, rows, index.dim, clusters, index.scale, per_shelf, buckets, generation, build)
+    ]
+    spark.createDataFrame(header, HEADER_SCHEMA).coalesce(1).write.mode("append").json(f"{path}/header")
+    for old in earlier[1:]:
         if old["format"] == FORMAT and old["build"]:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(old['build'])}")
             delete_folder(spark, f"{path}/{old['build']}")
 
 
+def buckets_for(rows: int, cores: int) -> int:
+    """Buckets of BUCKET_ROWS, but one a core in a small index and no more than MAX_BUCKETS."""
+    return min(MAX_BUCKETS, max(1, cores, -(-rows // BUCKET_ROWS)))
+
+
+def _table_name(build: str) -> str:
+    return "quintavote_" + build.replace("-", "_")
+
+
 def _headers(spark: SparkSession, path: str) -> list:
-    """The header rows under ``path``; none where nothing was written."""
+    """The header rows under ``path``, newest first; none where nothing was written."""
     try:
-        return spark.read.schema(HEADER_SCHEMA).json(f"{path}/header").take(2)
+        rows = spark.read.schema(HEADER_SCHEMA).json(f"{path}/header")
+        return rows.orderBy(F.desc_nulls_last("generation"), F.desc("build")).collect()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -120,23 +130,49 @@ def _headers(spark: SparkSession, path: str) -> list:
 
 def read_header(spark: SparkSession, path: str):
     rows = _headers(spark, path)
-    if len(rows) != 1 or rows[0]["format"] != FORMAT:
+    if not rows or rows[0]["format"] != FORMAT:
         raise IndexFormatError(f"no {FORMAT} header under {path}")
     return rows[0]
 
 
+def _open_blocks(spark: SparkSession, path: str, header) -> DataFrame:
+    """The blocks as a bucketed table, declared in this session's catalog if it is not there.
+
+    The table is external: its name is that of its build, and dropping it deletes no data.
+    """
+    name, location = _table_name(header["build"]), f"{path}/{header['build']}/blocks"
+    if not spark.catalog.tableExists(name):
+        quoted = location.replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({BLOCK_SCHEMA}) USING parquet PARTITIONED BY (shelf)"
+            f" CLUSTERED BY (cluster_id, block) INTO {header['buckets']} BUCKETS LOCATION '{quoted}'"
+        )
+        spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
 def read_index(spark: SparkSession, path: str, dim: int = DIM) -> IvfIndex:
-    """Open an index, refusing another format, version, width or scale."""
+    """Open the newest build, refusing another format, version, width or scale.
+
+    It stays readable while one more build is written.
+    """
     header = read_header(spark, path)
     for name, wanted in (("version", VERSION), ("dim", dim), ("scale", SCALE)):
         if header[name] != wanted:
             raise IndexFormatError(f"{name} mismatch: got {header[name]}, want {wanted}")
     if not 1 <= header["k"] <= MAX_CLUSTERS:
         raise IndexFormatError(f"cluster count {header['k']} out of range")
+    build = f"{path}/{header['build']}"
+    blocks = _open_blocks(spark, path, header)
     return IvfIndex(
-        spark.read.schema(CENTROID_SCHEMA).parquet(f"{path}/{header['build']}/centroids"),
-        spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/{header['build']}/postings"),
+        spark.read.schema(CENTROID_SCHEMA).parquet(f"{build}/centroids"),
+        blocks.select("cluster_id", "shelf", F.inline("members")),
         header["dim"],
         header["scale"],
-        header["shelf_clusters"],
+        StoredBlocks(
+            blocks,
+            spark.read.schema(LAYOUT_SCHEMA).parquet(f"{build}/layout"),
+            header["buckets"],
+            header["shelf_clusters"],
+        ),
     )

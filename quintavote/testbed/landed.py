@@ -16,7 +16,8 @@ from quintavote.config import ProbeParams
 from quintavote.operators.clustering import lloyd_step, sampled_seeds
 from quintavote.operators.knn import knn_exact
 from quintavote.plans.ivf import IvfIndex, adaptive_votes, assign_postings, fast_votes
-from quintavote.staging import materialize
+from quintavote.sources.index_store import read_index, write_index
+from quintavote.staging import fresh_path, materialize
 from quintavote.testbed import transactions as tx
 
 # Settings of the registered index: seeds by hash order and one mean step, so
@@ -105,9 +106,13 @@ def index(spark: SparkSession, sf_dir: str) -> IvfIndex:
         "events",
         lambda: assign_postings(references(spark, sf_dir), center),
     )
-    # One opened index per landed table, as it keeps the centroid matrix.
+    # One stored and opened index per landed table, as it keeps the centroid matrix.
     location = min(postings.inputFiles())
-    return _indexes.setdefault(location, IvfIndex(center, postings))
+    if location not in _indexes:
+        path = fresh_path(spark, "index")
+        write_index(IvfIndex(center, postings), path)
+        _indexes[location] = read_index(spark, path)
+    return _indexes[location]
 
 
 def fast(spark: SparkSession, sf_dir: str) -> DataFrame:

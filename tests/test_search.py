@@ -7,11 +7,13 @@ from quintavote.config import BuildParams, ProbeParams
 from quintavote.operators.clustering import CentroidTable, nearest_centroid, sampled_seeds
 from quintavote.operators.knn import knn_exact
 from quintavote.operators.probing import probe_rows, with_probes
-from quintavote.operators.scan import broadcast_scan, scan_probes, shuffled_scan
+from quintavote.operators import scan
+from quintavote.operators.scan import scan_probes, shuffled_scan, stored_scan
 from quintavote.operators.topk import borderline, decide, fraud_vote, topk_merge, topk_neighbors
 from quintavote.operators.vectorize import with_query_codes, with_reference_codes
 from quintavote.plans import ivf
-from quintavote.staging import materialize
+from quintavote.sources import index_store
+from quintavote.staging import fresh_path, materialize
 
 QUERY_SCHEMA = "query_id bigint, vector array<double>"
 REF_SCHEMA = "ref_id bigint, vector array<double>, fraud int"
@@ -109,29 +111,90 @@ def test_blocks_stay_within_their_size(hot, hot_index):
     assert most <= 5
 
 
-def test_broadcast_and_shuffled_scans_agree(hot, hot_index):
-    queries, _, _ = hot
-    table = CentroidTable.load(hot_index.centroids)
+@pytest.fixture(scope="module")
+def stored_index(spark, hot_index):
+    """The same index in small blocks, a hot cluster in several, over three shelves."""
+    path = fresh_path(spark, "index")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(index_store, "BLOCK_ROWS", 50)
+        patch.setattr(index_store, "SHELF_ROWS", 140)
+        index_store.write_index(hot_index, path)
+    index = index_store.read_index(spark, path)
+    assert index.stored.layout.agg(F.max("blocks")).first()[0] > 2
+    assert index.stored.blocks.select("shelf").distinct().count() >= 2
+    return index
+
+
+def test_stored_and_shuffled_scans_agree(hot, hot_index, stored_index):
+    queries, _, wanted = hot
+    table = hot_index.table
     probes = materialize(probe_rows(with_probes(queries, table, 3), 1, 3), "probes")
-    streamed = broadcast_scan(probes, hot_index.postings)
-    shuffled = shuffled_scan(probes, hot_index.postings)
-    assert collected(topk_neighbors(streamed)) == collected(topk_neighbors(shuffled))
+    shuffled = collected(topk_neighbors(shuffled_scan(probes, hot_index.postings)))
+    assert collected(topk_neighbors(stored_scan(probes, stored_index.stored))) == shuffled
+    # Small query blocks; then clusters asked for by many of them, whose postings are copied.
+    few = stored_scan(probes, stored_index.stored, query_block=4)
+    assert collected(topk_neighbors(few)) == shuffled
+    many = stored_scan(probes, stored_index.stored, query_block=4, held_blocks=2)
+    assert collected(topk_neighbors(many)) == shuffled
+    small = scan_probes(probes, stored_index.postings, small_queries=True, stored=stored_index.stored)
+    assert collected(topk_neighbors(small)) == shuffled
+
+
+def test_stored_postings_are_not_moved(hot, stored_index):
+    """Postings are read from their buckets, from the probed shelves alone; probes move."""
+    queries, _, _ = hot
+    one = queries.filter("query_id = 0")
+    probes = materialize(probe_rows(with_probes(one, stored_index.table, 1), 1, 1), "probes")
+    found = stored_scan(probes, stored_index.stored)
+    found.collect()
+    plan = physical(found).split("Initial Plan")[0]
+    read = next(part for part in plan.split("\n") if "FileScan" in part and "members" in part)
+    assert "Bucketed: true" in read and "PartitionFilters: [isnotnull(shelf" in read
+    left, right = plan.split("SortMergeJoin")[1].split("FileScan", 1)[0], plan[: plan.index(read)]
+    assert "Exchange hashpartitioning(cluster_id" in left  # the probes
+    assert "Exchange" not in right[right.rindex("Sort [cluster_id"):]  # up from the scan to the join
+
+
+def test_hot_posts_return_k_rows_a_block(hot, stored_index):
+    queries, _, _ = hot
+    probes = materialize(probe_rows(with_probes(queries, stored_index.table, 1), 1, 1), "probes")
+    most = stored_scan(probes, stored_index.stored).groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert most <= 5 * stored_index.stored.layout.agg(F.max("blocks")).first()[0]
 
 
-def test_broadcast_scan_declines_beyond_its_limit(hot, hot_index):
+def test_one_pass_gives_both_votes(hot, stored_index, monkeypatch):
     queries, _, _ = hot
-    table = CentroidTable.load(hot_index.centroids)
-    probes = materialize(probe_rows(with_probes(queries, table, 3), 1, 3), "probes")
-    assert broadcast_scan(probes, hot_index.postings, limit=100) is None
-    assert broadcast_scan(probes, hot_index.postings, limit=180) is not None
+    for params in (ProbeParams(2, 6), ProbeParams(1, 12), ProbeParams(4, 4)):
+        wanted = {tuple(r) for r in ivf.adaptive_votes(queries, stored_index, params).collect()}
+        found = ivf.one_pass_votes(queries, stored_index, params)
+        assert {tuple(r) for r in found.collect()} == wanted
+        # Cut after every batch, so that bounds drop candidates.
+        monkeypatch.setattr(scan, "HELD_CANDIDATES", 0)
+        again = ivf.adaptive_votes(queries, stored_index, params, small_queries=True)
+        assert {tuple(r) for r in again.collect()} == wanted
+
+
+def test_too_many_queries_for_memory_take_the_other_plan(hot, stored_index, monkeypatch):
+    queries, _, _ = hot
+    params = ProbeParams(2, 6)
+    wanted = {tuple(r) for r in ivf.adaptive_votes(queries, stored_index, params).collect()}
+    monkeypatch.setattr(scan, "MEMORY_BYTES", 59 * (8 + 2 * 14 + 4 * 6))
+    assert ivf.one_pass_votes(queries, stored_index, params) is None
+    found = ivf.adaptive_votes(queries, stored_index, params, small_queries=True)
+    assert {tuple(r) for r in found.collect()} == wanted
+    monkeypatch.setattr(scan, "MEMORY_BYTES", 60 * (8 + 2 * 14 + 4 * 6))
+    assert ivf.one_pass_votes(queries, stored_index, params) is not None
 
 
-def test_scan_of_nothing(hot, hot_index):
+def test_scan_of_nothing(hot, hot_index, stored_index):
     queries, _, _ = hot
     table = CentroidTable.load(hot_index.centroids)
     none = probe_rows(with_probes(queries, table, 2), 1, 2).filter("query_id < 0")
     assert scan_probes(none, hot_index.postings).count() == 0
-    assert scan_probes(none, hot_index.postings, small_queries=True).count() == 0
+    stored = stored_index.stored
+    assert scan_probes(none, hot_index.postings, stored=stored).count() == 0
+    assert scan_probes(none, hot_index.postings, small_queries=True, stored=stored).count() == 0
+    assert ivf.one_pass_votes(queries.filter("query_id < 0"), stored_index).count() == 0
 
 
 def test_all_clusters_probed_equals_exact(hot, hot_index):
@@ -149,8 +212,8 @@ def test_equal_probe_counts_never_expand(hot, hot_index):
     assert {r["query_id"]: r["votes"] for r in votes.collect()} == fast
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_adaptive_search_step_by_step(hot, hot_index, small):
+@pytest.mark.parametrize("stored, small", [(False, False), (True, False), (True, True)])
+def test_adaptive_search_step_by_step(hot, hot_index, stored_index, stored, small):
     queries, _, _ = hot
     params = ProbeParams(2, 6)
     table = CentroidTable.load(hot_index.centroids)
@@ -171,7 +234,8 @@ def test_adaptive_search_step_by_step(hot, hot_index, small):
     for query in queries.collect():
         fast = vote(query, 2)
         wanted[query["query_id"]] = (vote(query, 6) if fast in (2, 3) else fast, fast, fast in (2, 3))
-    found = ivf.adaptive_votes(queries, hot_index, params, small_queries=small).collect()
+    index = stored_index if stored else hot_index
+    found = ivf.adaptive_votes(queries, index, params, small_queries=small).collect()
     assert {r["query_id"]: (r["votes"], r["fast_votes"], r["expanded"]) for r in found} == wanted
 
 

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quintavote.config import Normalization
-from quintavote.operators import scan
 from quintavote.operators.clustering import sampled_seeds
 from quintavote.plans.ivf import IvfIndex, assign_postings
 from quintavote.sources import decisions, evaluation_set, index_store, tables
@@ -122,27 +121,56 @@ def test_index_round_trip(spark, index):
     assert (header["n"], header["k"], header["dim"], header["scale"]) == (80, 5, 14, 10_000)
 
 
-def test_few_clusters_read_few_files(spark, index, monkeypatch):
-    monkeypatch.setattr(index_store, "SHELF_ROWS", 16)
-    monkeypatch.setattr(index_store, "MIN_FILE_ROWS", 4)
+def test_blocks_and_buckets(spark, index, monkeypatch):
+    """Blocks keep to their size, a cluster of several lies in several buckets."""
+    monkeypatch.setattr(index_store, "BLOCK_ROWS", 4)
     path = fresh_path(spark, "index")
     index_store.write_index(index, path)
     read = index_store.read_index(spark, path)
-    assert read.shelf_clusters == 1
-    files = read.postings.inputFiles()
-    assert len(files) > 5  # a shelf is cut by rows as well
-    probes = spark.createDataFrame(
-        [(1, [0] * 14, 1, 2)], "query_id long, codes array<smallint>, probe_rank int, cluster_id int"
-    )
-    found = scan.scan_probes(probes, read.postings, small_queries=True, shelf_clusters=1)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(shelf" in plan and "Exchange" not in plan
-    assert found.count() >= 1
+    blocks = read.stored.blocks.selectExpr("cluster_id", "block", "size(members) AS n", "members.ref_id AS ids").collect()
+    assert sum(b["n"] for b in blocks) == 80 and max(b["n"] for b in blocks) < 16
+    assert all(b["ids"] == sorted(b["ids"]) for b in blocks)
+    counted = {r["cluster_id"]: r["blocks"] for r in read.stored.layout.collect()}
+    members = {r["cluster_id"]: r["count"] for r in index.postings.groupBy("cluster_id").count().collect()}
+    assert counted == {c: -(-n // 4) for c, n in members.items()}
+    assert {(b["cluster_id"], b["block"]) for b in blocks} <= {(c, i) for c, n in counted.items() for i in range(n)}
+
+
+def test_index_opens_in_a_catalog_that_does_not_know_it(spark, index):
+    path = fresh_path(spark, "it's an index")
+    index_store.write_index(index, path)
+    name = index_store._table_name(index_store.read_header(spark, path)["build"])
+    spark.sql(f"DROP TABLE {name}")
+    read = index_store.read_index(spark, path)
+    assert read.postings.count() == 80 and read.stored.blocks.count() >= 5
+
+
+def test_a_reader_outlives_one_rewrite(spark, index):
+    path = fresh_path(spark, "index")
+    index_store.write_index(index, path)
+    opened = index_store.read_index(spark, path)
+    moved = IvfIndex(index.centroids.withColumn("norm_sq", F.col("norm_sq") + 1), index.postings)
+    index_store.write_index(moved, path)
+    assert opened.postings.count() == 80
+    assert opened.centroids.exceptAll(index.centroids).count() == 0
+    newer = index_store.read_index(spark, path)
+    assert newer.centroids.exceptAll(moved.centroids).count() == 0
+    index_store.write_index(moved, path)
+    builds = [h["build"] for h in index_store._headers(spark, path)]
+    root = path.removeprefix("file://")
+    from pathlib import Path
+
+    assert [(Path(root) / b).exists() for b in builds] == [True, True, False]
+
+
+@pytest.mark.parametrize("rows, cores, buckets", [(0, 8, 8), (5_000_000, 2, 5), (10**12, 8, 4_096)])
+def test_bucket_numbers(rows, cores, buckets):
+    assert index_store.buckets_for(rows, cores) == buckets
 
 
 @pytest.mark.parametrize(
     "rows, clusters, shelf",
-    [(100, 5, 5), (0, 5, 5), (3_000_000, 4_096, 1_365), (10**12, 65_535, 1)],
+    [(100, 5, 5), (0, 5, 5), (192_000_000, 4_096, 1_365), (10**13, 65_535, 1)],
 )
 def test_shelf_sizes(rows, clusters, shelf):
     assert index_store.clusters_per_shelf(rows, clusters) == shelf
@@ -154,7 +182,7 @@ def test_index_mismatch_is_refused(spark, index):
     with pytest.raises(index_store.IndexFormatError, match="dim"):
         index_store.read_index(spark, path, dim=64)
     other = fresh_path(spark, "index")
-    spark.createDataFrame([("other", 1, 1, 14, 1, 10_000, 1, "b")], index_store.HEADER_SCHEMA).write.json(
+    spark.createDataFrame([("other", 1, 1, 14, 1, 10_000, 1, 1, 1, "b")], index_store.HEADER_SCHEMA).write.json(
         f"{other}/header"
     )
     with pytest.raises(index_store.IndexFormatError, match="header"):
@@ -171,7 +199,7 @@ def test_broken_build_leaves_the_index_that_was_there(spark, index):
     read = index_store.read_index(spark, path)
     assert read.centroids.exceptAll(index.centroids).count() == 0
     assert read.postings.count() == 80
-    index_store.write_index(IvfIndex(moved, read.postings.drop("shelf")), path)
+    index_store.write_index(IvfIndex(moved, read.postings), path)
     read = index_store.read_index(spark, path)
     assert read.centroids.exceptAll(moved).count() == 0 and read.postings.count() == 80
 
