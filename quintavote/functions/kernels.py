@@ -143,6 +143,26 @@ def reachable_centroids(
     return counts, np.concatenate(cells) if cells else np.empty(0, dtype=np.int64)
 
 
+def out_of_box(
+    codes: np.ndarray,
+    rows: np.ndarray,
+    least: np.ndarray,
+    largest: np.ndarray,
+    cells: np.ndarray,
+    bounds: np.ndarray,
+) -> np.ndarray:
+    """For pairs of a query (``rows``) and a cell (``cells``): whether the cell's box is beyond the bound.
+
+    Codes and boxes are whole numbers, so the sums are exact below 2**53.
+    """
+    gone = np.zeros(len(rows), dtype=bool)
+    for tile in _tiles(len(rows), codes.shape[1]):
+        point = codes[rows[tile]]
+        gap = np.maximum(least[cells[tile]] - point, point - largest[cells[tile]])
+        gone[tile] = squared_norms(np.maximum(gap, 0.0)) > bounds[rows[tile]]
+    return gone
+
+
 def nearest_in_block(
     query_ids: np.ndarray,
     queries: np.ndarray,

@@ -239,13 +239,25 @@ def stored_scan(
             .drop("_copy")
         )
 
+    names = [c for c in columns if c != "cluster_id"]
+    return scan_pairs(pairs, names, dim, k, skip_self)
+
+
+def scan_pairs(
+    pairs: DataFrame, names: list[str], dim: int, k: int, skip_self: bool
+) -> DataFrame:
+    """Candidates of pairs of blocks: cluster_id, asked (a list of probes, fields ``names``), members.
+
+    One pair is in memory at a time.
+    """
+    ship_package(pairs.sparkSession)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 postings, codes = _members(one["members"], dim)
                 rows = one["asked"].flatten()
-                names = [c for c in columns if c != "cluster_id"]
                 queries = pa.table([rows.field(c) for c in names], names=names)
                 cluster = pa.array(np.full(len(rows), one["cluster_id"][0].as_py(), dtype=np.int32))
                 queries = queries.append_column("cluster_id", cluster)
@@ -255,6 +267,20 @@ def stored_scan(
     return pairs.select("cluster_id", "asked", "members").mapInArrow(scan, CANDIDATE_SCHEMA)
 
 
+def in_blocks(postings: DataFrame, layout: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Postings as one row a block: cluster_id, block, members.
+
+    ``layout`` holds the number of blocks of each cluster (at most MAX_CLUSTERS rows).
+    """
+    keys = ["cluster_id", "block"]
+    dealt = postings.join(F.broadcast(layout), "cluster_id").withColumn(
+        "block", F.pmod(F.xxhash64("ref_id"), F.col("blocks")).cast("int")
+    )
+    placed = dealt.repartition(partitions, *keys) if partitions else dealt.repartition(*keys)
+    member = F.struct("ref_id", F.col("codes").cast("array<smallint>").alias("codes"), "fraud")
+    return placed.groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("members"))
+
+
 def fits_in_memory(
     asked: DataFrame, dim: int, probes: int, limit: int | None = None
 ) -> pa.Table | None:

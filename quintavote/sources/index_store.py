@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from quintavote.config import DIM, MAX_CLUSTERS, SCALE
 from quintavote.operators.clustering import CENTROID_SCHEMA, cluster_profile
-from quintavote.operators.scan import StoredBlocks
+from quintavote.operators.scan import StoredBlocks, in_blocks
 from quintavote.plans.ivf import IvfIndex
 from quintavote.staging import delete_folder
 
@@ -82,18 +82,11 @@ def write_index(index: IvfIndex, path: str) -> None:
     layout = spark.createDataFrame(sizes.select(["cluster_id", "blocks"]), LAYOUT_SCHEMA).where("blocks > 0")
     layout.coalesce(1).write.parquet(f"{path}/{build}/layout")
 
-    keys = ["cluster_id", "block"]
-    dealt = index.postings.join(F.broadcast(layout), "cluster_id").withColumn(
-        "block", F.pmod(F.xxhash64("ref_id"), F.col("blocks")).cast("int")
-    )
-    member = F.struct("ref_id", F.col("codes").cast("array<smallint>").alias("codes"), "fraud")
     (
-        dealt.repartition(buckets, *keys)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(member)).alias("members"))
+        in_blocks(index.postings, layout, buckets)
         .withColumn("shelf", F.expr(f"cluster_id div {per_shelf}").cast("int"))
         .write.partitionBy("shelf")
-        .bucketBy(buckets, *keys)
+        .bucketBy(buckets, "cluster_id", "block")
         .option("path", f"{path}/{build}/blocks")
         .saveAsTable(_table_name(build))
     )

@@ -7,7 +7,7 @@ from quintavote.config import BuildParams, ProbeParams
 from quintavote.operators.clustering import CentroidTable, nearest_centroid, sampled_seeds
 from quintavote.operators.knn import knn_exact
 from quintavote.operators.probing import probe_rows, with_probes
-from quintavote.operators import scan
+from quintavote.operators import knn, scan
 from quintavote.operators.scan import scan_probes, shuffled_scan, stored_scan
 from quintavote.operators.topk import borderline, decide, fraud_vote, topk_merge, topk_neighbors
 from quintavote.operators.vectorize import with_query_codes, with_reference_codes
@@ -72,6 +72,32 @@ def test_exact_search_does_not_depend_on_cells(hot, cells):
     assert collected(knn_exact(queries, refs, cells=cells)) == wanted
 
 
+def test_exact_search_in_small_blocks(hot, monkeypatch):
+    """Cells of many blocks, among them one with a third of all references."""
+    queries, refs, wanted = hot
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 9)
+    assert collected(knn_exact(queries, refs, cells=5)) == wanted
+
+
+def test_rows_of_the_exact_search_follow_batches(hot):
+    """Queries reach cells in packs, and less than all cells are reached."""
+    queries, refs, _ = hot
+    table = CentroidTable.load(sampled_seeds(refs, "ref_id", 40, 1))
+    postings = materialize(nearest_centroid(refs, table), "postings")
+    bounds = knn.cell_bounds(postings, table)
+    near = with_probes(queries, table, 2).withColumn("bound", F.lit(400 * 400).cast("long"))
+    packs = knn._reached(near.coalesce(1), bounds, 14).collect()
+    reached = {(r["query_id"], p["cluster_id"]) for p in packs for r in p["asked"]}
+    assert len(packs) <= 40 < len(reached) < 60 * 38
+    # Every member within the bound lies in a cell that was probed or is reached.
+    probed = {(r["query_id"], c) for r in near.collect() for c in r["probes"]}
+    members = postings.select("cluster_id", "codes").collect()
+    for q in queries.collect():
+        for m in members:
+            if sum((a - b) ** 2 for a, b in zip(q["codes"], m["codes"])) <= 400 * 400:
+                assert (q["query_id"], m["cluster_id"]) in probed | reached
+
+
 def test_exact_search_skipping_itself(spark):
     _, refs, _ = make(spark, refs=150, seed=4)
     queries = refs.select(F.col("ref_id").alias("query_id"), "vector", "codes")
@@ -301,7 +327,7 @@ def test_plans_limit_before_the_exchange_and_never_cross(hot, hot_index):
     exact = physical(knn_exact(queries, refs, cells=8))
     for plan in (fast, adaptive, exact):
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
-        assert "FlatMapCoGroupsInArrow" in plan
+        assert ("MapInArrow" if plan is exact else "FlatMapCoGroupsInArrow") in plan
         assert plan.count("WindowGroupLimit") >= 2  # partial and final
 
 
