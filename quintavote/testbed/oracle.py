@@ -317,7 +317,9 @@ _SHARED.add("self_visits")
 def statements() -> dict[str, str]:
     codes = _list("CAST(q{i} AS INTEGER) AS q{i}")
     sql = {
-        "ref_scan": _with(f"SELECT fraud, {codes} FROM r", "r"),
+        "ref_scan": _with(
+            f"SELECT row_number() OVER (ORDER BY k) - 1 AS ref_id, fraud, {codes} FROM r", "r"
+        ),
         "norm_params": _with(
             f"""SELECT k AS query_id, {_clamp("amount / 5000e0")} AS d0,
             {_clamp("installments / 6e0")} AS d1, {_clamp("km_from_home / 400e0")} AS d7 FROM t""",
@@ -329,7 +331,8 @@ def statements() -> dict[str, str]:
             "t",
         ),
         "txn_scan": _with(
-            f"""SELECT amount, requested_at, merchant_id, CAST(len(known) AS INTEGER) AS known_count,
+            f"""SELECT row_number() OVER (ORDER BY k) - 1 AS query_id, amount, requested_at,
+            merchant_id, CAST(len(known) AS INTEGER) AS known_count,
             {_LAST_STAMP} AS last_timestamp FROM t""",
             "t",
         ),
@@ -351,7 +354,9 @@ def statements() -> dict[str, str]:
             "centroids",
         ),
         "eval_scan": _with(
-            "SELECT amount, requested_at, fraud = 0 AS expected_approved FROM t", "t"
+            """SELECT row_number() OVER (ORDER BY k) - 1 AS query_id, amount, requested_at,
+            fraud = 0 AS expected_approved FROM t""",
+            "t",
         ),
         "json_extract": _with(
             f"""SELECT k AS query_id, amount, installments, customer_avg,
@@ -421,9 +426,11 @@ def statements() -> dict[str, str]:
             "emb",
         ),
         "dist_int": _with(
-            "SELECT a.k AS query_id, "
-            + _list("(a.q{i} - b.q{i}) * (a.q{i} - b.q{i})", sep=" + ")
-            + " AS dist FROM q a JOIN q b ON b.k = a.k + 1",
+            "SELECT k AS query_id, "
+            + _list("(q{i} - n{i}) * (q{i} - n{i})", sep=" + ")
+            + " AS dist FROM (SELECT *, lead(k) OVER w AS next_k, "
+            + _list("lead(q{i}) OVER w AS n{i}")
+            + " FROM q WINDOW w AS (ORDER BY k)) WHERE next_k = k + 1",
             "q",
         ),
         "dist_f64": _with(

@@ -62,15 +62,29 @@ def _by_id(*choices: Column | None) -> Column:
 # Sources and sinks
 
 
+# Elements of one written document.
+_DOCUMENT_ROWS = 2_000
+
+
+def _write_documents(rows: DataFrame, path: str, head: str, tail: str) -> None:
+    """Rows (id, value) as files of one document each, in the order of ids."""
+    number = F.lpad((F.col("id") / _DOCUMENT_ROWS).cast("long").cast("string"), 12, "0")
+    placed = F.sort_array(F.collect_list(F.struct("id", "value")))
+    documents = rows.groupBy(number.alias("document")).agg(placed.alias("held"))
+    text = F.concat(F.lit(head), F.array_join("held.value", ",\n "), F.lit(tail))
+    documents.select(text.alias("value"), "document").write.partitionBy("document").text(path)
+
+
 @query
 def ref_scan(spark, sf_dir):
+    """Arrays of references, read in splits; ids are positions."""
     path = fresh_path(spark, "references")
     label = F.when(F.col("fraud") == 1, "fraud").otherwise("legit")
-    landed.references(spark, sf_dir).select("vector", label.alias("label")).write.option(
-        "compression", "gzip"
-    ).json(path)
-    read = tables.read_references(spark, path, json_lines=True)
-    return _codes(vec.with_reference_codes(read), "fraud")
+    rows = landed.references(spark, sf_dir).select(
+        F.col("ref_id").alias("id"), F.to_json(F.struct("vector", label.alias("label"))).alias("value")
+    )
+    _write_documents(rows, path, "[", "]")
+    return _codes(vec.with_reference_codes(tables.read_references(spark, path)), "ref_id", "fraud")
 
 
 @query
@@ -106,9 +120,11 @@ def mcc_table(spark, sf_dir):
 @query
 def txn_scan(spark, sf_dir):
     path = fresh_path(spark, "transactions")
-    _payloads(spark, sf_dir).select("payload").write.text(path)
+    # Sorted, so that positions follow ids.
+    _payloads(spark, sf_dir).orderBy("query_id").select("payload").write.text(path)
     read = tables.read_transactions(spark, path).transform(payload.json_extract)
     return read.select(
+        "query_id",
         F.col("amount").cast("double").alias("amount"),
         "requested_at",
         "merchant_id",
@@ -174,28 +190,24 @@ def index_read(spark, sf_dir):
 
 @query
 def eval_scan(spark, sf_dir):
+    """Entries of documents, which also hold statistics, read in splits."""
     path = fresh_path(spark, "entries")
-    rows = _payloads(spark, sf_dir).select(
-        F.col("payload").alias("request"), (F.col("fraud") == 0).alias("expected_approved")
-    )
     # ``request`` is a document inside the entry, not a string of one.
     nested = F.concat(
         F.lit('{"request":'),
-        "request",
+        "payload",
         F.lit(',"expected_approved":'),
-        F.col("expected_approved").cast("string"),
+        (F.col("fraud") == 0).cast("string"),
         F.lit("}"),
     )
-    rows.select(nested.alias("value")).write.text(path)
-    entries = evaluation_set.read_evaluation_entries(spark, path, json_lines=True)
+    rows = _payloads(spark, sf_dir).select(F.col("query_id").alias("id"), nested.alias("value"))
+    _write_documents(rows, path, '{"stats": {"total": 2000}, "entries": [', "]}")
+    entries = evaluation_set.read_evaluation_entries(spark, path)
     return entries.transform(payload.json_extract).select(
-        F.col("amount").cast("double").alias("amount"), "requested_at", "expected_approved"
+        "query_id", F.col("amount").cast("double").alias("amount"), "requested_at", "expected_approved"
     )
 
 
-# Extraction and filters
-
-
 @query
 def json_extract(spark, sf_dir):
     rows = _payloads(spark, sf_dir).drop("fraud").transform(payload.json_extract)
