@@ -5,8 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,22 +212,49 @@ def lloyd_step(sample: DataFrame, centroids: DataFrame, dim: int = DIM) -> DataF
     return centroid_update(nearest_centroid(sample.select("vector"), table), centroids, dim)
 
 
-def kmeans_seed(sample: DataFrame, k: int, seed: int, dim: int = DIM) -> DataFrame:
-    """Initial centroids by MLlib's distributed k-means|| seeding.
+def _race(seed: int, turn: int, key: str) -> Column:
+    """An exponential variable per row, fixed by a hash, at the rate of ``centroid_dist``.
 
-    There may be fewer than ``k`` when there are fewer distinct points, so
-    cluster ids come from the result.
+    The rows that come in first are a sample without replacement in proportion to their
+    squared distances; of equal vectors the first counts, as their rates add up.
     """
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}-{turn}-"), F.col(key).cast("string"))), 1, 12)
+    even = (F.conv(digits, 16, 10).cast("long") + 1) / F.lit(float(1 << 48))
+    return -F.ln(even) / F.col("centroid_dist")
+
+
+def kmeans_seed(sample: DataFrame, k: int, seed: int, dim: int = DIM, key: str = "ref_id") -> DataFrame:
+    """Initial centroids by rounds of distance-weighted sampling.
+
+    The first is the row of least hash.  Each round then adds as many rows as there are
+    centroids (up to ``k``), drawn in proportion to their squared distance from the nearest
+    one, so ``k`` takes log2(k) rounds.  Every draw is a hash of seed, round and key: the same
+    rows give the same centroids in whatever order and on whatever retry.
+
+    There are fewer than ``k`` where there are fewer distinct points.
+    """
+    rows = sample.select(key, "vector")
     # The sample is a few megabytes and the work per row is large: spread it.
-    parallelism = sample.sparkSession.sparkContext.defaultParallelism
-    points = sample.select(array_to_vector("vector").alias("features")).repartition(parallelism)
-    model = KMeans(k=k, maxIter=0, seed=seed, initMode="k-means||").fit(points)
-    rows = [
-        (cluster, [float(x) for x in center])
-        for cluster, center in enumerate(model.clusterCenters())
-    ]
-    centers = sample.sparkSession.createDataFrame(rows, "cluster_id int, centroid array<double>")
-    return centers.withColumn("norm_sq", norm_sq("centroid", dim))
+    points = materialize(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism), "points")
+    first = points.orderBy(sample_hash(seed, F.col(key)), key).limit(1)
+    # At most k rows, and k is bounded by MAX_CLUSTERS.
+    chosen = [r["vector"] for r in first.collect()]
+
+    def table() -> DataFrame:
+        held = list(enumerate([float(x) for x in v] for v in chosen))
+        centers = rows.sparkSession.createDataFrame(held, "cluster_id int, centroid array<double>")
+        return centers.withColumn("norm_sq", norm_sq("centroid", dim))
+
+    turn = 0
+    while chosen and len(chosen) < k:
+        turn += 1
+        near = nearest_centroid(points, CentroidTable.load(table(), dim)).where("centroid_dist > 0")
+        drawn = near.groupBy("vector").agg(F.min(F.struct(_race(seed, turn, key).alias("race"), key)).alias("first"))
+        added = drawn.orderBy("first").limit(min(len(chosen), k - len(chosen))).collect()
+        if not added:
+            break
+        chosen += [r["vector"] for r in added]
+    return table()
 
 
 def lloyd_fit(
@@ -259,6 +284,8 @@ def kmeans_fit(
     seed: int,
     early_stop: float = 0.001,
     dim: int = DIM,
+    seeds: DataFrame | None = None,
 ) -> DataFrame:
-    """Seeding followed by Lloyd rounds."""
-    return lloyd_fit(sample, kmeans_seed(sample, k, seed, dim), max_iter, early_stop, dim)
+    """Seeding (or the given ``seeds``) followed by Lloyd rounds."""
+    seeds = kmeans_seed(sample, k, seed, dim) if seeds is None else seeds
+    return lloyd_fit(sample, seeds, max_iter, early_stop, dim)

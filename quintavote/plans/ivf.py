@@ -62,19 +62,21 @@ def build_index(
     params: BuildParams = BuildParams(),
     dim: int = DIM,
     collapse_copies: bool = False,
+    seeds: DataFrame | None = None,
 ) -> IvfIndex:
     """Sample, train, assign and quantise ``references`` (ref_id, vector, fraud).
 
     ``collapse_copies`` leaves out references that equal others of lower id in
     their cluster and so can never be chosen; results stay the same, hot vectors
-    stop costing.
+    stop costing.  ``seeds`` replace the seeding.  Sampling, seeding and rounds are fixed by
+    the settings, so a build can be repeated.
     """
     sample = materialize(
         train_sample(references, "ref_id", params.train_rows, params.seed), "train"
     )
     centroids = materialize(
         kmeans_fit(
-            sample, params.clusters, params.max_iter, params.seed, params.early_stop, dim
+            sample, params.clusters, params.max_iter, params.seed, params.early_stop, dim, seeds
         ),
         "centroids",
     )

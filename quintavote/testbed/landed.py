@@ -24,6 +24,8 @@ from quintavote.testbed import transactions as tx
 # that plain SQL can replay the build.
 CLUSTERS = 128
 SEED = 7
+# Clusters of the registered training.
+FITTED = 64
 PROBES = ProbeParams(fast=8, full=28)
 
 _tables: dict[tuple, DataFrame] = {}

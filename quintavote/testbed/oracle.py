@@ -7,8 +7,8 @@ all pairs.
 
 from __future__ import annotations
 
-from quintavote.config import DIM, MCC_RISK
-from quintavote.testbed.landed import CLUSTERS, PROBES, SEED
+from quintavote.config import DIM, MCC_RISK, BuildParams
+from quintavote.testbed.landed import CLUSTERS, FITTED, PROBES, SEED
 from quintavote.testbed.transactions import MCC_CYCLE, MERCHANTS
 
 DIMS = range(DIM)
@@ -243,6 +243,63 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+
+
+def _training() -> tuple[str, str]:
+    """Seeding and Lloyd rounds as parts; returns the names of the last seeds and centroids."""
+    build = BuildParams()
+    _PARTS["sample"] = (
+        ("r",),
+        f"SELECT * FROM r ORDER BY md5('{SEED}-' || k), k LIMIT {build.train_rows}",
+    )
+    center = _list("r{i} AS c{i}")
+    vector = _list("r{i}")
+    _PARTS["s0"] = (
+        ("sample",),
+        f"SELECT 0 AS cluster_id, {center} FROM sample ORDER BY md5('{SEED}-' || k), k LIMIT 1",
+    )
+    gap = _list("(r{i} - c{i}) * (r{i} - c{i})", sep=" + ")
+    turn, held = 0, 1
+    while held < FITTED:
+        turn += 1
+        add = min(held, FITTED - held)
+        even = f"(CAST('0x' || substr(md5('{SEED}-{turn}-' || k), 1, 12) AS BIGINT) + 1) / CAST({1 << 48} AS DOUBLE)"
+        _PARTS[f"s{turn}"] = (
+            ("sample", f"s{turn - 1}"),
+            f"""SELECT cluster_id, {_list("c{i}")} FROM s{turn - 1} UNION ALL
+            SELECT CAST({held} + row_number() OVER (ORDER BY f) - 1 AS INTEGER), {vector} FROM (
+              SELECT {vector}, min({{'race': -ln({even}) / d, 'k': k}}) AS f FROM (
+                SELECT sample.k, min({gap}) AS d FROM sample, s{turn - 1} GROUP BY sample.k
+              ) JOIN sample USING (k) WHERE d > 0 GROUP BY {vector} ORDER BY f LIMIT {add})""",
+        )
+        held += add
+        _SHARED.add(f"s{turn}")
+    _SHARED.update(("sample", "s0"))
+    seeds = f"s{turn}"
+    _PARTS["l0"] = ((seeds,), f"SELECT *, false AS stopped FROM {seeds}")
+    _SHARED.add("l0")
+    moved = _list("(n{i} - c{i}) * (n{i} - c{i})", sep=" + ")
+    for t in range(build.max_iter):
+        mean = _list(
+            "coalesce(CAST(sum(CAST(round(r{i} * 1e8) AS BIGINT)) AS DOUBLE) / (count(k) * 1e8), 0e0) AS n{i}"
+        )
+        _PARTS[f"n{t}"] = (
+            ("sample", f"l{t}"),
+            f"""SELECT l.*, {_list("n{i}")} FROM l{t} l JOIN (
+              SELECT cluster_id, {mean} FROM (SELECT cluster_id FROM l{t}) LEFT JOIN (
+                SELECT k, arg_min(cluster_id, ({gap}, cluster_id)) AS cluster_id, {_list("any_value(r{i}) AS r{i}")}
+                FROM sample, l{t} GROUP BY k) USING (cluster_id) GROUP BY cluster_id) USING (cluster_id)""",
+        )
+        _PARTS[f"l{t + 1}"] = (
+            (f"n{t}",),
+            f"""SELECT cluster_id, {_list("CASE WHEN stopped THEN c{i} ELSE n{i} END AS c{i}")},
+            stopped OR avg(CASE WHEN {moved} > 1e-10 THEN 1e0 ELSE 0e0 END) OVER () < {build.early_stop} AS stopped
+            FROM n{t}""",
+        )
+        _SHARED.update((f"n{t}", f"l{t + 1}"))
+    return seeds, f"l{build.max_iter}"
+
+
 # Parts that several later parts read: computed once per statement.
 _SHARED = {"t", "q", "r", "centroids", "postings", "probes", "visits", "adaptive", "outcomes"}
 
@@ -315,6 +372,8 @@ _SHARED.add("self_visits")
 
 
 def statements() -> dict[str, str]:
+    drawn, fitted = _training()
+    norm = _list("c{i} * c{i}", sep=" + ")
     codes = _list("CAST(q{i} AS INTEGER) AS q{i}")
     sql = {
         "ref_scan": _with(
@@ -564,6 +623,12 @@ def statements() -> dict[str, str]:
             CASE WHEN value > 60 OR event_type = 'error' THEN 1 ELSE 0 END AS fraud
             FROM events ORDER BY md5('{SEED}-' || event_id), event_id LIMIT 500""",
         ).removeprefix("WITH \n"),
+        "kmeans_seed": _with(
+            f"SELECT cluster_id, {_list('c{i}')}, {norm} AS norm_sq FROM {drawn}", drawn
+        ),
+        "kmeans_fit": _with(
+            f"SELECT cluster_id, {_list('c{i}')}, {norm} AS norm_sq FROM {fitted}", fitted
+        ),
         "ivf_build": _with(
             f"SELECT cluster_id, k AS ref_id, fraud, {codes} FROM postings", "postings"
         ),
