@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +14,39 @@ from quintavote.functions.quantize import query_codes, reference_codes
 from quintavote.operators.payload import accepted, json_extract, parse_fields
 
 
-def with_mcc_risk(df: DataFrame, mcc_table: DataFrame) -> DataFrame:
+# Codes up to this number are broadcast: as many as four digits allow.
+MAX_BROADCAST_CODES = 10_000
+
+
+@dataclass(frozen=True)
+class RiskLookup:
+    """Risk by code, known to hold one row a code, and whether it is small."""
+
+    table: DataFrame
+    small: bool
+
+    @classmethod
+    def of(cls, table: DataFrame | RiskLookup) -> RiskLookup:
+        """Check a table (mcc, risk) in one job; a code that stands in it twice is refused.
+
+        It would else double every transaction that carries it.
+        """
+        if isinstance(table, RiskLookup):
+            return table
+        rows, codes = table.agg(F.count("mcc"), F.count_distinct("mcc")).first()
+        if codes < rows:
+            raise ValueError("the risk table holds a code more than once")
+        return cls(table, rows <= MAX_BROADCAST_CODES)
+
+
+def with_mcc_risk(df: DataFrame, mcc_table: DataFrame | RiskLookup) -> DataFrame:
     """Add ``mcc_risk``: the table's value for a listed code, else the default.
 
-    The table holds at most one row per four-digit code (see
-    ``sources.tables.read_mcc_table``), hence the broadcast.
+    The table is broadcast if it is as small as four-digit codes are, else joined by code.
     """
-    risks = mcc_table.select("mcc", F.col("risk").alias("_risk"))
-    joined = df.join(F.broadcast(risks), "mcc", "left")
+    lookup = RiskLookup.of(mcc_table)
+    risks = lookup.table.select("mcc", F.col("risk").alias("_risk")).where("mcc IS NOT NULL")
+    joined = df.join(F.broadcast(risks) if lookup.small else risks.hint("merge"), "mcc", "left")
     return joined.withColumn("mcc_risk", f.mcc_dim(F.col("_risk"))).drop("_risk")
 
 
@@ -48,7 +75,7 @@ def dimensions(norm: Normalization) -> list[Column]:
 
 def vectorize(
     parsed: DataFrame,
-    mcc_table: DataFrame,
+    mcc_table: DataFrame | RiskLookup,
     norm: Normalization = Normalization(),
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -59,7 +86,7 @@ def vectorize(
 
 def vectorize_payloads(
     transactions: DataFrame,
-    mcc_table: DataFrame,
+    mcc_table: DataFrame | RiskLookup,
     norm: Normalization = Normalization(),
     keep: tuple[str, ...] = ("query_id",),
     payload: str = "payload",

@@ -142,3 +142,29 @@ def test_a_run_without_latencies_scores_nothing(spark):
     none = spark.createDataFrame([], "latency_ms double")
     row = evaluate.latency_score(evaluate.latency_p99(none)).first()
     assert row["p99_score"] == 0.0 and row["p99_cut"] is False
+
+
+def percentile_by_force(values, p):
+    return float(np.percentile(np.array(values, dtype=float), 100 * p)) if values else None
+
+
+@pytest.mark.parametrize("few", [1, 3, 4_096])
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.99, 1.0])
+def test_percentile_of_crowded_values(spark, monkeypatch, few, p):
+    """Most values lie in one histogram range, some far off; ranges are narrowed until few are left."""
+    monkeypatch.setattr(evaluate, "_FEW_VALUES", few)
+    monkeypatch.setattr(evaluate, "_BUCKETS", 4)
+    rng = np.random.default_rng(1)
+    values = [*(5 + rng.random(300) * 1e-6), *[5.0000005] * 100, 0.0, 1e12, -3.0, 5.0000005]
+    frame = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    found = evaluate.latency_percentile(frame, "v", p).first()[0]
+    assert found == pytest.approx(percentile_by_force(values, p), rel=1e-15)
+
+
+def test_percentile_plans_order_few_rows(spark, monkeypatch):
+    """No window runs over the values, however many lie together."""
+    monkeypatch.setattr(evaluate, "_FEW_VALUES", 10)
+    rows = spark.range(5_000).selectExpr("CASE WHEN id < 4990 THEN 7 + id / 1e9 ELSE id * 1e6 END AS v")
+    assert "Window" not in evaluate.latency_percentile(rows, "v", 0.99)._jdf.queryExecution().toString()
+    assert evaluate.latency_percentile(rows, "v", 0.5).first()[0] == pytest.approx(7 + 2499.5 / 1e9, rel=1e-15)
+    assert evaluate.latency_percentile(rows.limit(0), "v", 0.5).first()[0] is None

@@ -12,7 +12,8 @@ from quintavote.operators.payload import (
     parse_fields,
     rejected,
 )
-from quintavote.operators.vectorize import vectorize_payloads
+from quintavote.operators import vectorize
+from quintavote.operators.vectorize import vectorize_payloads, with_mcc_risk
 from quintavote.sources.tables import default_mcc_table
 
 GOOD = {
@@ -184,3 +185,24 @@ def test_null_payload_is_rejected(spark):
     df = spark.range(1).select(F.col("id").alias("query_id"), F.lit(None).cast("string").alias("payload"))
     parsed = df.transform(json_extract).transform(parse_fields)
     assert rejected(parsed, "query_id").count() == 1
+
+
+def test_a_repeated_code_is_refused(spark):
+    table = spark.createDataFrame([("5411", 0.1), ("5411", 0.2)], "mcc string, risk double")
+    with pytest.raises(ValueError, match="more than once"):
+        with_mcc_risk(spark.createDataFrame([("5411",)], "mcc string"), table)
+
+
+def test_a_large_risk_table_is_not_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([("5411",), ("9",), (None,)], "mcc string")
+    table = spark.createDataFrame([("5411", 0.1), (None, 0.9), (None, 0.8)], "mcc string, risk double")
+    wanted = [(None, 0.5), ("5411", 0.1), ("9", 0.5)]
+
+    def found(df):
+        return sorted(((r["mcc"], r["mcc_risk"]) for r in df.collect()), key=str), df._jdf.queryExecution().executedPlan().toString()
+
+    near, plan = found(with_mcc_risk(rows, table))
+    assert near == sorted(wanted, key=str) and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(vectorize, "MAX_BROADCAST_CODES", 0)
+    near, plan = found(with_mcc_risk(rows, table))
+    assert near == sorted(wanted, key=str) and "Broadcast" not in plan and "SortMergeJoin" in plan
