@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding by the tiktoken library.
 
 The rank file is a local file that every worker has; its path is a parameter.
-Long texts are cut at safe boundaries and encoded piece by piece, so memory is
-bounded by one piece besides the text itself.  Token ids travel packed as
+Long texts are cut at safe boundaries and encoded piece by piece, so memory besides the
+text itself is bounded by one piece, or by one match of the pattern where that is longer
+(a text of letters without a break is one match).  Long runs of white space are told apart
+beforehand and encoded as the one match that they are.  Token ids travel packed as
 little-endian unsigned 32-bit integers, which is what training jobs store.
 
 Null text counts as empty: no tokens.  Bytes that are not UTF-8 are encoded as
@@ -16,6 +18,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,17 +47,41 @@ def _encoding(rank_file: str, pattern: str):
     )
 
 
+# Fixed value: the pattern whose matches the cuts below are safe for.
+CUT_PATTERN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+# White space of this length is not left to the pattern, which would go back over it.
+LONG_BLANK = 4_096
+
+
 @lru_cache(maxsize=1)
 def _boundary():
     import regex
 
-    # One space between two characters that are not white space: the pattern's
-    # matches end before such a space and one starts with it, whatever surrounds it.
-    return regex.compile(r"(?<=\S) (?=\S)")
+    # One space between two characters that are not white space, or a change between
+    # letters, digits and others: matches end there whatever surrounds it.  An apostrophe
+    # may begin a match with the letters after it.
+    return regex.compile(
+        r"(?<=\S) (?=\S)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])"
+        r"|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])"
+    )
+
+
+@lru_cache(maxsize=4)
+def _long_blank(length: int):
+    import regex
+
+    # White space as the library's patterns know it.
+    blank = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    return regex.compile(f"{blank}{{{length},}}+")
 
 
 def pieces(text: str, chars: int = PIECE_CHARS) -> Iterator[str]:
-    """Parts of ``text`` whose tokens, put together, are the tokens of ``text``."""
+    """Parts of ``text`` whose tokens, put together, are the tokens of ``text``.
+
+    A part is longer than ``chars`` only by the rest of the match that it ends in.
+    """
     start = 0
     while len(text) - start > chars:
         cut = _boundary().search(text, start + chars)
@@ -65,15 +92,42 @@ def pieces(text: str, chars: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_text(text: str | None, rank_file: str, pattern: str, chars: int = PIECE_CHARS) -> bytes:
-    """Packed ids of one text."""
+def segments(text: str, long_blank: int = LONG_BLANK) -> Iterator[tuple[str, bool]]:
+    """Parts of ``text`` and whether each is one match: a long run of white space.
+
+    All of such a run is one match of the pattern but its last character, which goes with
+    what follows; at the end of the text that character belongs to it as well.
+    """
+    start = 0
+    for run in _long_blank(long_blank).finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if start < run.start():
+            yield text[start : run.start()], False
+        if run.start() < end:
+            yield text[run.start() : end], True
+        start = end
+    if start < len(text):
+        yield text[start:], False
+
+
+def encode_text(
+    text: str | None, rank_file: str, pattern: str, chars: int = PIECE_CHARS, long_blank: int = LONG_BLANK
+) -> bytes:
+    """Packed ids of one text; with another pattern than CUT_PATTERN it is encoded uncut."""
     if not text:
         return b""
     encoding = _encoding(rank_file, pattern)
-    return b"".join(
-        encoding.encode_to_numpy(piece, disallowed_special=()).astype("<u4").tobytes()
-        for piece in pieces(text, chars)
-    )
+    if pattern != CUT_PATTERN:
+        return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+    out = []
+    for part, one in segments(text, long_blank):
+        if one:
+            ids = encoding._encode_single_piece(part)
+            out.append(np.array(ids, dtype="<u4").tobytes())
+            continue
+        for piece in pieces(part, chars):
+            out.append(encoding.encode_to_numpy(piece, disallowed_special=()).astype("<u4").tobytes())
+    return b"".join(out)
 
 
 def decode_ids(packed: bytes | None, rank_file: str, pattern: str) -> bytes:
