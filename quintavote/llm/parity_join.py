@@ -20,7 +20,7 @@ that it does not take meet two more.  What this connects is one class from then
 Documents of one key that are in different classes still are compared block by block:
 a task holds the sketches of two bounded blocks and returns only the pairs that pass.
 Documents with the same set are one of them throughout, and the others are tied to it.
-Candidates are dismissed by a second sketch of at least four parity bits a shingle, whose
+Candidates are dismissed by a second sketch of at least two parity bits a shingle, whose
 Hamming distance bounds the symmetric difference from below, and the rest are verified
 on whole texts.
 
@@ -44,7 +44,7 @@ from quintavote.staging import materialize, ship_package
 
 WORDS = 5
 SMALL = 64
-SKETCH_BITS = 4  # a shingle, at least
+SKETCH_BITS = 2  # a shingle, at least
 # Leaders a key has in each round, and documents that a task compares with as many.
 ROUNDS = (1, 2)
 BLOCK = 512
@@ -133,7 +133,8 @@ def block_keys(u: np.ndarray, hot: np.ndarray) -> np.ndarray:
             order = (common.astype(np.uint64) << np.uint64(63)) | (keys >> np.uint64(9))
             order |= (np.uint64(255) - np.minimum(load, 255).astype(np.uint64)) << np.uint64(55)
             keys = keys[np.argpartition(order, need - 1)[:need]]
-        out.append(keys.view(np.int64))
+        # Seven bytes tell keys apart and are what a shuffle of keys mostly moves.
+        out.append((keys >> np.uint64(8)).view(np.int64))
     return np.concatenate(out)
 
 
