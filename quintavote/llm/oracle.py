@@ -105,12 +105,15 @@ def _op6() -> str:
     units = ", ".join(f"'{u}'" for u in c.UNITS)
     pattern = r"\p{N}+(?:[.,:/-]\p{N}+)*|[\p{L}\p{M}]+"
     number = r"regexp_matches({}, '^\p{{N}}')"
-    kinds = (
-        f"list_transform(t, lambda x, i: CASE WHEN {number.format('x')} THEN '<num>'"
-        " WHEN left(x, 1) <> lower(left(x, 1)) THEN '<name>'"
-        f" WHEN x IN ({units}) AND i > 1 AND {number.format('t[i - 1]')} THEN '<unit>'"
-        " ELSE lower(x) END)"
-    )
+    def kinds(named: bool) -> str:
+        name = " WHEN left(x, 1) <> lower(left(x, 1)) THEN '<name>'" if named else ""
+        return (
+            f"list_transform(t, lambda x, i: CASE WHEN {number.format('x')} THEN '<num>'{name}"
+            f" WHEN x IN ({units}) AND i > 1 AND {number.format('t[i - 1]')} THEN '<unit>'"
+            " ELSE lower(x) END)"
+        )
+
+    folded = "list_transform(t, lambda x: replace(replace(lower(x), 'ß', 'ss'), 'ς', 'σ'))"
     return f"""
 WITH src AS (
   SELECT DISTINCT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
@@ -118,37 +121,40 @@ WITH src AS (
   SELECT DISTINCT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
 ), tok AS (
   SELECT side, id, row_number() OVER () AS k, regexp_extract_all(text, '{pattern}') AS t FROM src
-), kinds AS (SELECT side, id, k, t, {kinds} AS c FROM tok),
-b AS (
-  SELECT id, k, t, c, least({c.WINDOW}, len(t)) AS size,
+), forms AS (
+  SELECT side, id, k, false AS folded, t FROM tok UNION ALL SELECT side, id, k, true, {folded} FROM tok
+), kinds AS (
+  SELECT *, CASE WHEN folded THEN {kinds(False)} ELSE {kinds(True)} END AS c FROM forms
+), b AS (
+  SELECT id, k, folded, t, c, least({c.WINDOW}, len(t)) AS size,
          unnest(generate_series(1, len(t) - least({c.WINDOW}, len(t)) + 1)) AS p
   FROM kinds WHERE side = 'b' AND len(t) > 0
 ), bw AS (
-  SELECT id, k, t, c, size, p, c[p:p + size - 1] AS w FROM b
+  SELECT id, k, folded, t, c, size, p, c[p:p + size - 1] AS w FROM b
   WHERE len(list_filter(c[p:p + size - 1], lambda x: x NOT LIKE '<%>')) >= least({c.MIN_WORDS}, size)
 ), dw AS (
-  SELECT id, k, t, a, c[a:a + size - 1] AS w, size
-  FROM (SELECT id, k, t, c, size, unnest(generate_series(1, len(t) - size + 1)) AS a
+  SELECT id, k, folded, t, a, c[a:a + size - 1] AS w, size
+  FROM (SELECT id, k, folded, t, c, size, unnest(generate_series(1, len(t) - size + 1)) AS a
         FROM kinds, (SELECT DISTINCT size FROM bw) WHERE side = 'd' AND len(t) >= size)
 ), hit AS (
-  SELECT dw.id AS doc_id, dw.k AS dk, bw.id AS item_id, bw.k AS bk, bw.size, p, a,
+  SELECT dw.id AS doc_id, dw.k AS dk, bw.id AS item_id, bw.k AS bk, folded, bw.size, p, a,
          bw.t AS mine, bw.c AS c, dw.t AS theirs
-  FROM dw JOIN bw ON dw.w = bw.w
+  FROM dw JOIN bw USING (folded, w)
 ), slots AS (
-  SELECT DISTINCT dk, bk, a - p AS diagonal, mine[p + j] AS mine, theirs[a + j] AS theirs
+  SELECT DISTINCT dk, bk, folded, a - p AS diagonal, mine[p + j] AS mine, theirs[a + j] AS theirs
   FROM (SELECT *, unnest(generate_series(0, size - 1)) AS j FROM hit) WHERE c[p + j] LIKE '<%>'
 ), bad AS (
-  SELECT dk, bk, diagonal, count(DISTINCT mine) < count(*) OR count(DISTINCT theirs) < count(*) AS mixed,
-         bool_or(mine <> theirs) AS other
-  FROM slots GROUP BY dk, bk, diagonal
+  SELECT dk, bk, folded, diagonal, bool_or(mine <> theirs) AS other,
+         count(DISTINCT mine) < count(*) OR count(DISTINCT theirs) < count(*) AS mixed
+  FROM slots GROUP BY dk, bk, folded, diagonal
 ), per AS (
-  SELECT doc_id, item_id, dk, bk, count(DISTINCT p) AS n_hit, bool_or(coalesce(other, false)) AS other
-  FROM hit LEFT JOIN bad USING (dk, bk) WHERE (diagonal IS NULL OR (diagonal = a - p AND NOT mixed))
-  GROUP BY doc_id, item_id, dk, bk
-), total AS (SELECT k AS bk, count(*) AS n_windows FROM bw GROUP BY k),
+  SELECT doc_id, item_id, dk, bk, folded, count(DISTINCT p) AS n_hit, bool_or(coalesce(other, false)) AS other
+  FROM (SELECT *, a - p AS diagonal FROM hit) LEFT JOIN bad USING (dk, bk, folded, diagonal)
+  WHERE mixed IS NOT TRUE GROUP BY doc_id, item_id, dk, bk, folded
+), total AS (SELECT k AS bk, folded, count(*) AS n_windows FROM bw GROUP BY k, folded),
 best AS (
-  SELECT doc_id, item_id, max({{'h': n_hit, 'w': n_windows, 'o': other}}) AS x
-  FROM per JOIN total USING (bk) WHERE n_hit >= {c.MIN_SHARE} * n_windows GROUP BY doc_id, item_id
+  SELECT doc_id, item_id, max({{'t': NOT folded, 'h': n_hit, 'w': n_windows, 'o': other}}) AS x
+  FROM per JOIN total USING (bk, folded) WHERE n_hit >= {c.MIN_SHARE} * n_windows GROUP BY doc_id, item_id
 )
 SELECT doc_id, item_id, CAST(x.w AS BIGINT) AS n_windows, CAST(x.h AS BIGINT) AS n_hit, x.o AS reparameterised
 FROM best"""
