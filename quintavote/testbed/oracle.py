@@ -596,6 +596,26 @@ def statements() -> dict[str, str]:
             "t",
             "figures",
         ),
+        "evaluation_run": _with(
+            """SELECT figures.n AS total, e.* EXCLUDE (n), printf('%.2f', p99) || 'ms' AS p99, tp, tn, fp, fn, errors,
+            regexp_replace(CAST(round(failure_rate * 100, 2) AS VARCHAR), '\\.0$', '') || '%' AS failure_rate,
+            weighted_errors, round(error_rate, 6) AS error_rate, round(p99_score, 2) AS p99_score,
+            p99 > 2000 AS p99_cut, round(detection_score, 2) AS detection_score,
+            CASE WHEN NOT detection_cut THEN round(1000e0 * log10(1e0 / greatest(error_rate, 0.001e0)), 2) END
+            AS rate_component,
+            CASE WHEN NOT detection_cut THEN round(-300e0 * log10(1e0 + weighted_errors), 2) END
+            AS absolute_penalty, detection_cut, round(p99_score + detection_score, 2) AS final_score
+            FROM figures, (
+              SELECT count(*) AS n, count(*) FILTER (WHERE fraud = 1) AS fraud_count,
+              round(count(*) FILTER (WHERE fraud = 1) * 100e0 / count(*), 6) AS fraud_rate,
+              count(*) FILTER (WHERE fraud = 0) AS legit_count,
+              round(count(*) FILTER (WHERE fraud = 0) * 100e0 / count(*), 6) AS legit_rate,
+              round(count(*) FILTER (WHERE votes IN (2, 3)) * 100e0 / count(*), 6) AS edge_case_rate
+              FROM t JOIN fast USING (k)) e""",
+            "t",
+            "fast",
+            "figures",
+        ),
         "output_checks": """SELECT count(*) AS responses, 1e0 AS answered,
             count(*) FILTER (WHERE event_type <> 'error') / CAST(count(*) AS DOUBLE)
             AS body_is_json,

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quintavote.config import DIM, BuildParams, Normalization, ProbeParams
-from quintavote.functions import distance, features, parsing
+from quintavote.functions import distance, features, parsing, scores
 from quintavote.operators import clustering, evaluate, knn, payload, probing, scan, topk
 from quintavote.operators import vectorize as vec
 from quintavote.plans import ivf
+from quintavote.plans.evaluation import evaluation_run as run_evaluation
 from quintavote.plans.scoring import score_transactions
 from quintavote.sources import decisions as decision_io
 from quintavote.sources import evaluation_set, index_store, tables
@@ -66,12 +67,16 @@ def _by_id(*choices: Column | None) -> Column:
 _DOCUMENT_ROWS = 2_000
 
 
-def _write_documents(rows: DataFrame, path: str, head: str, tail: str) -> None:
-    """Rows (id, value) as files of one document each, in the order of ids."""
+def _write_documents(rows: DataFrame, path: str, head: str | Column, tail: str) -> None:
+    """Rows (id, value) as files of one document each, in the order of ids.
+
+    ``head`` may be an aggregate over the document's rows.
+    """
+    head = F.lit(head) if isinstance(head, str) else head
     number = F.lpad((F.col("id") / _DOCUMENT_ROWS).cast("long").cast("string"), 12, "0")
     placed = F.sort_array(F.collect_list(F.struct("id", "value")))
-    documents = rows.groupBy(number.alias("document")).agg(placed.alias("held"))
-    text = F.concat(F.lit(head), F.array_join("held.value", ",\n "), F.lit(tail))
+    documents = rows.groupBy(number.alias("document")).agg(placed.alias("held"), head.alias("head"))
+    text = F.concat("head", F.array_join("held.value", ",\n "), F.lit(tail))
     documents.select(text.alias("value"), "document").write.partitionBy("document").text(path)
 
 
@@ -188,19 +193,22 @@ def index_read(spark, sf_dir):
     return postings.join(F.broadcast(norms), "cluster_id")
 
 
-@query
-def eval_scan(spark, sf_dir):
-    """Entries of documents, which also hold statistics, read in splits."""
-    path = fresh_path(spark, "entries")
-    # ``request`` is a document inside the entry, not a string of one.
-    nested = F.concat(
+def _entry() -> Column:
+    """An evaluation entry; ``request`` is a document inside it, not a string of one."""
+    return F.concat(
         F.lit('{"request":'),
         "payload",
         F.lit(',"expected_approved":'),
         (F.col("fraud") == 0).cast("string"),
         F.lit("}"),
     )
-    rows = _payloads(spark, sf_dir).select(F.col("query_id").alias("id"), nested.alias("value"))
+
+
+@query
+def eval_scan(spark, sf_dir):
+    """Entries of documents, which also hold statistics, read in splits."""
+    path = fresh_path(spark, "entries")
+    rows = _payloads(spark, sf_dir).select(F.col("query_id").alias("id"), _entry().alias("value"))
     _write_documents(rows, path, '{"stats": {"total": 2000}, "entries": [', "]}")
     entries = evaluation_set.read_evaluation_entries(spark, path)
     return entries.transform(payload.json_extract).select(
@@ -588,15 +596,7 @@ def latency_score(spark, sf_dir):
 def detection_score(spark, sf_dir):
     """Per event type, so that cut and uncut rows both occur."""
     kinds = landed.transactions(spark, sf_dir).select("query_id", "event_type")
-    rows = _outcomes(spark, sf_dir).join(kinds, "query_id")
-    right = F.col("approved") == F.col("expected_approved")
-    counts = rows.groupBy("event_type").agg(
-        F.count_if(right & ~F.col("approved")).alias("tp"),
-        F.count_if(right & F.col("approved")).alias("tn"),
-        F.count_if(~right & ~F.col("approved")).alias("fp"),
-        F.count_if(~right & F.col("approved")).alias("fn"),
-        F.count_if(F.col("approved").isNull()).alias("errors"),
-    )
+    counts = evaluate.confusion_matrix(_outcomes(spark, sf_dir).join(kinds, "query_id"), "event_type")
     scored = evaluate.detection_score(evaluate.weighted_error(counts))
     rounded = ("error_rate", "failure_rate", "rate_component", "absolute_penalty", "detection_score")
     return scored.select(
@@ -655,6 +655,56 @@ def eval_report(spark, sf_dir):
     )
 
 
+@query
+def evaluation_run(spark, sf_dir):
+    """Documents of entries with their statistics, scored by the index, every report field."""
+    path = fresh_path(spark, "evaluation")
+    rows = _payloads(spark, sf_dir).join(landed.fast(spark, sf_dir).select("query_id", "votes"), "query_id")
+    fraud, edge = F.col("fraud") == 1, scores.is_borderline(F.col("votes"))
+    total = F.count("*")
+    stats = F.to_json(
+        F.struct(
+            total.alias("total"),
+            F.count_if(fraud).alias("fraud_count"),
+            (F.count_if(fraud) * 100 / total).alias("fraud_rate"),
+            F.count_if(~fraud).alias("legit_count"),
+            (F.count_if(~fraud) * 100 / total).alias("legit_rate"),
+            (F.count_if(edge) * 100 / total).alias("edge_case_rate"),
+        )
+    )
+    entries = rows.select(F.col("query_id").alias("id"), _entry().alias("value"), "fraud", "votes")
+    _write_documents(entries, path, F.concat(F.lit('{"stats": '), stats, F.lit(', "entries": [')), "]}")
+    answered = landed.transactions(spark, sf_dir).filter(F.col("value") <= 200).select("query_id")
+
+    def score(payloads: DataFrame) -> DataFrame:
+        decided = score_transactions(
+            payloads, landed.index(spark, sf_dir), tables.default_mcc_table(spark),
+            params=landed.PROBES, skip_self=True,
+        )
+        return decided.join(answered, "query_id", "left_semi")
+
+    report = run_evaluation(spark, path, score, _latencies(spark, sf_dir))
+    return report.select(
+        "expected.*",
+        "p99",
+        F.col("scoring.breakdown.true_positive_detections").alias("tp"),
+        F.col("scoring.breakdown.true_negative_detections").alias("tn"),
+        F.col("scoring.breakdown.false_positive_detections").alias("fp"),
+        F.col("scoring.breakdown.false_negative_detections").alias("fn"),
+        F.col("scoring.breakdown.http_errors").alias("errors"),
+        "scoring.failure_rate",
+        F.col("scoring.weighted_errors_E").alias("weighted_errors"),
+        F.col("scoring.error_rate_epsilon").alias("error_rate"),
+        F.col("scoring.p99_score.value").alias("p99_score"),
+        F.col("scoring.p99_score.cut_triggered").alias("p99_cut"),
+        F.col("scoring.detection_score.value").alias("detection_score"),
+        F.col("scoring.detection_score.rate_component").alias("rate_component"),
+        F.col("scoring.detection_score.absolute_penalty").alias("absolute_penalty"),
+        F.col("scoring.detection_score.cut_triggered").alias("detection_cut"),
+        "scoring.final_score",
+    ).withColumns({f"{name}_rate": F.round(f"{name}_rate", 6) for name in ("fraud", "legit", "edge_case")})
+
+
 @query
 def output_checks(spark, sf_dir):
     """Response bodies of all decisions; a few kinds are spoilt by event type."""
