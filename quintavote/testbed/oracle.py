@@ -346,6 +346,13 @@ _REQUIRED_NAMES = (
     "km_from_home",
 )
 _SCORED = "SELECT k AS query_id, votes, votes / 5e0 AS fraud_score, votes < 3 AS approved FROM "
+_SPOILT = (
+    "SELECT query_id, votes, fraud_score, approved, NULL AS reject_reason FROM ("
+    + _SCORED
+    + """scored) WHERE query_id % 10 NOT IN (4, 7) UNION ALL
+    SELECT k, NULL, NULL, NULL, CASE k % 10 WHEN 4 THEN 'missing amount' ELSE 'unreadable amount' END
+    FROM t WHERE k % 10 IN (4, 7)"""
+)
 _LAST_STAMP = _STAMP.format("last_sec")
 _D5 = _clamp("((sec - last_sec) / 60e0) / 1440e0")
 _D6 = _clamp("km / 1000e0")
@@ -395,7 +402,8 @@ def statements() -> dict[str, str]:
             {_LAST_STAMP} AS last_timestamp FROM t""",
             "t",
         ),
-        "stream_score": _with(_SCORED + "scored", "scored"),
+        "stream_score": _with(_SPOILT, "scored", "t"),
+        "score_and_rejects": _with(_SPOILT, "scored", "t"),
         "decision_sink": _with(
             """SELECT k AS query_id, '{"approved":' || CAST(approved AS VARCHAR)
             || ',"fraud_score":' || CAST(fraud_score AS VARCHAR) || '}' AS value FROM decided""",

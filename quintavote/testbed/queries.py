@@ -15,7 +15,7 @@ from quintavote.operators import clustering, evaluate, knn, payload, probing, sc
 from quintavote.operators import vectorize as vec
 from quintavote.plans import ivf
 from quintavote.plans.evaluation import evaluation_run as run_evaluation
-from quintavote.plans.scoring import score_transactions
+from quintavote.plans.scoring import score_and_reject, score_transactions
 from quintavote.sources import decisions as decision_io
 from quintavote.sources import evaluation_set, index_store, tables
 from quintavote.staging import fresh_path, materialize
@@ -140,8 +140,9 @@ def txn_scan(spark, sf_dir):
 
 @query
 def stream_score(spark, sf_dir):
+    """Decisions and rejects of a stream in which two payloads of ten cannot be scored."""
     source, root = fresh_path(spark, "arriving"), fresh_path(spark, "scored")
-    _payloads(spark, sf_dir).select("query_id", "payload").repartition(4).write.json(source)
+    _spoilt(spark, sf_dir).repartition(4).write.json(source)
     stream = read_payload_stream(spark, source, "query_id bigint, payload string", max_files=2)
     writer = score_stream(
         stream,
@@ -157,9 +158,33 @@ def stream_score(spark, sf_dir):
         .start()
     )
     started.awaitTermination()
-    return (
-        spark.read.parquet(f"{root}/decisions")
-        .select("query_id", "votes", "fraud_score", "approved")
+    return _decided_and_rejected(
+        spark.read.parquet(f"{root}/decisions"), spark.read.parquet(f"{root}/rejects")
+    )
+
+
+def _spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads, of which some lack their amount and some have one that is no number."""
+    kind = F.col("query_id") % 10
+    amount = F.when(kind == 4, F.lit(None)).when(kind == 7, F.lit("much")).otherwise(F.col("amount").cast("string"))
+    return _payloads(spark, sf_dir, amount=amount).drop("fraud")
+
+
+def _decided_and_rejected(decided: DataFrame, rejects: DataFrame) -> DataFrame:
+    columns = ["query_id", "votes", "fraud_score", "approved", "reject_reason"]
+    return decided.unionByName(rejects, allowMissingColumns=True).select(columns)
+
+
+@query
+def score_and_rejects(spark, sf_dir):
+    """Decisions and rejects of a batch, parsed once."""
+    return _decided_and_rejected(
+        *score_and_reject(
+            _spoilt(spark, sf_dir),
+            landed.index(spark, sf_dir),
+            tables.default_mcc_table(spark),
+            params=landed.PROBES,
+        )
     )
 
 
