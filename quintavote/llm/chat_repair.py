@@ -200,8 +200,11 @@ def repair(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
         yield _frame(out, ("conv_id", "chunk", "enter", "leave", "last"))
 
     sums = dealt.mapInPandas(sum_up, "conv_id long, chunk long, costs array<double>")
+    # A number of its own: summaries are small, and a plan that goes by size alone would have
+    # one task walk all conversations.
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     states = (
-        sums.repartition("conv_id")
+        sums.repartition(tasks, "conv_id")
         .sortWithinPartitions("conv_id", "chunk")
         .mapInPandas(walk, "conv_id long, chunk long, enter int, leave int, last boolean")
     )
