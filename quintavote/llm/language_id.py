@@ -89,26 +89,36 @@ class _Vectors:
         return self.matrix[[known[g] for g in grams.tolist()]].astype(np.float32)
 
 
-def _grams(text: str) -> np.ndarray:
-    """Packed n-grams of the letters, words set apart by one space; empty without a letter."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _is_letter()[codes]
-    if not letter.any():
-        return np.empty(0, np.int64)
-    codes = np.where(letter, codes, _SPACE)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    codes = np.concatenate(([_SPACE], codes[keep], [_SPACE])).astype(np.int64)
-    packed = codes[: len(codes) - NGRAM + 1].copy()
-    for place in range(1, NGRAM):
-        packed |= codes[place : len(codes) - NGRAM + 1 + place] << (21 * place)
-    return packed
+def _grams(text: str, chars: int | None = None) -> Iterator[np.ndarray]:
+    """Packed n-grams of the letters, words set apart by one space; none without a letter.
+
+    The text is read in parts of ``chars`` characters, and n-grams that lie over their borders
+    come with the later part.
+    """
+    chars = chars or _PIECE
+    before, was_letter = np.array([_SPACE], np.int64), False
+    for start in range(0, len(text), chars):
+        part = text[start : start + chars]
+        codes = np.frombuffer(part.lower().encode("utf-32-le", "replace"), np.uint32)
+        letter = _is_letter()[codes]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= was_letter
+        was_letter = bool(letter[-1])
+        last = [_SPACE] if start + chars >= len(text) else []
+        codes = np.concatenate((before, np.where(letter, codes, _SPACE)[keep], last)).astype(np.int64)
+        before = codes[1 - NGRAM :]
+        packed = codes[: max(0, len(codes) - NGRAM + 1)].copy()
+        for place in range(1, NGRAM):
+            packed |= codes[place : place + len(packed)] << (21 * place)
+        if len(packed):
+            yield packed
 
 
 def bundles(texts: list[str | None], vectors: _Vectors) -> np.ndarray:
     """One summed vector per text; zeros for a text without letters.
 
-    A text of more than 2^18 characters is bundled in parts of that size.
+    A text of more than 2^18 characters is read in parts of that size.
     """
     out = np.zeros((len(texts), vectors.dim), np.float32)
     group: list[tuple[int, np.ndarray]] = []
@@ -128,11 +138,9 @@ def bundles(texts: list[str | None], vectors: _Vectors) -> np.ndarray:
         held = 0
 
     for i, text in enumerate(texts):
-        for start in range(0, len(text or ""), _PIECE):
-            grams = _grams(text[start : start + _PIECE])
-            if len(grams):
-                group.append((i, grams))
-                held += len(grams)
+        for grams in _grams(text or ""):
+            group.append((i, grams))
+            held += len(grams)
             if held >= _GROUP:
                 flush()
     flush()
