@@ -59,13 +59,25 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+# Fixed values of names that say what a page has, not what an element is.
+STATES = {"has", "with", "no", "without", "is", "js"}
+
+
 def _hints(attributes: str) -> set[str]:
+    """First and last words of each name; a name like has-sidebar or post-share-story says nothing."""
     found = _ATTRIBUTE.findall(attributes) if "=" in attributes else ()
-    return {w for m in found for w in re.findall(r"[a-z0-9]+", "".join(m[1:]).lower())}
+    hints = set()
+    for name in (n for m in found for n in "".join(m[1:]).lower().split()):
+        words = re.findall(r"[a-z0-9]+", name)
+        if words and (len(words) == 1 or words[0] not in STATES):
+            hints |= {words[0], words[-1]}
+    return hints
 
 
 def _mark(name: str, attributes: str) -> str:
     """The tag with the hints that decide its part: ``a`` article, ``f`` furniture."""
+    if name in ("html", "body"):
+        return name
     hints = _hints(attributes)
     if name in FURNITURE or hints & FURNITURE_WORDS:
         return f"{name}.f"

@@ -468,3 +468,27 @@ def test_cut_streams_are_refused(tmp_path):
     data = gzip.compress(b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
     with pytest.raises(EOFError):
         io.BufferedReader(warc.Inflated(io.BytesIO(data[:-12]))).read()
+
+
+# Measured cases of earlier rounds
+
+
+def test_long_texts_have_the_ngrams_of_the_whole(monkeypatch):
+    texts = ["", "a", " . ", "ab  cd", "x" * 40, "é1 2 b", "It is. A longer text, with words; and 123 numbers!", "漢字 \U0001f642 ab "]
+    for text in texts:
+        whole = Counter(np.concatenate([np.empty(0, np.int64), *language_id._grams(text)]).tolist())
+        for chars in range(1, 9):
+            parts = [np.empty(0, np.int64), *language_id._grams(text, chars)]
+            assert Counter(np.concatenate(parts).tolist()) == whole, (text, chars)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar no-ads"><article><p>The text.</p></article></body>',
+        '<html id="share"><body><div class="post-share-story"><p>The text.</p></div></body></html>',
+        '<body class="home comments"><div class="sidebar"><p>aside</p></div><main><p>The text.</p></main></body>',
+    ],
+)
+def test_pages_whose_names_resemble_furniture(page):
+    assert html_wrapper.extract(page, None) == "The text."
