@@ -2,6 +2,10 @@
 
 Every stage works on all that its predecessor kept.  A stage that filters removes whole
 documents; line dedup shortens texts and removes a document of which no line is left.
+
+Rows of one doc_id are one document: near-duplicate removal keeps one of them, of the least
+hash.  A row without doc_id is near to nothing and stays there, and loses its place for a
+benchmark item like any other, as that is decided by text.
 """
 
 from __future__ import annotations
@@ -61,16 +65,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each class of similar documents."""
     classes = parity_join.similar_components(docs)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(gone, "near-duplicates"), "doc_id", "left_anti").select(
-        docs.columns
+    kept = docs.join(materialize(gone, "near-duplicates"), "doc_id", "left_anti").select(docs.columns)
+    again = kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = materialize(again, "repeated-ids")
+    if again.isEmpty():
+        return kept
+    # Rows are compared before they are moved, so an id of many rows is no group in one task.
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), F.struct(*kept.columns).alias("row"))).alias("first")
     )
+    rest = kept.join(again, "doc_id", "left_anti").select(kept.columns)
+    return rest.unionByName(one.select("first.row.*"))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    held = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    held = materialize(held.select("doc_id").distinct(), "contaminated")
-    return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+    texts = docs.select(F.xxhash64("text").alias("text_id"), "text")
+    held = decontaminate.find(texts, table(spark, sf_dir, "benchmark"), key="text_id")
+    held = materialize(held.select(F.col("doc_id").alias("text_id")).distinct(), "contaminated")
+    return docs.join(held, F.xxhash64("text") == F.col("text_id"), "left_anti").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
