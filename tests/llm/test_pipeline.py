@@ -70,3 +70,22 @@ def test_stages_take_odd_documents(spark):
             if name != "byte_bpe":
                 assert docs.columns == source.columns
         assert docs.count() <= len(rows)
+
+
+def test_rows_without_id_and_rows_of_one_id(spark):
+    """A benchmark item goes whatever its row's id; one row of an id stays."""
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    texts = [(None, item), (None, "a text of its own, without any id"), (1, "one and the same row"), (1, "one and the same row")]
+    texts += [(2, "first text of the second id"), (2, "quite another text that it has"), (3, item), (4, None)]
+    docs = documents(spark, texts)
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["decontamination"](spark, docs, SMALL)
+    assert clean.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in clean.collect()), key=str)
+    assert left == sorted((t for t in texts if t[1] != item), key=str)
+    kept = stages["ngram_jaccard"](spark, docs, SMALL).collect()
+    ids = [r.doc_id for r in kept]
+    # The item under 3 is near to nothing that has an id.
+    assert sorted(ids, key=str) == sorted([None, None, 1, 2, 3, 4], key=str)
+    assert next(r.text for r in kept if r.doc_id == 1) == "one and the same row"
+    assert stages["ngram_jaccard"](spark, documents(spark, []), SMALL).count() == 0
