@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,8 @@ HOT_SHINGLES = 1 << 16
 # Ids and pairs of ids are broadcast up to this number, joined by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 _VOCABULARY = 200_000
+# Texts that are read before their results are handed on.
+ROWS = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -164,15 +167,16 @@ def _hot_shingles(docs: DataFrame) -> np.ndarray:
     n = docs.count()
     share = min(1.0, HOT_SAMPLE / max(1, n))
 
-    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            found = [shingles(text, hashes) for text in batch["text"]]
-            yield pd.DataFrame({"s": np.concatenate(found).view(np.int64)})
+            for start in range(0, batch.num_rows, ROWS):
+                found = [shingles(text, hashes) for text in batch["text"].slice(start, ROWS).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["s"])
 
     rows = (
         docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-        .mapInPandas(some, "s long")
+        .mapInArrow(some, "s long")
         .groupBy("s")
         .count()
         .where("count >= 4")
@@ -187,22 +191,28 @@ def _hot_shingles(docs: DataFrame) -> np.ndarray:
 def sketches(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, a fingerprint of the set, parity bits and block keys."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            sets = [shingles(t, hashes) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"),
-                    "n_shingles": [len(u) for u in sets],
-                    "finger": [np.array([u.sum(), _mix(u).sum()], np.uint64).tobytes() for u in sets],
-                    "bits": [parity_bits(u) for u in sets],
-                    "keys": [block_keys(u, hot) for u in sets],
-                }
-            )
+            # A few texts at a time: what is held besides the input stays small.
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                sets = [shingles(t, hashes) for t in part["text"].to_pylist()]
+                fingers = [np.array([u.sum(), _mix(u).sum()], np.uint64).tobytes() for u in sets]
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part["doc_id"],
+                        pa.array([len(u) for u in sets], pa.int64()),
+                        pa.array(fingers, pa.binary()),
+                        pa.array([parity_bits(u) for u in sets], longs),
+                        pa.array([block_keys(u, hot) for u in sets], longs),
+                    ],
+                    names=["doc_id", "n_shingles", "finger", "bits", "keys"],
+                )
 
     schema = "doc_id long, n_shingles long, finger binary, bits array<long>, keys array<long>"
-    return docs.mapInPandas(sketch, schema)
+    return docs.select("doc_id", "text").mapInArrow(sketch, schema)
 
 
 def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
@@ -231,28 +241,27 @@ def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
         ids = F.broadcast(ids)
     texts = materialize(docs.join(ids, "doc_id", "left_semi"), "verify-texts")
 
-    @F.pandas_udf("long")
-    def shared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for left, right in batches:
-            last, made = None, None
-            out = []
-            for x, y in zip(left, right, strict=True):
-                if x is not last:
-                    last, made = x, shingles(x, hashes)
-                out.append(len(np.intersect1d(made, shingles(y, hashes), assume_unique=True)))
-            yield pd.Series(out)
+        last, made = None, None
+        for batch in batches:
+            linked = []
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                for a, both, x, y in zip(*(part[c].to_pylist() for c in ("a", "both", "x", "y")), strict=True):
+                    if (a, x) != last:
+                        last, made = (a, x), shingles(x, hashes)
+                    n = len(np.intersect1d(made, shingles(y, hashes), assume_unique=True))
+                    linked.append(100 * n >= 75 * (both - n))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     exact = (
         open_pairs.select("a", "b", "both")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-        .select("a", "b", "both", shared("x", "y").alias("shared"))
-        .select(
-            "a", "b",
-            (100 * F.col("shared") >= 75 * (F.col("both") - F.col("shared"))).alias("linked"),
-        )
-    )
+        .select("a", "b", "both", "x", "y")
+        .mapInArrow(judge, "a long, b long, linked boolean")
+    )
     done = known.where(settled).select("a", "b", F.col("equal").alias("linked"))
     # A doc_id that has several rows is linked if any of them is.
     return done.unionByName(exact).groupBy("a", "b").agg(F.max("linked").alias("linked"))
