@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from quintavote.staging import ship_package
 
 DIM = 1024
+# Texts that are bundled at once.
+ROWS = 512
 NGRAM = 3
 UNKNOWN = "und"
 # Labelled texts that are learned from, for each language: the bound of the sample.
@@ -182,9 +184,11 @@ def learn(
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors, sums = _Vectors(dim), {}
         for batch in batches:
-            units = _unit(bundles(batch["text"].tolist(), vectors)).astype(np.float64)
-            for lang, of in batch.groupby("lang").indices.items():
-                sums[lang] = sums.get(lang, 0) + units[of].sum(axis=0)
+            for start in range(0, len(batch), ROWS):
+                part = batch.iloc[start : start + ROWS]
+                units = _unit(bundles(part["text"].tolist(), vectors)).astype(np.float64)
+                for lang, of in part.groupby("lang").indices.items():
+                    sums[lang] = sums.get(lang, 0) + units[of].sum(axis=0)
         yield pd.DataFrame(
             {"lang": list(sums), "bundle": [v.tobytes() for v in sums.values()]}, dtype=object
         )
@@ -213,21 +217,26 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vectors = _Vectors(dim)
-        for batch in batches:
-            made = bundles(batch.tolist(), vectors) if names else np.zeros((len(batch), dim))
+
+        def judged(texts: list) -> pd.DataFrame:
+            made = bundles(texts, vectors) if names else np.zeros((len(texts), dim))
             known = made.any(axis=1)
-            cosine = _unit(made) @ matrix.T if names else np.zeros((len(batch), 1))
+            cosine = _unit(made) @ matrix.T if names else np.zeros((len(texts), 1))
             best = cosine.argmax(axis=1)
             score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
-            yield pd.DataFrame(
+            found = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+            return pd.DataFrame(
                 {
-                    "lang_pred": pd.Series(
-                        [names[b] if k else UNKNOWN for b, k in zip(best, known)], dtype=object
-                    ),
+                    "lang_pred": pd.Series(found, dtype=object),
                     "score": np.where(known, score, 0.0).astype(float),
                 }
             )
 
+        for batch in batches:
+            # A few texts at a time: bundles are wide.
+            parts = [judged(batch.iloc[i : i + ROWS].tolist()) for i in range(0, len(batch), ROWS)]
+            yield pd.concat(parts, ignore_index=True) if parts else judged([])
+
     return (
         df.withColumn("lang_pred", predict(F.col(text).cast("string")))
         .withColumn("score", F.col("lang_pred.score"))
