@@ -11,7 +11,7 @@ from quintavote.functions import kernels
 def codes(rng, rows, dim=14, distinct=None):
     values = rng.integers(-10_000, 10_001, (rows, dim))
     if distinct:
-        values = values[rng.integers(0, distinct, rows)]
+        values = values[rng.integers(0, min(distinct, rows), rows)]
     return values.astype(float)
 
 
