@@ -121,3 +121,37 @@ def test_ragged_or_null_vectors_are_refused():
         kernels.to_matrix(pa.array([[1.0, None]]), 2)
     with pytest.raises(ValueError):
         kernels.to_matrix(pa.array([[1.0, 2.0], None]), 2)
+
+
+@pytest.mark.parametrize("distinct", [None, 3, 1])
+@pytest.mark.parametrize("bounded", [False, True])
+def test_tree_search_equals_full_comparison(distinct, bounded):
+    """Several leaves, copies over more than one leaf, queries of all of them."""
+    rng = np.random.default_rng(5)
+    refs = codes(rng, 3_000, distinct=distinct)
+    queries = np.concatenate([refs[rng.integers(0, 3_000, 500)], codes(rng, 200)])
+    ref_ids, query_ids = rng.permutation(6_000)[:3_000], rng.permutation(6_000)[:700]
+    full = ((queries[:, None, :] - refs[None]) ** 2).sum(axis=2)
+    full[query_ids[:, None] == ref_ids[None]] = np.inf
+    bounds = np.sort(full, axis=1)[:, 2].astype(np.int64) if bounded else None
+    tree = kernels.ReferenceTree(ref_ids, refs)
+    assert len(tree.leaves) > 4
+    rows, found, dist = kernels.nearest_in_tree(query_ids, queries, tree, 5, True, bounds)
+    for row in range(700):
+        order = np.lexsort((ref_ids, full[row]))[:5]
+        wanted = [(d, i) for d, i in zip(full[row][order], ref_ids[order]) if not bounded or d <= bounds[row]]
+        mine = rows == row
+        assert sorted(zip(dist[mine], ref_ids[found[mine]])) == wanted
+
+
+def test_tree_search_leaves_out_far_leaves():
+    """A query compares itself with the leaves near it, not with the whole block."""
+    rng = np.random.default_rng(6)
+    refs = np.round(rng.random((20_000, 3)) * 10_000)
+    tree = kernels.ReferenceTree(np.arange(20_000), refs)
+    for leaf in range(len(tree.leaves)):
+        if tree.least[leaf, 0] > 4_000:
+            tree.leaves[leaf] = None  # reading it fails
+    queries = refs[refs[:, 0] < 1_000]
+    rows, _, dist = kernels.nearest_in_tree(np.arange(len(queries)), queries, tree, 5, False)
+    assert len(rows) == 5 * len(queries) and dist.max() < 3_000**2
