@@ -155,3 +155,33 @@ def test_tree_search_leaves_out_far_leaves():
     queries = refs[refs[:, 0] < 1_000]
     rows, _, dist = kernels.nearest_in_tree(np.arange(len(queries)), queries, tree, 5, False)
     assert len(rows) == 5 * len(queries) and dist.max() < 3_000**2
+
+
+def test_reach_looks_at_boxes_of_a_cell():
+    """A query between the members of a cell is in its box, yet near none of them."""
+    rng = np.random.default_rng(8)
+    ends = np.concatenate([codes(rng, 2_000) // 10, 9_000 + codes(rng, 2_000) // 10])
+    tree = kernels.ReferenceTree(np.arange(4_000), ends, 64)
+    starts = np.array([0, len(tree.least)])
+    queries = np.concatenate([np.full((3, 14), 5_000.0), ends[::40]])
+    bounds = np.full(len(queries), 1_000.0**2)
+    rows, cells = np.arange(len(queries)), np.zeros(len(queries), dtype=np.int64)
+    whole = kernels.in_some_box(queries, bounds, rows, cells, starts[:2] * 0 + [0, 1], ends.min(0)[None], ends.max(0)[None])
+    assert whole.all()
+    found = kernels.in_some_box(queries, bounds, rows, cells, starts, tree.least, tree.largest)
+    assert found.tolist() == [False] * 3 + [True] * (len(queries) - 3)
+
+
+def test_leaf_meets_its_queries_at_once(monkeypatch):
+    """Held pairs are bounded, and the result is the same however few are held."""
+    rng = np.random.default_rng(9)
+    refs, ids = codes(rng, 3_000), rng.permutation(3_000)
+    tree = kernels.ReferenceTree(ids, refs)
+    whole = kernels.nearest_in_tree(ids[:900], refs[:900], tree, 5, True)
+    monkeypatch.setattr(kernels, "_HELD_PAIRS", 50)
+    parts = kernels.nearest_in_tree(ids[:900], refs[:900], tree, 5, True)
+
+    def ordered(found):
+        return sorted(zip(*[column.tolist() for column in found]))
+
+    assert ordered(whole) == ordered(parts) and len(whole[0]) == 4_500

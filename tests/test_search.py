@@ -9,7 +9,7 @@ from quintavote.operators.knn import knn_exact
 from quintavote.operators.probing import probe_rows, with_probes
 from quintavote.operators import knn, scan
 from quintavote.operators.scan import scan_probes, shuffled_scan, stored_scan
-from quintavote.operators.topk import borderline, decide, fraud_vote, topk_merge, topk_neighbors
+from quintavote.operators.topk import borderline, decide, fraud_vote, listed_candidates, topk_merge, topk_neighbors
 from quintavote.operators.vectorize import with_query_codes, with_reference_codes
 from quintavote.plans import ivf
 from quintavote.sources import index_store
@@ -335,3 +335,19 @@ def test_ranking_needs_no_exchange(hot, hot_index):
     queries, _, _ = hot
     plan = physical(with_probes(queries, hot_index.table, 4))
     assert "Exchange" not in plan and "ArrowEvalPython" in plan
+
+
+def test_lists_equal_the_scan_of_all_probes(spark, hot, hot_index, monkeypatch):
+    """Clusters of several blocks, and a nearest cluster without members."""
+    queries, refs, _ = hot
+    monkeypatch.setattr(index_store, "BLOCK_ROWS", 20)
+    emptied = hot_index.postings.where("cluster_id % 3 > 0")
+    path = fresh_path(spark, "index")
+    index_store.write_index(ivf.IvfIndex(hot_index.centroids, emptied), path)
+    index = index_store.read_index(spark, path)
+    ranked = ivf._ranked(queries, index, 5)
+    every = topk_neighbors(stored_scan(probe_rows(ranked, 1, 5), index.stored, skip_self=True))
+    lists = listed_candidates(ivf.nearest_lists(ranked, index, 5, skip_self=True))
+    assert collected(lists) == collected(every)
+    empty = ranked.where("probes[0] % 3 = 0").count()
+    assert empty and index.stored.layout.agg(F.max("blocks")).first()[0] > 1
