@@ -185,3 +185,43 @@ def test_leaf_meets_its_queries_at_once(monkeypatch):
         return sorted(zip(*[column.tolist() for column in found]))
 
     assert ordered(whole) == ordered(parts) and len(whole[0]) == 4_500
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_groups_of_queries_are_compared_with_boxes(monkeypatch, bounded):
+    """Queries near one another look at all leaves together, not one by one."""
+    rng = np.random.default_rng(10)
+    refs, ids = codes(rng, 6_000), rng.permutation(6_000)
+    tree = kernels.ReferenceTree(ids, refs)
+    compared, gaps = [], kernels._gaps
+
+    def counted(low, high, least, largest):
+        compared.append(len(low) * len(least))
+        return gaps(low, high, least, largest)
+
+    monkeypatch.setattr(kernels, "_gaps", counted)
+    bounds = np.full(2_003, 4_000.0**2) if bounded else None
+    kernels.nearest_in_tree(ids[:2_003], refs[:2_003], tree, 5, True, bounds)
+    assert sum(compared) <= 2_003 * len(tree.leaves) / 8
+
+
+def test_single_precision_loses_no_pair():
+    """Bounds that are met exactly, by sums of squares that single precision does not hold."""
+    rng = np.random.default_rng(11)
+    refs = rng.integers(-32_768, 32_768, (3_000, 14)).astype(float)
+    queries = rng.integers(-32_768, 32_768, (700, 14)).astype(float)
+    full = ((queries[:, None, :] - refs[None]) ** 2).sum(axis=2)
+    bounds = full.min(axis=1)
+    tree = kernels.ReferenceTree(np.arange(3_000), refs, 1)
+    rows, _, dist = kernels.nearest_in_tree(np.arange(700), queries, tree, 1, False, bounds)
+    assert rows.tolist() == list(range(700)) and (dist == bounds).all()
+    starts, every = np.array([0, len(tree.least)]), np.arange(700)
+    found = kernels.in_some_box(queries, bounds, every, every * 0, starts, tree.least, tree.largest)
+    assert found.all()
+    assert not kernels.in_some_box(queries, bounds * 0.99, every, every * 0, starts, tree.least, tree.largest).any()
+
+
+def test_near_order_is_a_permutation():
+    rng = np.random.default_rng(12)
+    for points in (codes(rng, 1_001), np.zeros((100, 3)), np.zeros((0, 3)), codes(rng, 7)):
+        assert sorted(kernels._near_order(points).tolist()) == list(range(len(points)))
