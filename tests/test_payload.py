@@ -181,6 +181,16 @@ def test_document_is_parsed_once(spark):
     assert plan.count("from_json") == 1
 
 
+def test_each_token_is_parsed_once(spark):
+    """Neither the filter on rejects nor several features of one field parse it again."""
+    found = vectorize_payloads(frame(spark, VECTOR_CASES), default_mcc_table(spark))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # A condition and a value for each; a number's size is looked at as well.
+    numbers, instants = 7, 2
+    assert plan.count("RLIKE(") == numbers + instants
+    assert plan.count("as timestamp)") == instants and plan.count("as double)") <= 2 * numbers + 6
+
+
 def test_null_payload_is_rejected(spark):
     df = spark.range(1).select(F.col("id").alias("query_id"), F.lit(None).cast("string").alias("payload"))
     parsed = df.transform(json_extract).transform(parse_fields)

@@ -1,4 +1,7 @@
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 from quintavote.functions.distance import centroid_score, dist_f64, dist_int, norm_sq
 from quintavote.functions.quantize import query_code, query_codes, reference_code
@@ -45,3 +48,17 @@ def test_distances(spark):
 def test_codes_of_a_vector(spark):
     df = spark.createDataFrame([([0.5, -1.0, 2.0],)], "vector array<double>")
     assert df.select(query_codes("vector")).first()[0] == [5_000, -10_000, 10_000]
+
+
+def test_codes_round_halves_away_from_zero_without_decimals(spark):
+    """The code of a value is that of ``round``, also next to a half."""
+    halves = [(n + 0.5) / 10_000 for n in (0, 1, 2, 3, 4_095, 4_096, 8_191, 9_998)]
+    near = [math.nextafter(v, end) for v in halves for end in (0.0, 1.0)]
+    rows = [(v,) for v in halves + near + [0.49999999999999994 / 10_000, 0.0, 1.0, 0.3]]
+    df = spark.createDataFrame(rows + [(-v,) for v, in rows], "v double").select(
+        "v", query_code("v").alias("q"), reference_code("v").alias("r")
+    )
+    assert "round" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    wanted = df.select("q", "r", F.round(F.greatest("v", F.lit(0.0)) * 10_000).cast("int"), F.round(F.col("v") * 10_000).cast("int"))
+    for q, r, unsigned, signed in wanted.collect():
+        assert (r == signed) and (q == unsigned or (q == -10_000 and signed <= -9_990))
