@@ -12,9 +12,10 @@ segment.  Each pass reads the shards where they lie; only small messages move:
 1. shards send their distinct anchors to ranges of anchors, which answer which are
    shared by several documents;
 2. shards send the distinct segments of shared anchors, each with its smallest document.
-   A range builds suffix arrays (Larsson-Sadakane) with common prefixes (Kasai) over
-   its segments in chunks of bounded size, merges the chunks' sorted strings by binary
-   search, and answers which windows start in a smaller document elsewhere;
+   A range settles equal segments by hashing.  Over those whose anchor has other texts as
+   well it builds suffix arrays (Larsson-Sadakane) with common prefixes (Kasai) in chunks of
+   bounded size, merges the chunks' sorted strings by binary search, and answers which
+   windows start in a smaller document elsewhere;
 3. shards mark those windows and cut the text.
 
 However often a string occurs, a shard sends it once, so a string in a third of all
@@ -46,7 +47,8 @@ SHARD_BYTES = 2 << 20
 RANGE_BYTES = 6 << 20
 CHUNK_BYTES = 1 << 19
 _GRAM = 25
-_TILE = 1 << 18
+# Windows whose hashes are worked out at once, few enough for the processor's cache.
+_TILE = 1 << 14
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -55,16 +57,20 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
     def pair(x: np.ndarray, y: np.ndarray, gap: int) -> np.ndarray:
         n = min(len(x), len(y) - gap)
-        out = x[:n] * a + y[gap : gap + n]
-        return (out ^ (out >> np.uint64(31))) * b
+        out = x[:n] * a
+        out += y[gap : gap + n]
+        out ^= out >> np.uint64(31)
+        out *= b
+        return out
 
-    one = (data.astype(np.uint64) + np.uint64(1)) * b
+    one = (np.arange(1, 257, dtype=np.uint64) * b)[data]
     two = pair(one, one, 1)
     four = pair(two, two, 2)
     eight = pair(four, four, 4)
     sixteen = pair(eight, eight, 8)
     out = pair(pair(sixteen, eight, 16), one, 24)
-    return out ^ (out >> np.uint64(29))
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def _least_of(x: np.ndarray, width: int) -> np.ndarray:
@@ -79,28 +85,35 @@ def _least_of(x: np.ndarray, width: int) -> np.ndarray:
 def runs(data: np.ndarray, lengths: np.ndarray, size: int = SIZE):
     """(anchor, first window, last window, document's place) of each run, in text order."""
     ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    inside = np.ones(len(data), bool)
+    for end, length in zip(ends.tolist(), lengths.tolist(), strict=True):
+        inside[end - min(length, size - 1) : end] = False
     found = []
     for start in range(0, len(data) - size + 1, _TILE):
-        part = data[start : start + _TILE + size - 1]
-        least = _least_of(_grams(part), size - _GRAM + 1)
-        place = np.arange(start, start + len(least))
-        inside = place + size <= ends[owner[place]]
-        place, least = place[inside], least[inside]
-        if not len(place):
-            continue
-        new = np.concatenate(
-            ([True], (place[1:] != place[:-1] + 1) | (least[1:] != least[:-1]))
-        )
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(place)) - 1
+        least = _least_of(_grams(data[start : start + _TILE + size - 1]), size - _GRAM + 1)
+        here = inside[start : start + len(least)]
+        # Where a run begins, or a place without a window stands.
+        new = np.ones(len(least) + 1, bool)
+        np.not_equal(least[1:], least[:-1], out=new[1:-1])
+        new[:-1] |= ~here
+        new[1:-1] |= ~here[:-1]
+        at = np.flatnonzero(new)
+        begins = here[at[:-1]]
+        first, last = at[:-1][begins], at[1:][begins] - 1
         # Least values are small ones; mixed again, they spread evenly over the ranges.
         anchor = least[first] * np.uint64(0x9E3779B97F4A7C15)
         anchor = (anchor ^ (anchor >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        found.append((anchor, place[first], place[last], owner[place[first]]))
+        found.append((anchor, first + start, last + start))
     if not found:
         return (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    anchor, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    return anchor, first, last, np.searchsorted(ends, first, side="right")
+
+
+def _stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all stretches, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 class _Shard:
@@ -135,26 +148,32 @@ class _Shard:
         return low != high
 
     def segments(self, shared: np.ndarray):
-        """Distinct segments of shared anchors by range, and the segment of each shared run."""
+        """Shared runs by anchor, the number of each one's segment, and of the segments: a run, the least document.
+
+        Only runs of one anchor can have equal segments, so most need no look at their text.
+        """
         at = np.flatnonzero(shared[self.which])
-        text, size = self.data.tobytes(), self.size
+        at = at[np.argsort(self.which[at], kind="stable")]
+        anchor = self.which[at]
+        same = np.concatenate(([False], anchor[1:] == anchor[:-1], [False]))
+        first_of = np.arange(len(at))
+        text, size = self.data, self.size
         number: dict[bytes, int] = {}
-        of_run = np.empty(len(at), np.int64)
-        ranges: list[int] = []
-        least: list[int] = []
-        owners = self.ids[self.doc[at]].tolist()
-        spots = (self.anchor[self.which[at]] >> np.uint64(32)).astype(np.int64).tolist()
-        firsts, lasts = self.first[at].tolist(), self.last[at].tolist()
-        for k, (a, b, owner, spot) in enumerate(zip(firsts, lasts, owners, spots, strict=True)):
-            segment = text[a : b + size]
-            i = number.setdefault(segment, len(ranges))
-            if i == len(ranges):
-                ranges.append(spot)
-                least.append(owner)
-            elif owner < least[i]:
-                least[i] = owner
-            of_run[k] = i
-        return at, of_run, list(number), np.array(ranges, np.int64), np.array(least, np.int64)
+        several = np.flatnonzero(same[1:] | same[:-1])
+        spots = zip(
+            several.tolist(), self.first[at[several]].tolist(), self.last[at[several]].tolist(), strict=True
+        )
+        for k, a, b in spots:
+            first_of[k] = number.setdefault(text[a : b + size].tobytes(), k)
+        distinct = first_of == np.arange(len(at))
+        of_run = (np.cumsum(distinct) - 1)[first_of]
+        owners = self.ids[self.doc[at]]
+        least = owners[distinct]
+        np.minimum.at(least, of_run[~distinct], owners[~distinct])
+        return at, of_run, at[distinct], least
+
+    def ranges(self, run: np.ndarray) -> np.ndarray:
+        return (self.anchor[self.which[run]] >> np.uint64(32)).astype(np.int64)
 
 
 def _answers(parts, key: str) -> dict[int, np.ndarray]:
@@ -205,64 +224,76 @@ def _range_answers(rows: pd.DataFrame) -> list[bytes]:
 
 
 def segment_answers(
-    shards: list[tuple[bytes, np.ndarray, np.ndarray]], size: int, chunk_bytes: int
+    shards: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]], size: int, chunk_bytes: int
 ) -> list[bytes]:
     """Per shard, whether each window of its segments starts in a smaller document elsewhere.
 
-    A shard is (texts of its segments, their lengths, their smallest documents).
+    A shard is (texts of its segments, their lengths, their smallest documents, their anchors).
+    Equal windows have equal anchors, so an anchor with one text needs no comparing of windows.
     """
-    distinct: dict[bytes, int] = {}
-    least: list[int] = []
-    of: list[np.ndarray] = []
-    for text, lengths, owners in shards:
-        at, numbers = 0, np.empty(len(lengths), np.int64)
-        for k, (n, owner) in enumerate(zip(lengths.tolist(), owners.tolist(), strict=True)):
-            segment = text[at : at + n]
-            at += n
-            i = numbers[k] = distinct.setdefault(segment, len(least))
-            if i == len(least):
-                least.append(owner)
-            elif owner < least[i]:
-                least[i] = owner
-        of.append(numbers)
-    texts = list(distinct)
-    chunks: list[list[int]] = [[]]
-    held = 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > chunk_bytes:
-            chunks.append([])
-            held = 0
-        chunks[-1].append(i)
-        held += len(text)
-    found: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
-    parts, classes, sizes = [], [], []
-    for members in chunks:
-        if not members:
-            continue
-        lengths = np.array([len(texts[i]) for i in members])
-        data = np.frombuffer(b"".join(texts[i] for i in members), np.uint8)
-        owner = np.repeat(np.array([least[i] for i in members], np.int64), lengths)
-        end = np.repeat(np.cumsum(lengths), lengths)
-        owner[np.arange(len(data)) + size > end] = NONE
+    texts = np.frombuffer(b"".join(s[0] for s in shards), np.uint8)
+    lengths = np.concatenate([s[1] for s in shards]).astype(np.int64)
+    owners = np.concatenate([s[2] for s in shards])
+    anchors = np.concatenate([s[3] for s in shards])
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(anchors, kind="stable")
+    same = np.concatenate(([False], anchors[order][1:] == anchors[order][:-1], [False]))
+    # Equal segments have the place in ``order`` of the first of them.
+    first_of = np.arange(len(order))
+    number: dict[bytes, int] = {}
+    several = np.flatnonzero(same[1:] | same[:-1])
+    spots = zip(
+        several.tolist(), starts[order[several]].tolist(), lengths[order[several]].tolist(), strict=True
+    )
+    for k, a, n in spots:
+        first_of[k] = number.setdefault(texts[a : a + n].tobytes(), k)
+    distinct = np.flatnonzero(first_of == np.arange(len(order)))
+    least = owners[order]
+    np.minimum.at(least, first_of, owners[order])
+    # Segments whose anchor has another text as well.
+    anchor = anchors[order[distinct]]
+    other = np.concatenate(([False], anchor[1:] == anchor[:-1], [False]))
+    compared = distinct[other[1:] | other[:-1]]
+    windows = lengths[order] - size + 1
+    places = np.cumsum(windows) - windows
+    smallest = np.repeat(least, windows)
+    if len(compared):
+        found = _least_of_windows(
+            texts, starts[order[compared]], lengths[order[compared]], least[compared], size, chunk_bytes
+        )
+        smallest[_stretches(places[compared], windows[compared])] = found
+    gone = np.empty(len(smallest), bool)
+    # From the order of anchors to that in which the segments were sent.
+    sent_windows = lengths - size + 1
+    sent = np.cumsum(sent_windows) - sent_windows
+    from_ = _stretches(places[first_of], windows)
+    to = _stretches(sent[order], windows)
+    gone[to] = smallest[from_] < np.repeat(owners[order], windows)
+    counts = [int((s[1].astype(np.int64) - size + 1).sum()) for s in shards]
+    return [np.packbits(x).tobytes() for x in np.split(gone, np.cumsum(counts)[:-1])]
+
+
+def _least_of_windows(
+    texts: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: np.ndarray, size: int, chunk_bytes: int
+) -> np.ndarray:
+    """The smallest document of every window of distinct segments, by suffix arrays of bounded chunks."""
+    chunk = (np.cumsum(lengths) - lengths) // chunk_bytes
+    parts, classes, ends = [], [], []
+    for members in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(chunk)) + 1):
+        data = texts[_stretches(starts[members], lengths[members])]
+        owner = np.repeat(least[members], lengths[members])
+        end = np.repeat(np.cumsum(lengths[members]), lengths[members])
+        inside = np.arange(len(data)) + size <= end
+        owner[~inside] = NONE
         _, places, smallest, number = least_owner(data, owner, size)
         strings = np.lib.stride_tricks.sliding_window_view(data, size)[places]
         parts.append((np.ascontiguousarray(strings).view(f"S{size}").ravel(), smallest))
         classes.append(number)
-        sizes.append(lengths)
-    for members, smallest, number, lengths in zip(
-        (c for c in chunks if c), merge_least(parts), classes, sizes, strict=True
-    ):
-        at = 0
-        for i, n in zip(members, lengths.tolist(), strict=True):
-            found[i] = smallest[number[at : at + n - size + 1]]
-            at += n
-    return [
-        np.packbits(
-            np.concatenate([found[i] < owner for i, owner in zip(numbers.tolist(), owners.tolist(), strict=True)])
-            if len(numbers) else np.empty(0, bool)
-        ).tobytes()
-        for numbers, (_, _, owners) in zip(of, shards, strict=True)
-    ]
+        ends.append(inside)
+    merged = merge_least(parts)
+    return np.concatenate(
+        [smallest[number[inside]] for smallest, number, inside in zip(merged, classes, ends, strict=True)]
+    )
 
 
 def _frame(rows: list[dict], names: str) -> pd.DataFrame:
@@ -389,31 +420,36 @@ def dedup_substrings(
         for batch in batches:
             for _, row in batch.iterrows():
                 shard = _Shard(row, bits, size)
-                _, _, texts, ranges, least = shard.segments(
+                _, _, run, least = shard.segments(
                     _shared(shard, _answers(row["shared"], "shared"))
                 )
-                by = np.argsort(ranges, kind="stable")
-                start = np.flatnonzero(np.diff(ranges[by], prepend=-1)) if len(by) else []
+                lengths = shard.last[run] - shard.first[run] + size
+                texts = shard.data[_stretches(shard.first[run], lengths)]
+                ends = np.cumsum(lengths)
+                anchors = (shard.anchor[shard.which[run]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                # Runs are in the order of anchors and so of ranges.
+                ranges = shard.ranges(run)
+                start = np.flatnonzero(np.diff(ranges, prepend=-1))
                 yield _frame(
                     [
                         {
-                            "range": int(ranges[mine[0]]),
+                            "range": int(ranges[a]),
                             "shard": row["shard"],
-                            "texts": b"".join(texts[i] for i in mine),
-                            "lengths": np.array([len(texts[i]) for i in mine], np.int32).tobytes(),
-                            "least": least[mine].tobytes(),
+                            "texts": texts[ends[a] - lengths[a] : ends[b - 1]].tobytes(),
+                            "lengths": lengths[a:b].astype(np.int32).tobytes(),
+                            "least": least[a:b].tobytes(),
+                            "anchors": anchors[a:b].tobytes(),
                         }
-                        for mine in np.split(by, start[1:])
-                        if len(mine)
+                        for a, b in zip(start, np.append(start, len(run))[1:], strict=True)
                     ],
-                    "range, shard, texts, lengths, least",
+                    "range, shard, texts, lengths, least, anchors",
                 )
 
     def judge_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r, rows in _by_range(batches):
             sent = [
-                (bytes(t), np.frombuffer(n, np.int32), np.frombuffer(o, np.int64))
-                for t, n, o in zip(rows["texts"], rows["lengths"], rows["least"], strict=True)
+                (bytes(t), np.frombuffer(n, np.int32), np.frombuffer(o, np.int64), np.frombuffer(a, np.uint32))
+                for t, n, o, a in zip(rows["texts"], rows["lengths"], rows["least"], rows["anchors"], strict=True)
             ]
             smaller = segment_answers(sent, size, chunk_bytes)
             yield pd.DataFrame(
@@ -421,7 +457,8 @@ def dedup_substrings(
             )
 
     segments = shards.join(shared.hint("shuffle_hash"), "shard", "left").mapInPandas(
-        send_segments, "range long, shard long, texts binary, lengths binary, least binary"
+        send_segments,
+        "range long, shard long, texts binary, lengths binary, least binary, anchors binary",
     )
     answers_path = fresh_path(spark, "segment-answers")
     to_ranges(segments).mapInPandas(
@@ -450,25 +487,27 @@ def _cut_shard(row, bits: int, size: int, per_frame: int = 512) -> Iterator[pd.D
     shard = _Shard(row, bits, size)
     parts = row["parts"] if row["parts"] is not None else []
     shared = _shared(shard, _answers(parts, "shared"))
-    at, of_run, texts, ranges, least = shard.segments(shared)
+    at, of_run, run, least = shard.segments(shared)
     smaller = _answers([p for p in parts if p["smaller"] is not None], "smaller")
-    # Windows of a segment within the answer of its range, in the order they were sent.
-    windows = np.array([len(t) - size + 1 for t in texts], np.int64)
-    offset = np.zeros(len(texts), np.int64)
-    for r in np.unique(ranges):
-        mine = np.flatnonzero(ranges == r)
-        offset[mine] = np.cumsum(windows[mine]) - windows[mine]
+    # Windows of a segment within the answers of its range, in the order they were sent.
+    windows = shard.last[run] - shard.first[run] + 1
+    ranges = shard.ranges(run)
+    start = np.flatnonzero(np.diff(ranges, prepend=-1))
+    answers = [
+        smaller[int(ranges[a])][: windows[a:b].sum()]
+        for a, b in zip(start, np.append(start, len(run))[1:], strict=True)
+    ]
+    answer = np.concatenate([np.empty(0, bool), *answers])
+    offset = np.cumsum(windows) - windows
+    before = np.concatenate(([0], np.cumsum(answer)))
+    partly = before[offset + windows] > before[offset]
     gone = np.zeros(len(shard.data) + 1, bool)
-    owners = shard.ids[shard.doc[at]]
-    for a, b, i, later in zip(
-        shard.first[at].tolist(), shard.last[at].tolist(), of_run.tolist(),
-        (owners > least[of_run]).tolist() if len(at) else [], strict=True,
-    ):
-        if later:
-            gone[a : b + 1] = True
-        else:
-            o = offset[i]
-            gone[a : b + 1] |= smaller[ranges[i]][o : o + b - a + 1]
+    later = shard.ids[shard.doc[at]] > least[of_run]
+    whole = at[later]
+    gone[_stretches(shard.first[whole], shard.last[whole] - shard.first[whole] + 1)] = True
+    some = np.flatnonzero(~later & partly[of_run])
+    length = windows[of_run[some]]
+    gone[_stretches(shard.first[at[some]], length)] = answer[_stretches(offset[of_run[some]], length)]
     count = np.cumsum(gone)
     covered = count[:-1].copy()
     covered[size:] -= count[:-1][:-size]
