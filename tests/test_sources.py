@@ -220,3 +220,8 @@ def test_malformed_risk_file_is_refused(spark, tmp_path, text):
     path.write_text(text)
     with pytest.raises(Exception):
         tables.read_mcc_table(spark, str(path)).collect()
+
+
+@pytest.mark.parametrize("rows, cores, buckets", [(0, 8, 8), (100_000, 12, 12), (1_000_000, 8, 32), (6_000_000, 12, 48), (10**12, 8, 4_096)])
+def test_buckets_are_several_a_core_where_rows_are_many(rows, cores, buckets):
+    assert index_store.spread_buckets(rows, cores) == buckets
