@@ -225,3 +225,17 @@ def test_near_order_is_a_permutation():
     rng = np.random.default_rng(12)
     for points in (codes(rng, 1_001), np.zeros((100, 3)), np.zeros((0, 3)), codes(rng, 7)):
         assert sorted(kernels._near_order(points).tolist()) == list(range(len(points)))
+
+
+def test_leaf_meets_bounded_numbers_of_queries(monkeypatch):
+    """However many queries a leaf has, few keys are held, and the result is the same."""
+    rng = np.random.default_rng(13)
+    refs, ids = codes(rng, 1_000), rng.permutation(1_000)
+    tree = kernels.ReferenceTree(ids, refs)
+    whole = kernels.nearest_in_tree(ids, refs, tree, 5, True)
+    most, least_keys = [], kernels._least_keys
+    monkeypatch.setattr(kernels, "_MEET_ROWS", 37)
+    monkeypatch.setattr(kernels, "_least_keys", lambda held, keys, lows: most.append(len(keys)) or least_keys(held, keys, lows))
+    parts = kernels.nearest_in_tree(ids, refs, tree, 5, True)
+    assert max(most) <= 37
+    assert sorted(zip(*[c.tolist() for c in whole])) == sorted(zip(*[c.tolist() for c in parts]))

@@ -9,7 +9,16 @@ from quintavote.operators.knn import knn_exact
 from quintavote.operators.probing import probe_rows, with_probes
 from quintavote.operators import knn, scan
 from quintavote.operators.scan import scan_probes, shuffled_scan, stored_scan
-from quintavote.operators.topk import borderline, decide, fraud_vote, listed_candidates, topk_merge, topk_neighbors
+from quintavote.operators.topk import (
+    borderline,
+    decide,
+    fraud_vote,
+    leading_lists,
+    listed_candidates,
+    merged_lists,
+    topk_merge,
+    topk_neighbors,
+)
 from quintavote.operators.vectorize import with_query_codes, with_reference_codes
 from quintavote.plans import ivf
 from quintavote.sources import index_store
@@ -98,6 +107,56 @@ def test_rows_of_the_exact_search_follow_batches(hot):
                 assert (q["query_id"], m["cluster_id"]) in probed | reached
 
 
+def test_queries_move_once_a_tile(hot):
+    """Cells that lie together are asked in one go, whichever of them a query reaches."""
+    queries, refs, _ = hot
+    table = CentroidTable.load(sampled_seeds(refs, "ref_id", 40, 1))
+    bounds = knn.cell_bounds(materialize(nearest_centroid(refs, table), "postings"), table)
+    tiles = knn.Tiles.of(table.ids, table.matrix, np.full(40, 10), 100)
+    assert len(set(tiles.tile)) == 4 and (tiles.blocks == 1).all()
+    near = with_probes(queries, table, 2).withColumn("bound", F.lit(1 << 50))
+    packs = knn._reached(near.coalesce(1), bounds, 14, tiles).collect()
+    asked = [(p["cluster_id"], r) for p in packs for r in p["asked"]]
+    reached = {(r["query_id"], tile, place) for tile, r in asked
+               for place in np.flatnonzero(np.unpackbits(np.frombuffer(r["wanted"], np.uint8), bitorder="little"))}
+    assert len(asked) == 4 * 60
+    alone = {(r["query_id"], p["cluster_id"]) for p in knn._reached(near, bounds, 14).collect() for r in p["asked"]}
+    cell = {(t, p): i for i, t, p in zip(table.ids, tiles.tile, tiles.place)}
+    assert {(q, cell[t, p]) for q, t, p in reached} == alone and len(alone) > 60 * 20
+
+
+def test_large_cells_and_empty_ones_have_tiles():
+    tiles = knn.Tiles.of(np.arange(4, dtype=np.int32), np.arange(8.0).reshape(4, 2), np.array([0, 25, 0, 9]), 10)
+    assert tiles.blocks.tolist() == [1, 3, 1, 1]
+    assert tiles.tile[1] == 1 and (np.delete(tiles.tile, 1) != 1).all()
+
+
+@pytest.mark.parametrize("copies", [1, 7])
+def test_exact_search_of_tiles_in_copies(hot, monkeypatch, copies):
+    """Tiles of several cells with boxes, whose copies take a few queries each."""
+    queries, refs, wanted = hot
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(knn, "_BOX_ROWS", 5)
+    monkeypatch.setattr(knn, "_COPY_QUERIES", 60 // copies)
+    monkeypatch.setattr(knn, "_LEAST_COPY_QUERIES", 1)
+    monkeypatch.setattr(knn, "_PLANNED_QUERIES", 20)
+    monkeypatch.setattr(knn, "_FEW_CELLS", 0)
+    assert collected(knn_exact(queries, refs, cells=20)) == wanted
+
+
+def test_only_leading_lists_are_put_together(spark):
+    """Of many lists of a query no more than k are held, and the nearest come out."""
+    rng = np.random.default_rng(3)
+    rows = [
+        (q, sorted((int(d), int(r), 0) for d, r in rng.integers(0, 50, (rng.integers(0, 6), 2))))
+        for q in range(5) for _ in range(40)
+    ]
+    lists = spark.createDataFrame(rows, "query_id bigint, near array<struct<dist: bigint, ref_id: bigint, fraud: int>>")
+    few = leading_lists(lists)
+    assert few.groupBy("query_id").count().agg(F.max("count")).first()[0] == 5
+    assert sorted(merged_lists(few).collect()) == sorted(merged_lists(lists).collect())
+
+
 def test_exact_search_skipping_itself(spark):
     _, refs, _ = make(spark, refs=150, seed=4)
     queries = refs.select(F.col("ref_id").alias("query_id"), "vector", "codes")
