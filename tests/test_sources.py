@@ -1,9 +1,11 @@
 import gzip
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from quintavote import staging
 from quintavote.config import Normalization
 from quintavote.operators.clustering import sampled_seeds
 from quintavote.plans.ivf import IvfIndex, assign_postings
@@ -225,3 +227,39 @@ def test_malformed_risk_file_is_refused(spark, tmp_path, text):
 @pytest.mark.parametrize("rows, cores, buckets", [(0, 8, 8), (100_000, 12, 12), (1_000_000, 8, 32), (6_000_000, 12, 48), (10**12, 8, 4_096)])
 def test_buckets_are_several_a_core_where_rows_are_many(rows, cores, buckets):
     assert index_store.spread_buckets(rows, cores) == buckets
+
+
+def test_written_table_leaves_no_shuffle_files(spark):
+    """What a written table was shuffled by goes with the writing, not with the driver's memory."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        every = files.getAllFiles()
+        return {every.apply(i).getName() for i in range(every.size()) if every.apply(i).getName().startswith("shuffle_")}
+
+    names = staging._BOUNDED
+    before, settings = shuffled(), [spark.conf.get(name) for name in names]
+    table = materialize(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(100):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert table.count() == 7 and [spark.conf.get(name) for name in names] == settings
+
+
+def test_lists_of_many_groups_are_sorted(spark, monkeypatch):
+    """A task that writes keeps the lists of few groups in memory, and all of them come out whole."""
+    rows = spark.range(20_000).select((F.col("id") % 50).alias("k"), "id")
+    lists = rows.repartition(1).groupBy("k").agg(F.collect_list("id").alias("held"))
+    writer, seen = type(lists.write), []
+    write = writer.parquet
+
+    def watched(self, path, **options):
+        seen.append(int(spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")))
+        return write(self, path, **options)
+
+    monkeypatch.setattr(writer, "parquet", watched)
+    kept = materialize(lists, "lists").collect()
+    assert len(seen) == 1 and seen[0] <= 8
+    assert {r["k"]: sorted(r["held"]) for r in kept} == {k: [*range(k, 20_000, 50)] for k in range(50)}
