@@ -1,5 +1,7 @@
 import json
+from types import SimpleNamespace
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quintavote.config import ProbeParams
@@ -62,3 +64,30 @@ def test_stream_equals_batch_and_keeps_rejects(spark, tmp_path):
     )
     assert batch.count() == 60 - len(rejects)
     assert batch.exceptAll(streamed.select(batch.columns)).count() == 0
+
+
+def test_large_batch_is_parsed_where_it_is_read_and_kept_on_disk(spark, tmp_path, monkeypatch):
+    """A batch of many splits is not moved, and none is kept in memory."""
+    refs = spark.range(50).select(
+        F.col("id").alias("ref_id"),
+        F.array_repeat(F.col("id") / 50, 14).alias("vector"),
+        F.lit(0).alias("fraud"),
+    )
+    seeds = materialize(sampled_seeds(refs, "ref_id", 4, 1), "seeds")
+    path = fresh_path(spark, "index")
+    write_index(IvfIndex(seeds, assign_postings(refs, seeds)), path)
+    stream = SimpleNamespace(writeStream=SimpleNamespace(foreachBatch=lambda score: score))
+    score = score_stream(
+        stream, read_index(spark, path), default_mcc_table(spark), str(tmp_path / "out"), str(tmp_path / "bad"),
+        params=ProbeParams(2, 3),
+    )
+    cores = spark.sparkContext.defaultParallelism
+    documents = [(i, json.dumps(changed("transaction.amount", i * 10.0))) for i in range(4 * cores)]
+    batch = spark.createDataFrame(documents, "query_id bigint, payload string").repartition(2 * cores)
+    kind, levels = type(batch), []
+    persist = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda df, level: levels.append(level) or persist(df, level))
+    monkeypatch.setattr(batch, "repartition", None, raising=False)
+    score(batch, 3)
+    assert levels == [StorageLevel.DISK_ONLY]
+    assert spark.read.parquet(str(tmp_path / "out/batch_id=3")).count() == 4 * cores
