@@ -410,3 +410,20 @@ def test_lists_equal_the_scan_of_all_probes(spark, hot, hot_index, monkeypatch):
     assert collected(lists) == collected(every)
     empty = ranked.where("probes[0] % 3 = 0").count()
     assert empty and index.stored.layout.agg(F.max("blocks")).first()[0] > 1
+
+
+def test_a_landed_fast_pass_is_searched_once(hot, stored_index, hot_index, monkeypatch):
+    """Fast and adaptive votes of one pass are those of a pass each, also where ids repeat."""
+    queries, _, _ = hot
+    twice = materialize(queries.unionByName(queries.where("query_id % 4 = 0")), "twice")
+    params = ProbeParams(2, 9)
+    for index in (stored_index, hot_index):
+        wanted = sorted(ivf.adaptive_votes(twice, index, params, skip_self=True).collect())
+        fast = sorted(ivf.fast_votes(twice, index, params=params, skip_self=True).collect())
+        passed = materialize(ivf.fast_pass(twice, index, params, skip_self=True), "passed")
+        with monkeypatch.context() as patch:
+            patch.setattr(ivf, "nearest_lists", None)
+            patch.setattr(ivf, "_nearest", None)
+            found = ivf.adaptive_votes(twice, index, params, skip_self=True, passed=passed)
+            assert sorted(found.collect()) == wanted and len(fast) == 75
+            assert sorted(ivf.fast_votes(twice, index, passed, params=params, skip_self=True).collect()) == fast
